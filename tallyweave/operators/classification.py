@@ -1,0 +1,274 @@
+"""Invoice, credit note or payment? Evidence from matches, payments, amounts and words."""
+
+from __future__ import annotations
+
+import difflib
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallyweave.functions import amounts, dates
+from tallyweave.functions.text import document_number, header_key, has_text, id_key, label_key, stripped, upper_tokens
+from tallyweave.operators.flags import is_non_document, row_text
+from tallyweave.operators.matching import doc_type_of_match
+from tallyweave.operators.values import date_from_raw, pick_amount_expr
+from tallyweave.schemas import STATEMENT_KEYS
+
+# Words of each type, types in order of precedence.
+TYPE_SYNONYMS = {
+    "payment": (
+        "payment", "paid", "receipt", "remittance", "banktransfer", "directdebit", "ddpayment", "cashreceipt",
+    ),
+    "credit_note": ("creditnote", "credit", "creditmemo", "crn", "cr", "cn"),
+    "invoice": ("invoice", "inv", "taxinvoice", "bill"),
+}
+
+# Scores below these are no evidence.
+MINIMUM_SCORE = {"payment": 0.6, "credit_note": 0.65, "invoice": 0.0}
+
+# Which column labels hold debits and credits.
+DEBIT_HINTS = ("debit", "dr")
+CREDIT_HINTS = ("credit", "cr")
+
+# Words and phrases of a description, types in order of precedence.
+DESCRIPTION_KEYWORDS = {
+    "payment": (
+        "payment", "receipt", "paid", "thank you", "thanks", "bank transfer", "eft", "settlement", "deposit",
+    ),
+    "credit_note": (
+        "credit note", "creditnote", "credit", "credit memo", "crn", "cn", "refund", "rebate", "adjustment",
+    ),
+    "invoice": ("invoice", "inv", "tax invoice", "sales order", "bill"),
+}
+
+# A task forgets the scores it keeps when there are this many.
+SCORES_KEPT = 200_000
+
+_SCORES = T.StructType([T.StructField(kind, T.DoubleType()) for kind in TYPE_SYNONYMS])
+
+
+# --- amount evidence ---------------------------------------------------------------------------
+
+
+def _side(label: Column) -> Column:
+    """'debit', 'credit' or null for a column label; debit is tried first."""
+    name = label_key(label)
+
+    def like(hints: tuple[str, ...]) -> Column:
+        hit = F.lit(False)
+        for hint in hints:
+            hit = hit | name.startswith(hint) | name.endswith(hint)
+        return hit
+
+    return F.when(like(DEBIT_HINTS), "debit").when(like(CREDIT_HINTS), "credit")
+
+
+def amount_hint_expr(total: Column, raw: Column) -> Column:
+    """'invoice' if only debits have an amount, 'credit' if only credits have, else null."""
+
+    def has_side(side: str) -> Column:
+        def within(cells: Column) -> Column:
+            found = F.exists(F.map_entries(cells), lambda e: (_side(e["key"]) == side) & amounts.has_amount(e["value"]))
+            return F.coalesce(found, F.lit(False))
+
+        return within(total) | within(raw)
+
+    debit, credit = has_side("debit"), has_side("credit")
+    return F.when(debit & ~credit, "invoice").when(credit & ~debit, "credit")
+
+
+def amount_hint(items: DataFrame) -> DataFrame:
+    return items.withColumn("amount_hint", amount_hint_expr(F.col("total"), F.col("raw")))
+
+
+# --- words -------------------------------------------------------------------------------------
+
+
+def token_similarity(tokens: Column) -> Column:
+    """Best score of an array of tokens per type, as a struct.
+
+    A token scores 1 if it equals a synonym, 0.9 if one begins with the other, else the
+    matching-blocks ratio; a synonym of one or two letters gives 0.8 at most. Tokens repeat a lot,
+    so a task keeps the scores of those it has seen. Rows that need no scores pass an empty array.
+    """
+    synonyms = {kind: [word.upper() for word in words] for kind, words in TYPE_SYNONYMS.items()}
+    seen: dict[str, tuple[float, ...]] = {}
+
+    def score(token: str, synonym: str) -> float:
+        if token == synonym:
+            return 1.0 if len(synonym) > 2 else 0.8
+        if token.startswith(synonym) or synonym.startswith(token):
+            return 0.9 if len(synonym) > 2 else 0.8
+        ratio = difflib.SequenceMatcher(None, token, synonym).ratio()
+        return ratio if len(synonym) > 2 else min(ratio, 0.8)
+
+    def best_scores(token: str) -> tuple[float, ...]:
+        if token not in seen:
+            if len(seen) >= SCORES_KEPT:
+                seen.clear()
+            seen[token] = tuple(max(score(token, word) for word in words) for words in synonyms.values())
+        return seen[token]
+
+    @F.pandas_udf(_SCORES)
+    def score_rows(rows: pd.Series) -> pd.DataFrame:
+        nothing = (0.0,) * len(synonyms)
+        found = [
+            nothing if row is None or not len(row) else tuple(map(max, zip(*map(best_scores, row)))) for row in rows
+        ]
+        return pd.DataFrame(found, columns=list(synonyms))
+
+    return score_rows(tokens)
+
+
+def _joined_values(raw: Column) -> Column:
+    return F.array_join(F.filter(F.map_values(raw), lambda v: F.coalesce(v, F.lit("")) != ""), " ")
+
+
+def _contains_any(text: Column, words: tuple[str, ...]) -> Column:
+    hit = F.lit(False)
+    for word in words:
+        hit = hit | text.contains(word.upper())
+    return hit
+
+
+def guess_item_type(items: DataFrame, output: str = "guessed_type") -> DataFrame:
+    """Add the type suggested by the row's own amounts and words.
+
+    A synonym inside the row's joined text settles the type without leaving the JVM. Only the rest
+    sends its tokens to ``token_similarity``.
+    """
+    cells = F.coalesce("raw", F.create_map().cast("map<string,string>"))
+    totals = F.coalesce("total", F.create_map().cast("map<string,string>"))
+    prepared = (
+        items.withColumn("hint", amount_hint_expr(totals, cells))
+        .withColumn("joined", _joined_values(cells))
+        .withColumn("tokens", upper_tokens("joined"))
+        .withColumn("compact", id_key("joined"))
+    )
+    candidate = {
+        "payment": F.coalesce(F.col("hint") != "invoice", F.lit(True)),
+        "credit_note": F.coalesce(F.col("hint") != "invoice", F.lit(True)),
+        "invoice": F.coalesce(F.col("hint") != "credit", F.lit(True)),
+    }
+    default = F.when(F.col("hint") == "credit", "payment").otherwise("invoice")
+    contained = F.coalesce(
+        *[F.when(candidate[t] & _contains_any(F.col("compact"), words), t) for t, words in TYPE_SYNONYMS.items()]
+    )
+    no_words = F.size("tokens") == 0
+    settled = prepared.withColumn("settled", F.when(no_words, default).otherwise(contained))
+    scored = settled.withColumn(
+        "scores",
+        token_similarity(
+            F.when(F.col("settled").isNull(), F.array_distinct("tokens")).otherwise(F.array().cast("array<string>"))
+        ),
+    )
+
+    def score(name: str) -> Column:
+        return F.when(candidate[name], F.col(f"scores.{name}")).otherwise(0.0)
+
+    best = F.greatest(*[score(t) for t in TYPE_SYNONYMS])
+    best_type = F.coalesce(*[F.when(candidate[t] & (score(t) == best), t) for t in TYPE_SYNONYMS])
+    needed = F.coalesce(*[F.when(best_type == t, F.lit(low)) for t, low in MINIMUM_SCORE.items()])
+    guess = F.when((best > 0) & (best >= needed), best_type).otherwise(default)
+    return scored.withColumn(output, F.coalesce("settled", guess)).drop(
+        "hint", "joined", "tokens", "compact", "settled", "scores"
+    )
+
+
+# --- all evidence ------------------------------------------------------------------------------
+
+
+def classify_items(items: DataFrame, matches: DataFrame, payments: DataFrame) -> DataFrame:
+    """Add ``new_type`` and ``type_source``.
+
+    In order: the row stands for a match, the row's key has a match, the key is the number of a
+    paid invoice, the row's own amounts and words. ``payments`` is the result of
+    ``payments_by_invoice_number``; ``items`` carry ``row_key`` and ``contact_id``.
+    """
+    typed = doc_type_of_match(matches)
+    by_key = typed.select(*STATEMENT_KEYS, "row_key", F.col("doc_type").alias("key_type"), F.col("item_seq").alias("match_seq"))
+    paid = payments.select("tenant_id", "contact_id", F.col("invoice_number").alias("row_key")).distinct().withColumn("paid", F.lit(True))
+    joined = guess_item_type(items).join(by_key, [*STATEMENT_KEYS, "row_key"], "left").join(
+        paid, ["tenant_id", "contact_id", "row_key"], "left"
+    )
+    source = (
+        F.when(F.col("key_type").isNotNull(), F.concat("key_type", F.lit("_match")))
+        .when(F.coalesce("paid", F.lit(False)) & (F.col("row_key") != ""), "payment_match")
+        .otherwise("heuristic")
+    )
+    return (
+        joined.withColumn("type_source", source)
+        .withColumn(
+            "new_type",
+            F.when(F.col("type_source") == "payment_match", "payment")
+            .when(F.col("type_source") == "heuristic", F.col("guessed_type"))
+            .otherwise(F.col("key_type")),
+        )
+        .drop("key_type", "match_seq", "paid", "guessed_type")
+    )
+
+
+def classification_updates(items: DataFrame, before: str = "item_type", after: str = "new_type") -> DataFrame:
+    """Rows whose type changed, ignoring case and surrounding space; rows without an id stay out."""
+    changed = F.lower(stripped(before)) != F.col(after)
+    return items.where(changed & (F.coalesce("statement_item_id", F.lit("")) != "")).select(
+        "tenant_id", "statement_item_id", F.col(after).alias("item_type")
+    )
+
+
+def keyword_type(text: Column) -> Column:
+    """Type named by the words of a normalised description; null if none is named."""
+    words = F.split(text, " ")
+    hits = []
+    for kind, keywords in DESCRIPTION_KEYWORDS.items():
+        single = [k for k in keywords if " " not in k]
+        hit = F.arrays_overlap(words, F.array(*[F.lit(k) for k in single]))
+        for phrase in (k for k in keywords if " " in k):
+            hit = hit | text.contains(phrase)
+        hits.append(F.when(hit, kind))
+    return F.coalesce(*hits)
+
+
+def _description(reference: Column, raw: Column) -> Column:
+    """The reference if there is one, else the first non-blank description."""
+    described = row_text(F.lit(None).cast("string"), raw)
+    return F.when(F.coalesce(reference, F.lit("")) != "", header_key(reference)).otherwise(described)
+
+
+def classify_by_keywords(items: DataFrame, output: str = "entry_type") -> DataFrame:
+    """Add the type named by reference or description, else the one guessed from the cells."""
+    text = _description(F.col("reference"), F.col("raw"))
+    only_cells = items.withColumn("total_kept", F.col("total")).withColumn("total", F.create_map().cast("map<string,string>"))
+    guessed = guess_item_type(only_cells, "guess").withColumn("total", F.col("total_kept")).drop("total_kept")
+    return guessed.withColumn(output, F.coalesce(keyword_type(text), F.col("guess"))).drop("guess")
+
+
+def derive_documents(items: DataFrame, template: str | None, amount_headers: tuple[str, ...] = ()) -> DataFrame:
+    """Ledger documents that the rows describe; ``skip_reason`` tells why a row gives none.
+
+    Payments become credit notes. ``amount`` is the row's total, or the first non-zero cell among
+    ``amount_headers``; dates fall back to raw cells with a date-like header.
+    """
+    tokens = F.array(*[F.lit(h) for h in amount_headers]).cast("array<string>")
+    raw = F.col("raw")
+    typed = classify_by_keywords(items)
+    number = stripped("number")
+    derived = (
+        typed.withColumn("doc_kind", F.when(F.col("entry_type") == "invoice", "invoice").otherwise("credit_note"))
+        .withColumn("amount", pick_amount_expr(F.col("total_text"), raw, tokens))
+        .withColumn("doc_date", F.coalesce(dates.loose_date(stripped("date"), template), date_from_raw(raw, "date", template)))
+        .withColumn(
+            "doc_due_date",
+            F.coalesce(dates.loose_date(stripped("due_date"), template), date_from_raw(raw, "due_date", template)),
+        )
+        .withColumn("doc_number", F.when(number != "", F.coalesce(document_number(number), number)))
+        .withColumn("doc_reference", F.when(has_text("reference"), stripped("reference")))
+    )
+    return derived.withColumn(
+        "skip_reason",
+        F.when(is_non_document(F.col("doc_reference"), raw), "non-document")
+        .when(F.coalesce(F.col("amount") == 0, F.lit(True)), "no-amount")
+        .when(F.col("doc_date").isNull(), "no-date"),
+    )
