@@ -225,7 +225,11 @@ class Tables:
         self.spark, self.folder = configure(spark), folder.rstrip("/")
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # A table of one small file would keep a single core busy.
+        cores = self.spark.sparkContext.defaultParallelism
+        few_files = name in ("orders", "events", "documents") and len(table.inputFiles()) < cores
+        return table.repartition(cores) if few_files else table
 
     def derive(self, name: str) -> DataFrame:
         sources = {n for d in _closure((name,)) for n in DERIVED[d][0] if n in BASE}

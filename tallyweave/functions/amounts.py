@@ -16,27 +16,26 @@ AMOUNT_TYPE = "decimal(38,10)"
 # Fixed value: a currency mark of up to three letters or symbols before the number.
 CURRENCY_PREFIX = r"^[A-Za-z€$£¥₹]{1,3}\s*"
 
-# What remains of a cell that holds no digits.
-NO_DIGITS = ("", "-", ".", "-.", ".-")
-
 
 def _parse(text: Column) -> Column:
     return text.try_cast(AMOUNT_TYPE)
 
 
+# Each rule is one chain of replacements in which every step reads its input once. Inside array
+# functions Spark evaluates an expression as often as it is written, so chains matter.
+
+
 def _one_decimal_point(text: Column, noise: str = "") -> Column:
     """Rewrite a number so that '.' is its decimal point and no group mark is left.
 
-    The last of '.' and ',' is the decimal point when at most two characters follow it;
-    otherwise every '.' and ',' is a group mark. ``noise`` lists characters to drop as well.
+    The last of '.' and ',' is the decimal point when at most two characters follow it; a second
+    one of the same kind then makes the text unreadable. Otherwise every '.' and ',' is a group
+    mark. ``noise`` lists characters to drop as well.
     """
-    mark = F.regexp_extract(text, r"([.,])[^.,]*$", 1)
-    after = F.length(F.regexp_extract(text, r"[.,]([^.,]*)$", 1))
-    return (
-        F.when((mark == ".") & (after <= 2), F.translate(text, "," + noise, ""))
-        .when((mark == ",") & (after <= 2), F.translate(F.translate(text, "." + noise, ""), ",", "."))
-        .otherwise(F.translate(text, ",." + noise, ""))
-    )
+    comma_point = F.regexp_replace(text, r",([^.,]{0,2})$", "#$1")
+    dot_point = F.regexp_replace(comma_point, r"\.([^.,#]{0,2})$", "@$1")
+    doubtful = F.regexp_replace(dot_point, r"^(?=.*#)(?=.*,).*$|^(?=.*@)(?=.*\.).*$", "?")
+    return F.translate(doubtful, "#@,." + noise, "..")
 
 
 def coerce_amount(value: Column | str) -> Column:
@@ -47,17 +46,11 @@ def coerce_amount(value: Column | str) -> Column:
 def convert_amount(value: Column | str) -> Column:
     """Extracted cell: currency prefix, trailing or leading minus, parentheses, separator rule."""
     text = strip(F.regexp_replace(strip(value), CURRENCY_PREFIX, ""))
-    minus_last = text.endswith("-")
-    in_parens = text.startswith("(") & text.endswith(")") & (F.length(text) > 1)
-    minus_first = text.startswith("-")
-    digits = strip(
-        F.when(minus_last, F.substring(text, F.lit(1), F.length(text) - 1))
-        .when(in_parens, F.substring(text, F.lit(2), F.length(text) - 2))
-        .when(minus_first, F.substring(text, F.lit(2), F.length(text)))
-        .otherwise(text)
-    )
-    number = _parse(_one_decimal_point(digits, " '"))
-    return F.when(minus_last | in_parens | minus_first, -number).otherwise(number).cast(AMOUNT_TYPE)
+    minus_last = F.regexp_replace(text, r"^(.*?)\s*-$", "-$1")
+    in_parens = F.regexp_replace(minus_last, r"^\(\s*(.*?)\s*\)$", "-$1")
+    # A sign before the sign turns it round; blanks after it do not matter.
+    signed = F.regexp_replace(in_parens, r"^(?:--|(-)\s*)", "$1")
+    return _parse(_one_decimal_point(signed, " '"))
 
 
 def display_amount(value: Column | str) -> Column:
@@ -66,11 +59,7 @@ def display_amount(value: Column | str) -> Column:
     Parentheses are dropped before they could mean a negative amount, so '(126.50)' is 126.50.
     """
     kept = F.regexp_replace(_col(value), r"[^\d\-.,]", "")
-    moved = F.when(
-        kept.endswith("-") & ~kept.startswith("-"),
-        F.concat(F.lit("-"), F.substring(kept, F.lit(1), F.length(kept) - 1)),
-    ).otherwise(kept)
-    return F.when(~kept.isin(*NO_DIGITS), _parse(_one_decimal_point(moved)))
+    return _parse(_one_decimal_point(F.regexp_replace(kept, r"^([^-].*)-$", "-$1")))
 
 
 def compare_amount(value: Column | str) -> Column:
@@ -80,12 +69,9 @@ def compare_amount(value: Column | str) -> Column:
 
 def evidence_amount(value: Column | str) -> Column:
     """Evidence of a debit or credit: parentheses mean negative, a doubled point is one point."""
-    text = strip(value)
-    kept = F.regexp_replace(text, r"[^0-9\-.,()]", "")
-    negative = text.contains("(") & text.contains(")") & ~kept.contains("-")
-    signed = F.when(negative, F.concat(F.lit("-"), kept)).otherwise(kept)
-    cleaned = F.replace(F.translate(signed, "(),", ""), F.lit(".."), F.lit("."))
-    return F.when(~cleaned.isin(*NO_DIGITS), _parse(cleaned))
+    kept = F.regexp_replace(_col(value), r"[^0-9\-.,()]", "")
+    signed = F.regexp_replace(kept, r"^(?=.*\()(?=.*\))(?!.*-)", "-")
+    return _parse(F.replace(F.translate(signed, "(),", ""), F.lit(".."), F.lit(".")))
 
 
 def has_amount(value: Column | str) -> Column:
@@ -96,11 +82,9 @@ def marked_amount(value: Column | str) -> Column:
     """Amount with a currency mark anywhere: 'R 1,234.56', '(R 1,234.56)'."""
     plain = strip(F.translate(_col(value), ", ", ""))
     no_letters = strip(F.regexp_replace(plain, r"[A-Za-z]", ""))
-    in_parens = no_letters.startswith("(") & no_letters.endswith(")") & (F.length(no_letters) > 1)
-    kept = F.regexp_replace(no_letters, r"[^0-9.+\-]", "")
-    minus = kept.startswith("-") | in_parens
-    magnitude = _parse(F.translate(kept, "+-", ""))
-    return F.coalesce(_parse(plain), F.when(minus, -magnitude).otherwise(magnitude).cast(AMOUNT_TYPE))
+    kept = F.regexp_replace(F.regexp_replace(no_letters, r"^(\(.*\))$", "~$1"), r"[^0-9.+\-~]", "")
+    minus = F.regexp_replace(kept, r"^(?:~[-+]?|-)", "~")
+    return F.coalesce(_parse(plain), _parse(F.translate(minus, "~+-", "-")))
 
 
 def format_amount(number: Column) -> Column:

@@ -96,60 +96,61 @@ def template_regex(template: str, lenient: bool = True) -> tuple[str, list[str]]
     return ("(?i)" if lenient else "") + f"^{body}$", tokens
 
 
-def month_number(name: Column) -> Column:
-    """Month of an English name; its first three letters decide."""
-    index = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(name, 1, 3)))
-    return F.when(index > 0, index.cast("int"))
-
-
 def parse_date(value: Column | str, template: str, lenient: bool = True, century_from: int = 100) -> Column:
     """DATE of a text under one template; null where it does not fit or is no real date.
 
     A month name that does not exist, or two tokens that disagree, give null. Two-digit years are
     2000 and later, except those from ``century_from`` on, which are 1900 and later.
+
+    The text is rewritten once into year, month and day, and read from there: one replacement and
+    one conversion, which stay cheap inside array functions.
     """
     text = strip(value)
     regex, tokens = template_regex(template, lenient)
-    readings: dict[str, list[Column]] = {"year": [], "month": [], "day": []}
-    fits = text.rlike(regex)
+    places: dict[str, list[int]] = {"year": [], "month": [], "day": []}
     for group, token in enumerate(tokens, start=1):
         part = PART_OF_TOKEN.get(token)
-        if part is None:
-            continue
-        raw = F.regexp_extract(text, regex, group)
-        if token in ("MMMM", "MMM"):
-            number = month_number(raw)
-            fits = fits & ((raw == "") | number.isNotNull())
-        elif token == "YY":
-            short = raw.try_cast("int")
-            number = short + F.when(short < century_from, 2000).otherwise(1900)
-        else:
-            number = raw.try_cast("int")
-        readings[part].append(F.when(raw != "", number))
-    if not all(readings.values()):
+        if part:
+            places[part].append(group)
+    if not all(places.values()):
         return F.lit(None).cast("date")
-    for columns in readings.values():
-        for other in columns[1:]:
-            fits = fits & F.coalesce(columns[0] == other, F.lit(True))
-    year, month, day = (F.coalesce(*readings[p]) for p in ("year", "month", "day"))
-    iso = F.concat_ws(
-        "-",
-        F.lpad(year.cast("string"), 4, "0"),
-        F.lpad(month.cast("string"), 2, "0"),
-        F.lpad(day.cast("string"), 2, "0"),
-    )
-    complete = year.isNotNull() & month.isNotNull() & day.isNotNull()
-    return F.when(fits & complete, F.try_to_date(iso, "yyyy-MM-dd"))
+    # Each reading of a part that occurs more than once must give the same date.
+    readings = [
+        _read_parts(text, regex, tokens, year, month, day, century_from)
+        for year in places["year"]
+        for month in places["month"]
+        for day in places["day"]
+    ]
+    if len(readings) == 1:
+        return readings[0]
+    distinct = F.array_distinct(F.filter(F.array(*readings), lambda d: d.isNotNull()))
+    return F.when(F.size(distinct) == 1, F.get(distinct, 0))
+
+
+def _read_parts(
+    text: Column, regex: str, tokens: list[str], year: int, month: int, day: int, century_from: int
+) -> Column:
+    named = tokens[month - 1] in ("MMMM", "MMM")
+    if named:
+        # The first three letters decide; the month group keeps just those.
+        regex = re.sub(r"\(\[A-Za-z\](?:\+|\{3,\})\)", "([A-Za-z]{3})[A-Za-z]*", regex)
+    layout = "'#'yyyy-MMM-d" if named else "'#'yyyy-M-d"
+    if tokens[year - 1] == "YYYY":
+        return F.try_to_date(F.regexp_replace(text, regex, f"#${year}-${month}-${day}"), layout)
+    this_century = F.regexp_replace(text, regex, f"#20${year}-${month}-${day}")
+    read = F.try_to_date(this_century, layout)
+    if century_from >= 100:
+        return read
+    earlier = F.try_to_date(F.regexp_replace(text, regex, f"#19${year}-${month}-${day}"), layout)
+    return F.when(F.year(read) % 100 >= century_from, earlier).otherwise(read)
 
 
 def generic_date(value: Column | str) -> Column:
     """DATE of an ISO text, whatever follows the date; null otherwise."""
-    text = strip(value)
-    return F.coalesce(
-        F.when(text.rlike(r"^.{4}-.{2}-"), F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd")),
-        F.try_to_date(text, "yyyy-M-d"),
-        F.when(text.rlike(r"^\d{8}($|[T ])"), F.try_to_date(F.substring(text, 1, 8), "yyyyMMdd")),
+    iso = (
+        r"^(?:(\d{4})-(\d{1,2})-(\d{1,2})|(\d{4})-(\d{2})-(\d{2}).*|(\d{4})(\d{2})(\d{2})(?:[T ].*)?)$"
     )
+    return F.try_to_date(F.regexp_replace(strip(value), iso, "#$1$4$7-$2$5$8-$3$6$9"), "'#'yyyy-M-d")
 
 
 def ordinal(day: Column) -> Column:
@@ -187,10 +188,39 @@ def _render_pieces(date: Column, pieces: Iterable[tuple[str, object]]) -> list[C
     return out
 
 
+# The template tokens in the pattern language of date_format.
+_JAVA_PATTERNS = {
+    "YYYY": "yyyy", "YY": "yy", "MMMM": "MMMM", "MMM": "MMM", "MM": "MM", "M": "M",
+    "DD": "dd", "D": "d", "dddd": "EEEE",
+}
+
+
+def _java_pattern(pieces: Iterable[tuple[str, object]]) -> str | None:
+    """One date_format pattern for a template; null if it has an ordinal day."""
+    out = ""
+    for kind, value in pieces:
+        if kind == "token":
+            if value not in _JAVA_PATTERNS:
+                return None
+            out += _JAVA_PATTERNS[str(value)]
+        elif kind == "optional":
+            inner = _java_pattern(value)
+            if inner is None:
+                return None
+            out += inner
+        else:
+            out += "".join(f"'{ch}'" if ch.isalpha() else "''" if ch == "'" else ch for ch in str(value))
+    return None if re.search(r"[\[\]{}#]", out) else out
+
+
 def render_date(date: Column, template: str, lenient: bool = True) -> Column:
     """Text of a DATE under one template."""
-    pieces = _render_pieces(date, read_template(template, lenient))
-    return F.concat(*pieces) if pieces else F.lit("")
+    pieces = read_template(template, lenient)
+    pattern = _java_pattern(pieces)
+    if pattern:
+        return F.date_format(date, pattern)
+    rendered = _render_pieces(date, pieces)
+    return F.concat(*rendered) if rendered else F.lit("")
 
 
 def loose_date(value: Column | str, template: str | None) -> Column:

@@ -59,8 +59,7 @@ def plain_text(value: Column | str) -> Column:
 
 def words(value: Column | str) -> Column:
     """The words of ``plain_text`` as an array; empty for blank text."""
-    text = plain_text(value)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
+    return F.regexp_extract_all(F.lower(F.coalesce(_col(value), F.lit(""))), F.lit(r"[a-z0-9]+"), F.lit(0))
 
 
 def upper_tokens(value: Column | str) -> Column:

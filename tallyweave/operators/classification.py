@@ -52,35 +52,43 @@ _SCORES = T.StructType([T.StructField(kind, T.DoubleType()) for kind in TYPE_SYN
 # --- amount evidence ---------------------------------------------------------------------------
 
 
-def _side(label: Column) -> Column:
-    """'debit', 'credit' or null for a column label; debit is tried first."""
-    name = label_key(label)
-
-    def like(hints: tuple[str, ...]) -> Column:
-        hit = F.lit(False)
-        for hint in hints:
-            hit = hit | name.startswith(hint) | name.endswith(hint)
-        return hit
-
-    return F.when(like(DEBIT_HINTS), "debit").when(like(CREDIT_HINTS), "credit")
-
+def _amount_labels(cells: Column) -> Column:
+    """The normalised labels of the cells that hold an amount."""
+    return F.filter(
+        F.transform(
+            F.map_entries(cells), lambda e: F.when(amounts.has_amount(e["value"]), label_key(e["key"]))
+        ),
+        lambda name: name.isNotNull(),
+    )
 
-def amount_hint_expr(total: Column, raw: Column) -> Column:
-    """'invoice' if only debits have an amount, 'credit' if only credits have, else null."""
 
-    def has_side(side: str) -> Column:
-        def within(cells: Column) -> Column:
-            found = F.exists(F.map_entries(cells), lambda e: (_side(e["key"]) == side) & amounts.has_amount(e["value"]))
-            return F.coalesce(found, F.lit(False))
+def _on_side(labels: Column, debit: bool) -> Column:
+    """Whether one of the labels names a debit (or credit) column; debit is tried first."""
+    debit_like = "^(?:{0})|(?:{0})$".format("|".join(DEBIT_HINTS))
+    credit_like = "^(?:{0})|(?:{0})$".format("|".join(CREDIT_HINTS))
+    if debit:
+        return F.exists(labels, lambda name: name.rlike(debit_like))
+    return F.exists(labels, lambda name: ~name.rlike(debit_like) & name.rlike(credit_like))
 
-        return within(total) | within(raw)
 
-    debit, credit = has_side("debit"), has_side("credit")
-    return F.when(debit & ~credit, "invoice").when(credit & ~debit, "credit")
+def with_amount_hint(items: DataFrame, output: str) -> DataFrame:
+    """Add 'invoice' if only debits have an amount, 'credit' if only credits have, else null."""
+    nothing = F.array().cast("array<string>")
+    labelled = items.withColumn(
+        "amount_labels",
+        F.concat(F.coalesce(_amount_labels(F.col("total")), nothing), F.coalesce(_amount_labels(F.col("raw")), nothing)),
+    )
+    sides = labelled.withColumn("on_debit", _on_side(F.col("amount_labels"), True)).withColumn(
+        "on_credit", _on_side(F.col("amount_labels"), False)
+    )
+    return sides.withColumn(
+        output,
+        F.when(F.col("on_debit") & ~F.col("on_credit"), "invoice").when(F.col("on_credit") & ~F.col("on_debit"), "credit"),
+    ).drop("amount_labels", "on_debit", "on_credit")
 
 
 def amount_hint(items: DataFrame) -> DataFrame:
-    return items.withColumn("amount_hint", amount_hint_expr(F.col("total"), F.col("raw")))
+    return with_amount_hint(items, "amount_hint")
 
 
 # --- words -------------------------------------------------------------------------------------
@@ -140,9 +148,8 @@ def guess_item_type(items: DataFrame, output: str = "guessed_type") -> DataFrame
     sends its tokens to ``token_similarity``.
     """
     cells = F.coalesce("raw", F.create_map().cast("map<string,string>"))
-    totals = F.coalesce("total", F.create_map().cast("map<string,string>"))
     prepared = (
-        items.withColumn("hint", amount_hint_expr(totals, cells))
+        with_amount_hint(items, "hint")
         .withColumn("joined", _joined_values(cells))
         .withColumn("tokens", upper_tokens("joined"))
         .withColumn("compact", id_key("joined"))
@@ -169,11 +176,14 @@ def guess_item_type(items: DataFrame, output: str = "guessed_type") -> DataFrame
         return F.when(candidate[name], F.col(f"scores.{name}")).otherwise(0.0)
 
     best = F.greatest(*[score(t) for t in TYPE_SYNONYMS])
-    best_type = F.coalesce(*[F.when(candidate[t] & (score(t) == best), t) for t in TYPE_SYNONYMS])
-    needed = F.coalesce(*[F.when(best_type == t, F.lit(low)) for t, low in MINIMUM_SCORE.items()])
-    guess = F.when((best > 0) & (best >= needed), best_type).otherwise(default)
+    scored = scored.withColumn("best", best)
+    scored = scored.withColumn(
+        "best_type", F.coalesce(*[F.when(candidate[t] & (score(t) == F.col("best")), t) for t in TYPE_SYNONYMS])
+    )
+    needed = F.coalesce(*[F.when(F.col("best_type") == t, F.lit(low)) for t, low in MINIMUM_SCORE.items()])
+    guess = F.when((F.col("best") > 0) & (F.col("best") >= needed), F.col("best_type")).otherwise(default)
     return scored.withColumn(output, F.coalesce("settled", guess)).drop(
-        "hint", "joined", "tokens", "compact", "settled", "scores"
+        "hint", "joined", "tokens", "compact", "settled", "scores", "best", "best_type"
     )
 
 

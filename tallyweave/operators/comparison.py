@@ -20,47 +20,41 @@ def attach_matches(rows: DataFrame, matches: DataFrame) -> DataFrame:
     return rows.join(found, [*STATEMENT_KEYS, "row_key"], "left")
 
 
-def _ledger_text(cell: Column, match: Column, date_format: Column, templates: Sequence[str]) -> Column:
-    blank = F.lit("")
-    shown = amounts.display_amount(cell["value"])
-    total = (
-        F.when(stripped(cell["value"]) == "", blank)
-        .when(shown == 0, "0.00")
-        .otherwise(F.coalesce(amounts.format_amount(match["total"]), blank))
-    )
-
-    def day(value: Column) -> Column:
-        return F.coalesce(dates.render_by_template(value, date_format, templates), blank)
-
-    field = cell["field"]
-    return (
-        F.when(field == "total", total)
-        .when(field == "date", day(match["date"]))
-        .when(field == "due_date", day(match["due_date"]))
-        .when(field == "number", F.coalesce(match["matched_number"], blank))
-        .when(field == "reference", F.coalesce(match["reference"], blank))
-        .otherwise(blank)
-    )
-
-
 def ledger_cells(rows: DataFrame, templates: Iterable[str]) -> DataFrame:
     """Add ``ledger``, the document's value for every cell shown.
 
     Amounts appear only where the statement has one, and a statement zero stays zero. Dates follow
-    the statement's format.
+    the statement's format. The document's texts are made once per row, the cells only pick.
     """
-    templates = list(templates)
-    return rows.withColumn(
-        "ledger",
-        F.transform("cells", lambda c: _ledger_text(c, F.col("match"), F.col("date_format"), templates)),
-    )
+    blank = F.lit("")
+    date_format, templates = F.col("date_format"), list(templates)
+    texts = {
+        "total": amounts.format_amount(F.col("match.total")),
+        "date": dates.render_by_template(F.col("match.date"), date_format, templates),
+        "due_date": dates.render_by_template(F.col("match.due_date"), date_format, templates),
+        "number": F.col("match.matched_number"),
+        "reference": F.col("match.reference"),
+    }
+    rows = rows.withColumn("doc_text", F.struct(*[F.coalesce(t, blank).alias(f) for f, t in texts.items()]))
+
+    def pick(cell: Column) -> Column:
+        total = F.when(stripped(cell["value"]) == "", blank).otherwise(
+            F.when(amounts.display_amount(cell["value"]) == 0, "0.00").otherwise(F.col("doc_text.total"))
+        )
+        out = F.when(cell["field"] == "total", total)
+        for field in texts:
+            if field != "total":
+                out = out.when(cell["field"] == field, F.col(f"doc_text.{field}"))
+        return out.otherwise(blank)
+
+    return rows.withColumn("ledger", F.transform("cells", pick)).drop("doc_text")
 
 
 def texts_equal(left: Column, right: Column) -> Column:
     """Equal as numbers if either side reads as one, else as trimmed text ignoring case."""
     a, b = amounts.compare_amount(left), amounts.compare_amount(right)
     as_text = F.lower(stripped(left)) == F.lower(stripped(right))
-    return F.when(a.isNotNull() | b.isNotNull(), F.coalesce(a == b, F.lit(False))).otherwise(as_text)
+    return F.when(a.eqNullSafe(b), as_text | a.isNotNull()).otherwise(False)
 
 
 def ids_agree(left: Column, right: Column) -> Column:

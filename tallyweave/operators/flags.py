@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.functions.text import KEY_RULES, has_text, is_payment_reference, stripped, unique_texts, words
+from tallyweave.functions.text import KEY_RULES, _col, has_text, is_payment_reference, stripped, unique_texts, words
 from tallyweave.schemas import STATEMENT_KEYS
 
 # Fixed value: the flag set on rows that are no transactions.
@@ -48,13 +48,13 @@ BILL_TYPE, CREDIT_TYPE = "ACCPAY", "ACCPAYCREDIT"
 OPEN_BILL_STATUSES = ("DRAFT", "SUBMITTED", "AUTHORISED", "PAID")
 
 
-def keyword_label(value: Column | str) -> Column:
-    """Label of the first rule whose words all occur in the text; null if none does.
+def keyword_label(tokens: Column | str) -> Column:
+    """Label of the first rule whose words all occur among the tokens; null if none does.
 
     'summary' and 'balance' alone only count in texts of up to three words, 'balance' moreover
     only without a number.
     """
-    tokens = words(value)
+    tokens = _col(tokens)
     short = F.size(tokens) <= 3
     extra = {
         ("summary",): short,
@@ -71,7 +71,12 @@ def keyword_label(value: Column | str) -> Column:
 
 def flag_items(items: DataFrame) -> DataFrame:
     """Add ``issues``, ``flag_details`` and the outlier flag to rows that look like no transaction."""
-    number_word, reference_word = keyword_label("number"), keyword_label("reference")
+    # The words are columns of their own, so that each text is split once.
+    items = items.withColumn("number_words", words("number")).withColumn("reference_words", words("reference"))
+    items = items.withColumn("number_word", keyword_label("number_words")).withColumn(
+        "reference_word", keyword_label("reference_words")
+    )
+    number_word, reference_word = F.col("number_word"), F.col("reference_word")
 
     def detail(field: str, issue: str, keyword: Column | None, value: Column | None) -> Column:
         null = F.lit(None).cast("string")
@@ -110,7 +115,7 @@ def flag_items(items: DataFrame) -> DataFrame:
             "flags",
             F.when((F.size("found") > 0) & ~F.array_contains(old, OUTLIER_FLAG), F.array_append(old, F.lit(OUTLIER_FLAG))).otherwise(old),
         )
-        .drop("found")
+        .drop("found", "number_words", "reference_words", "number_word", "reference_word")
     )
 
 

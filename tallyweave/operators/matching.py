@@ -207,32 +207,32 @@ def resolve_matches(candidates: DataFrame, pairs_per_task: int = PAIRS_PER_TASK)
 
 
 def _settle_in_tasks(pairs: DataFrame) -> DataFrame:
-    import pandas as pd
+    """One pass over the candidates of each statement, in row and preference order.
 
-    order = pairs.select(
-        *STATEMENT_KEYS,
-        "item_seq",
-        "matched_number",
-        (-F.col("id_length")).alias("length"),
-        F.col("doc_ord.kind").alias("kind"),
-        F.col("doc_ord.seq").alias("seq"),
+    Rows stream through in batches; a task remembers only the numbers used in the current statement.
+    """
+    columns = [*STATEMENT_KEYS, "item_seq", "matched_number"]
+    kind, seq = F.col("doc_ord.kind"), F.col("doc_ord.seq")
+    ordered = (
+        pairs.repartition(*STATEMENT_KEYS)
+        .sortWithinPartitions(*STATEMENT_KEYS, "item_seq", F.desc("id_length"), kind, seq, "matched_number")
+        .select(*columns)
     )
 
-    def assign(group: pd.DataFrame) -> pd.DataFrame:
-        used: set[str] = set()
-        kept = []
-        ranked = group.sort_values(["item_seq", "length", "kind", "seq", "matched_number"])
-        done = None
-        for place, (row, number) in enumerate(zip(ranked["item_seq"], ranked["matched_number"])):
-            if row != done and number not in used:
-                used.add(number)
-                kept.append(place)
-                done = row
-        return ranked.iloc[kept][[*STATEMENT_KEYS, "item_seq", "matched_number"]]
-
-    return order.groupBy(*STATEMENT_KEYS).applyInPandas(
-        assign, "tenant_id string, statement_id string, item_seq bigint, matched_number string"
-    )
+    def assign(batches):
+        statement, row, used = None, None, set()
+        for batch in batches:
+            kept = []
+            for place, (tenant, name, item, number) in enumerate(zip(*(batch[c] for c in columns))):
+                if (tenant, name) != statement:
+                    statement, row, used = (tenant, name), None, set()
+                if item != row and number not in used:
+                    used.add(number)
+                    kept.append(place)
+                    row = item
+            yield batch.iloc[kept]
+
+    return ordered.mapInPandas(assign, "tenant_id string, statement_id string, item_seq bigint, matched_number string")
 
 
 def _settle_in_rounds(pairs: DataFrame) -> DataFrame:
@@ -269,11 +269,17 @@ def _settle_in_rounds(pairs: DataFrame) -> DataFrame:
 
 
 def match_statements(items: DataFrame, docs: DataFrame, pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
-    """All matches: exact ones, then documents assigned by containment."""
-    exact = exact_matches(items, docs)
-    fuzzy = resolve_matches(substring_candidates(items, docs, exact), pairs_per_task)
+    """All matches: exact ones, then documents assigned by containment.
+
+    The rows' keys and the exact matches are read several times on the way; both are narrow and are
+    written to the checkpoint folder once.
+    """
+    checkpoint_folder(items.sparkSession)
+    keys = items.select(*STATEMENT_KEYS, "contact_id", "item_seq", "row_key").checkpoint()
+    exact = exact_matches(keys, docs).checkpoint()
+    fuzzy = resolve_matches(substring_candidates(keys, docs, exact), pairs_per_task)
     # The key's last row stands for it, also where the document came from an earlier one.
-    last_rows = _keyed_items(items).select(*STATEMENT_KEYS, "row_key", "item_seq")
+    last_rows = _keyed_items(keys).select(*STATEMENT_KEYS, "row_key", "item_seq")
     fuzzy = fuzzy.drop("item_seq").join(last_rows, [*STATEMENT_KEYS, "row_key"])
     return exact.unionByName(fuzzy)
 

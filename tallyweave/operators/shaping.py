@@ -448,31 +448,36 @@ def display_headers(statements: DataFrame) -> DataFrame:
         )
     )
 
-    def tier(name: Column) -> Column:
-        out = F.lit(9)
+    def listed(header: Column, pos: Column) -> Column:
+        name = header_key(header)
+        return F.struct(pos.alias("pos"), header.alias("header"), name.alias("name"), F.try_element_at("mapping", name).alias("listed"))
+
+    def with_field(h: Column) -> Column:
+        own = F.lower(h["header"])
+        field = F.coalesce(F.when(h["listed"] != "", h["listed"]), F.when(own.isin(*STANDARD_FIELDS), own))
+        return F.struct(h["pos"].alias("pos"), h["header"].alias("header"), h["name"].alias("name"), field.alias("field"))
+
+    def ranked(h: Column) -> Column:
+        tier = F.lit(9)
         for number, patterns in reversed(list(enumerate(AMOUNT_TIERS, start=1))):
-            hit = F.lit(False)
-            for pattern in patterns:
-                hit = hit | name.startswith(pattern) | name.endswith(pattern)
-            out = F.when(hit, number).otherwise(out)
-        return out
-
-    def describe(header: Column, pos: Column) -> Column:
-        listed = F.try_element_at("mapping", header_key(header))
-        own = F.when(F.lower(header).isin(*STANDARD_FIELDS), F.lower(header))
-        field = F.coalesce(F.when(listed != "", listed), own)
-        rank = F.array_position(F.array(*[F.lit(f) for f in FIELD_ORDER]), field)
+            either = "|".join(patterns)
+            tier = F.when(h["name"].rlike(f"^(?:{either})|(?:{either})$"), number).otherwise(tier)
+        rank = F.lit(98)
+        for number, field in enumerate(FIELD_ORDER):
+            rank = F.when(h["field"] == field, number).otherwise(rank)
+        is_total = h["field"] == "total"
         return F.struct(
-            F.when(field == "total", 99).when(rank > 0, rank.cast("int")).otherwise(98).alias("rank"),
-            pos.alias("pos"),
-            header.alias("header"),
-            field.alias("field"),
-            F.when(field == "total", tier(header_key(header))).otherwise(0).alias("tier"),
+            F.when(is_total, 99).otherwise(rank).alias("rank"),
+            h["pos"].alias("pos"),
+            h["header"].alias("header"),
+            h["field"].alias("field"),
+            F.when(is_total, tier).otherwise(0).alias("tier"),
         )
 
+    with_fields = F.filter(F.transform(F.transform("column_order", listed), with_field), lambda h: h["field"].isNotNull())
     mapped = (
         statements.withColumn("mapping", normalised)
-        .withColumn("described", F.filter(F.transform("column_order", describe), lambda h: h["field"].isNotNull()))
+        .withColumn("described", F.transform(with_fields, ranked))
         .withColumn("best", F.array_min(F.transform(F.filter("described", lambda h: h["tier"] > 0), lambda h: h["tier"])))
     )
     kept = F.filter("described", lambda h: (h["tier"] == 0) | ((h["tier"] == F.col("best")) & (h["tier"] < 9)))
@@ -496,45 +501,49 @@ def item_number_header(statements: DataFrame) -> DataFrame:
     return display_headers(statements).select(*STATEMENT_KEYS, "number_header")
 
 
-def cell_text(value: Column, field: Column, date_format: Column, templates: Iterable[str]) -> Column:
-    """Display text of one statement cell.
-
-    Dates are rewritten in the statement's format, amounts shown as absolute values (the ledger
-    holds positive totals); other cells stay as they are.
-    """
-    raw = F.coalesce(value, F.lit(""))
-    day = dates.coerce_by_template(raw, date_format, templates)
-    number = amounts.display_amount(raw)
-    return (
-        F.when(
-            field.isin("date", "due_date"), F.coalesce(dates.render_by_template(day, date_format, templates), raw)
-        )
-        .when(field == "total", F.coalesce(amounts.format_amount(F.abs(number)), raw))
-        .otherwise(raw)
-    )
-
-
 def statement_cells(items: DataFrame, layouts: DataFrame, templates: Iterable[str]) -> DataFrame:
     """Add to each item its ``cells``, (pos, header, field, value) of the columns shown, and ``row_key``.
 
     ``layouts`` is the result of ``display_headers``; ``row_key`` is the trimmed display value of
     the identifying column. The join is on the statement and brings one row per statement.
+    Dates are rewritten in the statement's format and amounts shown as absolute values (the ledger
+    holds positive totals); other cells stay as they are.
     """
     templates = list(templates)
     joined = items.drop("contact_id", "date_format", "headers", "number_header").join(
         layouts.select(*STATEMENT_KEYS, "contact_id", "date_format", "headers", "number_header"), STATEMENT_KEYS
     )
-    cells = F.transform(
-        "headers",
-        lambda h: F.struct(
-            h["pos"].alias("pos"),
-            h["header"].alias("header"),
-            h["field"].alias("field"),
-            cell_text(F.try_element_at("raw", h["header"]), h["field"], F.col("date_format"), templates).alias("value"),
-        ),
-    )
-    key = F.get(F.filter("cells", lambda c: c["header"] == F.col("number_header")), 0)["value"]
-    return joined.withColumn("cells", cells).withColumn("row_key", stripped(key)).drop("headers")
+    date_format = F.col("date_format")
+
+    def read(h: Column) -> Column:
+        text = F.coalesce(F.try_element_at("raw", h["header"]), F.lit(""))
+        return F.struct(h["pos"].alias("pos"), h["header"].alias("header"), h["field"].alias("field"), text.alias("text"))
+
+    def interpret(c: Column) -> Column:
+        day = dates.coerce_by_template(c["text"], date_format, templates)
+        return F.struct(
+            c["pos"].alias("pos"),
+            c["header"].alias("header"),
+            c["field"].alias("field"),
+            c["text"].alias("text"),
+            F.when(c["field"].isin("date", "due_date"), day).alias("day"),
+        )
+
+    def show(c: Column) -> Column:
+        day = dates.render_by_template(c["day"], date_format, templates)
+        amount = amounts.format_amount(F.abs(amounts.display_amount(c["text"])))
+        shown = F.when(c["field"].isin("date", "due_date"), day).when(c["field"] == "total", amount)
+        return F.struct(
+            c["pos"].alias("pos"),
+            c["header"].alias("header"),
+            c["field"].alias("field"),
+            F.coalesce(shown, c["text"]).alias("value"),
+        )
+
+    cells = F.transform(F.transform(F.transform("headers", read), interpret), show)
+    # The identifying cell is shown as it is, so the key needs none of the cells.
+    key = stripped(F.try_element_at("raw", F.col("number_header")))
+    return joined.withColumns({"cells": cells, "row_key": key}).drop("headers")
 
 
 def explode_cells(rows: DataFrame, column: str = "cells") -> DataFrame:
