@@ -127,6 +127,14 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
           CASE WHEN layout = 0 THEN description WHEN layout = 1 THEN number_text ELSE '' END AS reference
           FROM order_items""",
     ),
+    "amount_texts": (
+        ("order_items",),
+        f"""SELECT k AS id, CASE WHEN k % 12 < 5 THEN {_amount_text("cents", "k % 12")}
+          WHEN k % 12 = 5 THEN concat(CAST(CAST(floor(cents / 100) AS BIGINT) AS STRING), '.', {_digits("cents % 100", 2)}, '-')
+          WHEN k % 12 = 6 THEN concat('-', CAST(CAST(floor(cents / 100) AS BIGINT) AS STRING), ',', {_digits("cents % 100", 2)})
+          WHEN k % 12 = 7 THEN CAST(cents AS STRING) WHEN k % 12 = 8 THEN concat('n/a ', CAST(k % 10 AS STRING))
+          WHEN k % 12 = 9 THEN '' WHEN k % 12 = 10 THEN concat('PO-', CAST(k AS STRING)) ELSE '1.5 USD' END AS text FROM order_items""",
+    ),
     "item_status": (
         ("order_items",),
         """SELECT tenant_id, statement_item_id, k % 3 = 0 AS completed FROM order_items WHERE k % 4 <> 0""",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions import amounts, dates
 from tallyweave.functions.text import has_text, header_key, strip, stripped
 from tallyweave.schemas import STANDARD_FIELDS, STATEMENT_KEYS
+from tallyweave.session import checkpoint_folder
 
 # How amount columns are recognised, most telling group first.
 AMOUNT_TIERS = (
@@ -159,7 +160,9 @@ def merge_chunks(chunks: DataFrame) -> DataFrame:
     )
     # Chunks without lines neither overlap nor stand between two others.
     digested = digested.where(F.size("digests") > 0)
-    positions = _chunk_ranks(digested)
+    # Read several times below, and narrow: written to the checkpoint folder once.
+    checkpoint_folder(chunks.sparkSession)
+    positions = _chunk_ranks(digested.checkpoint()).checkpoint()
     previous = positions.select(
         *STATEMENT_KEYS, (F.col("rank") + 1).alias("rank"), F.col("digests").alias("before")
     )
@@ -332,19 +335,20 @@ def monetary_values(cells: DataFrame, total_columns: DataFrame, excluded_columns
     a statement with none of them falls back to every monetary-looking cell outside the excluded
     columns. Of headers that repeat, the first one is meant.
     """
-    header = F.lower(F.trim("header"))
-    value = stripped("value")
-    base = cells.withColumn("header", header).withColumn("value", value).where(F.col("value") != "")
-    named = total_columns.select(*STATEMENT_KEYS, header.alias("header")).distinct()
-    positions = cells.withColumn("header", header).groupBy(*STATEMENT_KEYS, "header").agg(F.min("header_pos").alias("header_pos"))
-    in_total = base.join(named.join(positions, [*STATEMENT_KEYS, "header"]), [*STATEMENT_KEYS, "header", "header_pos"], "left_semi")
-    rest = base.join(in_total.select(*STATEMENT_KEYS).distinct(), STATEMENT_KEYS, "left_anti")
+    name = F.lower(F.trim("header")).alias("name")
+    placed = [*STATEMENT_KEYS, "name", "header_pos"]
+    named_cells = cells.select("*", name)
+    first_places = named_cells.groupBy(*STATEMENT_KEYS, "name").agg(F.min("header_pos").alias("header_pos"))
+
+    def places(columns: DataFrame) -> DataFrame:
+        return columns.select(*STATEMENT_KEYS, name).distinct().join(first_places, [*STATEMENT_KEYS, "name"])
+
+    filled = named_cells.withColumn("value", stripped("value")).where(F.col("value") != "")
+    in_total = filled.join(places(total_columns), placed, "left_semi")
+    rest = filled.join(in_total.select(*STATEMENT_KEYS).distinct(), STATEMENT_KEYS, "left_anti")
     if excluded_columns is not None:
-        hidden = excluded_columns.select(*STATEMENT_KEYS, header.alias("header")).distinct()
-        rest = rest.join(
-            hidden.join(positions, [*STATEMENT_KEYS, "header"]), [*STATEMENT_KEYS, "header", "header_pos"], "left_anti"
-        )
-    return in_total.unionByName(rest.where(looks_monetary(F.col("value"))))
+        rest = rest.join(places(excluded_columns), placed, "left_anti")
+    return in_total.unionByName(rest.where(looks_monetary(F.col("value")))).drop("name")
 
 
 def separator_roles(value: Column) -> Column:
