@@ -22,7 +22,7 @@ def keyword_sql(column: str) -> str:
         if required == ("summary",):
             test += " AND len(w) <= 3"
         if required == ("balance",):
-            test += " AND len(w) <= 3 AND len(list_filter(w, x -> regexp_matches(x, '^\\d+$'))) = 0"
+            test += " AND len(w) <= 3 AND NOT regexp_matches(array_to_string(w, ' '), '(^| )\\d+( |$)')"
         cases.append(f"WHEN {test} THEN '{label}'")
     return f"(SELECT CASE {' '.join(cases)} END FROM (SELECT {words} AS w) x)"
 
