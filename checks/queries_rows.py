@@ -9,6 +9,7 @@ from checks.queries_shaping import CELLS
 from checks.registry import compare_sql, decimal_sql, format_money_sql, id_key_sql, iso, money, money_sql, query
 from tallyweave.operators import classification, comparison, flags, ledger, matching, shaping
 from tallyweave.plans import reconcile
+from tallyweave.session import checkpoint_folder
 
 ITEMS = ("items_flat", "ledger_docs")
 
@@ -192,6 +193,13 @@ def _rows(t):
     return shaping.prepare_display(t.statements(), t.items(), DATE_FORMATS)
 
 
+def _keys_and_docs(t):
+    """The rows' keys written once, as ``match_statements`` does, with the documents and exact matches."""
+    checkpoint_folder(t.spark)
+    keys, docs = _rows(t).select("tenant_id", "statement_id", "contact_id", "item_seq", "row_key").checkpoint(), _docs(t)
+    return keys, docs, matching.exact_matches(keys, docs).checkpoint()
+
+
 EXACT = """SELECT i.statement_id, i.k, i.contact_id, trim(number_text) AS row_key, d.doc_id, d.doc_kind, d.number FROM items_flat i JOIN ledger_docs d ON d.contact_id = i.contact_id AND d.number = trim(number_text) WHERE trim(number_text) <> ''"""
 OPEN = f"SELECT i.* FROM items_flat i WHERE trim(number_text) <> '' AND NOT EXISTS (SELECT 1 FROM ({EXACT}) e WHERE e.statement_id = i.statement_id AND e.row_key = trim(i.number_text))"
 PAIRS = f"""SELECT o.statement_id, o.k AS item_seq, d.number, d.doc_id, length(did) AS id_length, d.doc_kind, d.load_seq FROM (SELECT *, {id_key_sql("number_text")} AS iid FROM ({OPEN}) a WHERE NOT regexp_matches(lower(number_text), 'payment|paid|remittance|receipt')) o
@@ -240,8 +248,7 @@ def ledger_only_documents(t):
 
 @query("substring_candidates", with_tables(ITEMS, f"SELECT statement_id, item_seq, number AS matched_number, doc_id, id_length FROM ({PAIRS}) p"))
 def substring_candidates(t):
-    rows, docs = _rows(t), _docs(t)
-    found = matching.substring_candidates(rows, docs, matching.exact_matches(rows, docs))
+    found = matching.substring_candidates(*_keys_and_docs(t))
     return found.select("statement_id", "item_seq", "matched_number", "doc_id", "id_length")
 
 
@@ -254,15 +261,13 @@ def substring_candidates(t):
     ),
 )
 def best_candidates(t):
-    rows, docs = _rows(t), _docs(t)
-    found = matching.substring_candidates(rows, docs, matching.exact_matches(rows, docs))
+    found = matching.substring_candidates(*_keys_and_docs(t))
     return matching.best_candidate(found).select("statement_id", "item_seq", "matched_number", "doc_id")
 
 
 @query("resolved_matches")
 def resolved_matches(t):
-    rows, docs = _rows(t), _docs(t)
-    found = matching.substring_candidates(rows, docs, matching.exact_matches(rows, docs))
+    found = matching.substring_candidates(*_keys_and_docs(t))
     return matching.resolve_matches(found).select("statement_id", "row_key", "matched_number", "match_type")
 
 
