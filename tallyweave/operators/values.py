@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
+from datetime import date
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,11 +85,6 @@ def normalise_dates(
 
 def _many_templates(lenient: bool):
     """Vectorised reading for tables whose templates are too many for one expression."""
-    import re
-    from datetime import date
-
-    import pandas as pd
-
     compiled: dict[str, tuple[re.Pattern, list[str]]] = {}
 
     def read(text: str | None, template: str | None):

@@ -67,7 +67,8 @@ def token_processor() -> StatefulProcessor:
                     out.append((tenant, command_id, "ADJUSTMENT", delta if accepted else 0, None, accepted, balance, source, None))
                 self.seen.updateValue((command_id,), (accepted,))
             self.balance.update((balance,))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(",")])
+            if out:
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(",")])
 
         def close(self) -> None:
             pass
@@ -105,14 +106,12 @@ def stale_processor(stale_after_ms: int) -> StatefulProcessor:
                 self.handle.deleteTimer(timer)
             if self.last.get()[1]:
                 self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + stale_after_ms)
-            yield pd.DataFrame({"tenant_id": [], "heartbeat_ms": []})
+            return iter(())
 
         def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
             heartbeat, running = self.last.get()
             if running:
                 yield pd.DataFrame({"tenant_id": [key[0]], "heartbeat_ms": [heartbeat]})
-            else:
-                yield pd.DataFrame({"tenant_id": [], "heartbeat_ms": []})
 
         def close(self) -> None:
             pass
