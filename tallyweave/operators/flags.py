@@ -72,9 +72,9 @@ def keyword_label(tokens: Column | str) -> Column:
 def flag_items(items: DataFrame) -> DataFrame:
     """Add ``issues``, ``flag_details`` and the outlier flag to rows that look like no transaction."""
     # The words are columns of their own, so that each text is split once.
-    items = items.withColumn("number_words", words("number")).withColumn("reference_words", words("reference"))
-    items = items.withColumn("number_word", keyword_label("number_words")).withColumn(
-        "reference_word", keyword_label("reference_words")
+    items = items.withColumns({"number_words": words("number"), "reference_words": words("reference")})
+    items = items.withColumns(
+        {"number_word": keyword_label("number_words"), "reference_word": keyword_label("reference_words")}
     )
     number_word, reference_word = F.col("number_word"), F.col("reference_word")
 
@@ -108,15 +108,16 @@ def flag_items(items: DataFrame) -> DataFrame:
     )
     flagged = items.withColumn("found", F.filter(found, lambda f: f.isNotNull()))
     old = F.coalesce("flags", F.array().cast("array<string>")) if "flags" in items.columns else F.array().cast("array<string>")
-    return (
-        flagged.withColumn("issues", F.transform("found", lambda f: f["name"]))
-        .withColumn("flag_details", F.transform("found", lambda f: f["detail"]))
-        .withColumn(
-            "flags",
-            F.when((F.size("found") > 0) & ~F.array_contains(old, OUTLIER_FLAG), F.array_append(old, F.lit(OUTLIER_FLAG))).otherwise(old),
-        )
-        .drop("found", "number_words", "reference_words", "number_word", "reference_word")
-    )
+    marked = F.when(
+        (F.size("found") > 0) & ~F.array_contains(old, OUTLIER_FLAG), F.array_append(old, F.lit(OUTLIER_FLAG))
+    ).otherwise(old)
+    return flagged.withColumns(
+        {
+            "issues": F.transform("found", lambda f: f["name"]),
+            "flag_details": F.transform("found", lambda f: f["detail"]),
+            "flags": marked,
+        }
+    ).drop("found", "number_words", "reference_words", "number_word", "reference_word")
 
 
 def drop_flagged(items: DataFrame) -> DataFrame:

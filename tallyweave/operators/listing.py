@@ -82,7 +82,9 @@ def statement_counts(headers: DataFrame) -> DataFrame:
 
 def longest_files(files: DataFrame, k: int = 20) -> DataFrame:
     """The k files with the most pages, next to the total and the maximum over all files."""
-    totals = files.agg(F.sum("page_count").alias("total_pages"), F.max("page_count").alias("max_pages"))
-    longest = files.orderBy(F.desc("page_count"), "filename").limit(k)
-    # One row of totals joins k rows.
-    return longest.join(F.broadcast(totals), F.lit(True))
+    return (
+        files.orderBy(F.desc("page_count"), "filename")
+        .limit(k)
+        .withColumn("total_pages", files.agg(F.sum("page_count")).scalar())
+        .withColumn("max_pages", files.agg(F.max("page_count")).scalar())
+    )

@@ -427,13 +427,9 @@ def common_formats(values: DataFrame, column: str, order: str, k: int = 5, by: S
     )
     if not by:
         return patterns.orderBy(F.desc("samples"), "first_seen").limit(k)
-    best = patterns.groupBy(*by).agg(
-        # One entry per distinct pattern of a group, not per row.
-        F.slice(
-            F.array_sort(F.collect_list(F.struct((-F.col("samples")).alias("rank"), "first_seen", "pattern", "samples"))), 1, k
-        ).alias("best")
-    )
-    return best.select(*by, F.explode("best").alias("b")).select(*by, "b.pattern", "b.samples", "b.first_seen")
+    # Spark keeps only the first k of a group on each side of the shuffle.
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("samples"), "first_seen"))
+    return patterns.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
 # --- columns to show ---------------------------------------------------------------------------

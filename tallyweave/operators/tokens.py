@@ -152,11 +152,11 @@ def resolve_contacts(contacts: DataFrame) -> DataFrame:
 def resolve_tier(lines: DataFrame, price_tiers: DataFrame, by: str = "invoice_id") -> DataFrame:
     """Tier of each paid invoice from its lines.
 
-    ``lines`` have (pos, price_id, amount, proration); ``price_tiers`` maps price ids to tiers, a
-    few fixed rows. Lines that credit a proration only count when no other line has a tier.
+    ``lines`` have (pos, price_id, amount, proration); ``price_tiers`` maps price ids to tiers and is
+    broadcast by Spark only while its size allows. Lines that credit a proration only count when no other line has a tier.
     """
     credit = F.coalesce("proration", F.lit(False)) & (F.coalesce("amount", F.lit(0)) < 0)
-    known = lines.join(F.broadcast(price_tiers.select("price_id", "tier_id")), "price_id")
+    known = lines.join(price_tiers.select("price_id", "tier_id"), "price_id")
     return known.groupBy(by).agg(F.min_by("tier_id", F.struct(credit.alias("credit"), F.col("pos"))).alias("tier_id"))
 
 

@@ -19,7 +19,8 @@ def token_processor() -> StatefulProcessor:
 
     State: the balance, the open reservations by statement, and the ids of commands applied.
     A reservation command covers a whole upload batch: its statements share a command id, and all of
-    them are accepted or none. The first settlement of a reservation counts; repeated commands and
+    them are accepted or none. A tenant's commands of one micro-batch are ordered in memory, so the
+    source's rate limit (such as ``maxFilesPerTrigger``) bounds what a task holds. The first settlement of a reservation counts; repeated commands and
     settlements change nothing and give no row.
     """
 
@@ -29,7 +30,7 @@ def token_processor() -> StatefulProcessor:
             self.open = handle.getMapState("open", "statement_id string", "pages long")
             self.seen = handle.getMapState("seen", "command_id string", "accepted boolean")
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             (tenant,) = key
             balance = self.balance.get()[0] if self.balance.exists() else 0
             batch = pd.concat(list(rows)).sort_values(["at", "command_id", "statement_id"], na_position="first")
@@ -96,7 +97,7 @@ def stale_processor(stale_after_ms: int) -> StatefulProcessor:
             self.handle = handle
             self.last = handle.getValueState("last", "heartbeat_ms long, running boolean")
 
-        def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             beats = pd.concat(list(rows))
             latest = beats.sort_values("heartbeat_ms").iloc[-1]
             known = self.last.get()[0] if self.last.exists() else -1
@@ -105,10 +106,10 @@ def stale_processor(stale_after_ms: int) -> StatefulProcessor:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             if self.last.get()[1]:
-                self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + stale_after_ms)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + stale_after_ms)
             return iter(())
 
-        def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             heartbeat, running = self.last.get()
             if running:
                 yield pd.DataFrame({"tenant_id": [key[0]], "heartbeat_ms": [heartbeat]})
