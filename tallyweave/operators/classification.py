@@ -197,15 +197,20 @@ def classify_items(items: DataFrame, matches: DataFrame, payments: DataFrame) ->
     paid invoice, the row's own amounts and words. ``payments`` is the result of
     ``payments_by_invoice_number``; ``items`` carry ``row_key`` and ``contact_id``.
     """
-    typed = doc_type_of_match(matches)
-    by_key = typed.select(*STATEMENT_KEYS, "row_key", F.col("doc_type").alias("key_type"), F.col("item_seq").alias("match_seq"))
-    paid = payments.select("tenant_id", "contact_id", F.col("invoice_number").alias("row_key")).distinct().withColumn("paid", F.lit(True))
-    joined = guess_item_type(items).join(by_key, [*STATEMENT_KEYS, "row_key"], "left").join(
-        paid, ["tenant_id", "contact_id", "row_key"], "left"
+    by_key = doc_type_of_match(matches).select(*STATEMENT_KEYS, "row_key", F.col("doc_type").alias("key_type"))
+    paid = payments.select("tenant_id", "contact_id", F.col("invoice_number").alias("row_key")).distinct()
+    # Evidence is gathered on narrow rows; the items themselves are joined once, by statement and key.
+    keys = items.select(*STATEMENT_KEYS, "contact_id", "row_key").where(F.col("row_key") != "").distinct()
+    evidence = (
+        keys.join(paid.withColumn("paid", F.lit(True)), ["tenant_id", "contact_id", "row_key"], "left")
+        .join(by_key, [*STATEMENT_KEYS, "row_key"], "left")
+        .where(F.col("paid") | F.col("key_type").isNotNull())
+        .select(*STATEMENT_KEYS, "row_key", "paid", "key_type")
     )
+    joined = guess_item_type(items).join(evidence, [*STATEMENT_KEYS, "row_key"], "left")
     source = (
         F.when(F.col("key_type").isNotNull(), F.concat("key_type", F.lit("_match")))
-        .when(F.coalesce("paid", F.lit(False)) & (F.col("row_key") != ""), "payment_match")
+        .when(F.coalesce("paid", F.lit(False)), "payment_match")
         .otherwise("heuristic")
     )
     return (
@@ -216,7 +221,7 @@ def classify_items(items: DataFrame, matches: DataFrame, payments: DataFrame) ->
             .when(F.col("type_source") == "heuristic", F.col("guessed_type"))
             .otherwise(F.col("key_type")),
         )
-        .drop("key_type", "match_seq", "paid", "guessed_type")
+        .drop("key_type", "paid", "guessed_type")
     )
 
 

@@ -99,11 +99,17 @@ def row_matches(rows: DataFrame) -> DataFrame:
 
 
 def attach_item_status(items: DataFrame, item_status: DataFrame) -> DataFrame:
-    """Add ``is_completed`` by item id; false where nothing is recorded."""
+    """Add ``is_completed`` by item id; false where nothing is recorded.
+
+    An item id starts with its statement's id, so the join is by statement as well and the items
+    need not be shuffled anew.
+    """
     recorded = (
-        item_status.groupBy("tenant_id", "statement_item_id").agg(F.bool_or("completed").alias("is_completed"))
+        item_status.withColumn("statement_id", F.substring_index("statement_item_id", "#item-", 1))
+        .groupBy("tenant_id", "statement_id", "statement_item_id")
+        .agg(F.bool_or("completed").alias("is_completed"))
     )
-    return items.join(recorded, ["tenant_id", "statement_item_id"], "left").withColumn(
+    return items.join(recorded, ["tenant_id", "statement_id", "statement_item_id"], "left").withColumn(
         "is_completed", F.coalesce("is_completed", F.lit(False))
     )
 

@@ -17,6 +17,8 @@ RUNTIME_SETTINGS = {
     # One statement, contact or tenant may hold a large part of all rows: split it even where that
     # costs another shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rows shuffled by statement stay in place for joins on the statement and more.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
