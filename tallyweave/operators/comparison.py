@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions import amounts, dates
+from tallyweave.functions.arrays import unfold
 from tallyweave.functions.text import id_key, item_type_label, stripped
 from tallyweave.schemas import ITEM_KEYS, STATEMENT_KEYS
 
@@ -83,9 +84,7 @@ def compare_cells(rows: DataFrame) -> DataFrame:
 
 def explode_comparisons(rows: DataFrame) -> DataFrame:
     """The long form of ``comparisons``."""
-    return rows.select(*ITEM_KEYS, F.posexplode("comparisons").alias("header_pos", "c")).select(
-        *ITEM_KEYS, "header_pos", "c.*"
-    )
+    return unfold(rows, ITEM_KEYS, "comparisons", "c", "header_pos").select(*ITEM_KEYS, "header_pos", "c.*")
 
 
 def row_matches(rows: DataFrame) -> DataFrame:

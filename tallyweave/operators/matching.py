@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.functions.arrays import unfold
 from tallyweave.functions.text import id_key, is_payment_reference, stripped
 from tallyweave.schemas import CONTACT_KEYS, STATEMENT_KEYS
 from tallyweave.session import checkpoint_folder
@@ -109,7 +110,7 @@ def contained_keys(short: DataFrame, long: DataFrame) -> DataFrame:
             )
         )
     )
-    cut = long.join(lengths, CONTACT_KEYS).select(*CONTACT_KEYS, "long_key", F.explode(pieces).alias("short_key"))
+    cut = unfold(long.join(lengths, CONTACT_KEYS), [*CONTACT_KEYS, "long_key"], pieces, "short_key").drop("place")
     return cut.join(short, [*CONTACT_KEYS, "short_key"])
 
 

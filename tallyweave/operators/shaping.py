@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions import amounts, dates
+from tallyweave.functions.arrays import unfold
 from tallyweave.functions.text import has_text, header_key, strip, stripped
 from tallyweave.schemas import STANDARD_FIELDS, STATEMENT_KEYS
 from tallyweave.session import checkpoint_folder
@@ -548,9 +549,8 @@ def statement_cells(items: DataFrame, layouts: DataFrame, templates: Iterable[st
 
 def explode_cells(rows: DataFrame, column: str = "cells") -> DataFrame:
     """The long cell table: one row per item and shown column, ``header_pos`` in display order."""
-    return rows.select(
-        *STATEMENT_KEYS, "item_seq", F.posexplode(column).alias("header_pos", "cell")
-    ).select(*STATEMENT_KEYS, "item_seq", "header_pos", "cell.*").drop("pos")
+    cells = unfold(rows, [*STATEMENT_KEYS, "item_seq"], column, "cell", "header_pos")
+    return cells.select(*STATEMENT_KEYS, "item_seq", "header_pos", "cell.*").drop("pos")
 
 
 def prepare_display(statements: DataFrame, items: DataFrame, templates: Iterable[str] | None = None) -> DataFrame:
