@@ -267,8 +267,10 @@ def best_candidates(t):
 
 @query("resolved_matches")
 def resolved_matches(t):
-    found = matching.substring_candidates(*_keys_and_docs(t))
-    return matching.resolve_matches(found).select("statement_id", "row_key", "matched_number", "match_type")
+    keys, docs, exact = _keys_and_docs(t)
+    rows = matching.open_rows(keys, exact).checkpoint()
+    resolved = matching.resolve_matches(rows, matching.id_candidates(rows, docs, exact))
+    return resolved.select("statement_id", "row_key", "matched_number", "match_type")
 
 
 # Every row of these statements has its own document, so containment matching has one outcome.

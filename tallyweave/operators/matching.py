@@ -114,25 +114,33 @@ def contained_keys(short: DataFrame, long: DataFrame) -> DataFrame:
     return cut.join(short, [*CONTACT_KEYS, "short_key"])
 
 
-def substring_candidates(items: DataFrame, docs: DataFrame, exact: DataFrame) -> DataFrame:
-    """Candidate pairs of unmatched rows and free documents whose normalised ids contain each other.
+def open_rows(items: DataFrame, exact: DataFrame) -> DataFrame:
+    """Rows still to be matched by containment, with their normalised ``row_id``.
 
-    Rows that speak of a payment are left out. A document is free for a statement unless an exact
-    match of that statement used its id or its number. One pair per row and document number.
+    Rows that speak of a payment, and those without a letter or digit, are left out.
     """
-    open_rows = (
+    return (
         unmatched_numbers(items, exact)
         .where(~is_payment_reference("row_key"))
         .select(*STATEMENT_KEYS, "contact_id", "item_seq", "row_key", id_key("row_key").alias("row_id"))
         .where(F.col("row_id") != "")
     )
+
+
+def id_candidates(rows: DataFrame, docs: DataFrame, exact: DataFrame) -> DataFrame:
+    """Free documents whose normalised number contains a row id of the statement, or lies inside it.
+
+    A document is free for a statement unless an exact match of that statement used its id or its
+    number. There is one pair per statement, row id and document number, however many rows repeat
+    the id.
+    """
+    row_ids = rows.select(*CONTACT_KEYS, "row_id").distinct()
     numbered = (
         _numbered_docs(docs)
-        .join(open_rows.select(*CONTACT_KEYS).distinct(), CONTACT_KEYS, "left_semi")
+        .join(row_ids.select(*CONTACT_KEYS).distinct(), CONTACT_KEYS, "left_semi")
         .withColumn("number_id", id_key("number"))
         .where(F.col("number_id") != "")
     )
-    row_ids = open_rows.select(*CONTACT_KEYS, "row_id").distinct()
     number_ids = numbered.select(*CONTACT_KEYS, "number_id").distinct()
     inside_row = contained_keys(
         number_ids.withColumnRenamed("number_id", "short_key"), row_ids.withColumnRenamed("row_id", "long_key")
@@ -143,7 +151,8 @@ def substring_candidates(items: DataFrame, docs: DataFrame, exact: DataFrame) ->
     # Equal ids are found from both sides.
     id_pairs = inside_row.unionByName(around_row.where(F.col("row_id") != F.col("number_id")))
 
-    pairs = open_rows.join(id_pairs, [*CONTACT_KEYS, "row_id"]).join(numbered, [*CONTACT_KEYS, "number_id"])
+    wanted = rows.select(*STATEMENT_KEYS, "contact_id", "row_id").distinct()
+    pairs = id_pairs.join(numbered, [*CONTACT_KEYS, "number_id"]).join(wanted, [*CONTACT_KEYS, "row_id"])
     used_ids = exact.where((F.col("doc_kind") == "invoice") & F.col("doc_id").isNotNull()).select(*STATEMENT_KEYS, "doc_id").distinct()
     used_numbers = exact.select(*STATEMENT_KEYS, F.col("matched_number").alias("number")).distinct()
     free = pairs.join(used_numbers, [*STATEMENT_KEYS, "number"], "left_anti")
@@ -154,8 +163,7 @@ def substring_candidates(items: DataFrame, docs: DataFrame, exact: DataFrame) ->
     return free.select(
         *STATEMENT_KEYS,
         "contact_id",
-        "item_seq",
-        "row_key",
+        "row_id",
         F.col("number").alias("matched_number"),
         F.length("number_id").alias("id_length"),
         *_DOC_FIELDS,
@@ -163,6 +171,13 @@ def substring_candidates(items: DataFrame, docs: DataFrame, exact: DataFrame) ->
     )
 
 
+def substring_candidates(items: DataFrame, docs: DataFrame, exact: DataFrame) -> DataFrame:
+    """The candidate documents of every open row, one pair per row and document number."""
+    rows = open_rows(items, exact)
+    found = id_candidates(rows, docs, exact)
+    return rows.join(found.drop("contact_id"), [*STATEMENT_KEYS, "row_id"]).drop("row_id")
+
+
 def _preference() -> Column:
     """Sort key of a candidate: longest id first, then list order."""
     return F.struct((-F.col("id_length")).alias("length"), F.col("doc_ord"), F.col("matched_number"))
@@ -177,94 +192,121 @@ def best_candidate(candidates: DataFrame) -> DataFrame:
     )
 
 
-def resolve_matches(candidates: DataFrame, pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
+def resolve_matches(rows: DataFrame, candidates: DataFrame, pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
     """Assign documents to rows: rows in statement order, each takes its best document still free.
 
-    Returns one row per matched key. Statements with few candidates are settled one per task.
-    Larger ones are settled by rounds in which every open row asks for its best document and the
-    earliest row keeps it; the outcome is the same, and no statement has to fit into one task.
+    ``rows`` come from ``open_rows`` and ``candidates`` from ``id_candidates``. Returns one row per
+    matched key. Statements with few candidates are settled in one pass of a task. Larger ones are
+    settled by rounds of joins over the cluster; the outcome is the same, and no statement has to
+    fit into one task. Rows that repeat an id share one list of candidates in both.
     """
     checkpoint_folder(candidates.sparkSession)
     pairs = candidates.checkpoint()
-    sizes = pairs.groupBy(*STATEMENT_KEYS).agg(F.count("*").alias("pairs"))
-    large = sizes.where(F.col("pairs") > pairs_per_task).select(*STATEMENT_KEYS)
-    taken = _settle_in_tasks(pairs.join(large, STATEMENT_KEYS, "left_anti"))
+    rows = rows.join(pairs.select(*STATEMENT_KEYS, "row_id").distinct(), [*STATEMENT_KEYS, "row_id"], "left_semi").checkpoint()
+    work = pairs.select(*STATEMENT_KEYS).unionByName(rows.select(*STATEMENT_KEYS))
+    large = work.groupBy(*STATEMENT_KEYS).agg(F.count("*").alias("n")).where(F.col("n") > pairs_per_task)
+    large = large.select(*STATEMENT_KEYS)
+    taken = _settle_in_tasks(rows.join(large, STATEMENT_KEYS, "left_anti"), pairs.join(large, STATEMENT_KEYS, "left_anti"))
     if not large.isEmpty():
-        taken = taken.unionByName(_settle_in_rounds(pairs.join(large, STATEMENT_KEYS, "left_semi")))
-    details = pairs.select(*STATEMENT_KEYS, "contact_id", "item_seq", "row_key", "matched_number", *_DOC_FIELDS, "doc_ord")
-    settled = details.join(taken, [*STATEMENT_KEYS, "item_seq", "matched_number"])
+        taken = taken.unionByName(
+            _settle_in_rounds(rows.join(large, STATEMENT_KEYS, "left_semi"), pairs.join(large, STATEMENT_KEYS, "left_semi"))
+        )
     # A key that occurs in several rows keeps the document of its last row; all rows have used one.
-    last = settled.groupBy(*STATEMENT_KEYS, "contact_id", "row_key").agg(
-        F.max_by(F.struct("item_seq", "matched_number", *_DOC_FIELDS, "doc_ord"), "item_seq").alias("m")
+    named = rows.select(*STATEMENT_KEYS, "contact_id", "item_seq", "row_key", "row_id").join(taken, [*STATEMENT_KEYS, "item_seq"])
+    last = named.groupBy(*STATEMENT_KEYS, "contact_id", "row_key", "row_id").agg(
+        F.max("item_seq").alias("item_seq"), F.max_by("matched_number", "item_seq").alias("matched_number")
     )
-    return last.select(
+    details = pairs.select(*STATEMENT_KEYS, "row_id", "matched_number", *_DOC_FIELDS, "doc_ord")
+    return last.join(details, [*STATEMENT_KEYS, "row_id", "matched_number"]).select(
         *STATEMENT_KEYS,
         "contact_id",
         "row_key",
-        "m.*",
-        F.when(F.col("m.matched_number") == F.col("row_key"), "exact").otherwise("substring").alias("match_type"),
+        "item_seq",
+        "matched_number",
+        *_DOC_FIELDS,
+        "doc_ord",
+        F.when(F.col("matched_number") == F.col("row_key"), "exact").otherwise("substring").alias("match_type"),
         F.lit(1.0).alias("match_score"),
     )
 
 
-def _settle_in_tasks(pairs: DataFrame) -> DataFrame:
-    """One pass over the candidates of each statement, in row and preference order.
+def _settle_in_tasks(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One pass over each statement: first the candidate list of every row id, then its rows.
 
-    Rows stream through in batches; a task remembers only the numbers used in the current statement.
+    Lines stream through in batches. A task holds the lists of the current statement, and how far
+    each list is used up: what is taken stays taken, so no list is read twice.
     """
-    columns = [*STATEMENT_KEYS, "item_seq", "matched_number"]
-    kind, seq = F.col("doc_ord.kind"), F.col("doc_ord.seq")
+    import pandas as pd
+
+    lists = pairs.select(
+        *STATEMENT_KEYS, F.lit(0).alias("turn"), F.lit(0).cast("bigint").alias("item_seq"), "row_id", "matched_number", _preference().alias("preference")
+    )
+    asking = rows.select(*STATEMENT_KEYS, F.lit(1).alias("turn"), F.col("item_seq").cast("bigint").alias("item_seq"), "row_id")
+    columns = [*STATEMENT_KEYS, "item_seq", "row_id", "matched_number"]
     ordered = (
-        pairs.repartition(*STATEMENT_KEYS)
-        .sortWithinPartitions(*STATEMENT_KEYS, "item_seq", F.desc("id_length"), kind, seq, "matched_number")
+        lists.unionByName(asking, allowMissingColumns=True)
+        .repartition(*STATEMENT_KEYS)
+        .sortWithinPartitions(*STATEMENT_KEYS, "turn", "item_seq", "preference")
         .select(*columns)
     )
 
     def assign(batches):
-        statement, row, used = None, None, set()
+        statement, waiting, used = None, {}, set()
         for batch in batches:
-            kept = []
-            for place, (tenant, name, item, number) in enumerate(zip(*(batch[c] for c in columns))):
+            taken = []
+            for tenant, name, item, row_id, number in zip(*(batch[c] for c in columns)):
                 if (tenant, name) != statement:
-                    statement, row, used = (tenant, name), None, set()
-                if item != row and number not in used:
-                    used.add(number)
-                    kept.append(place)
-                    row = item
-            yield batch.iloc[kept]
+                    statement, waiting, used = (tenant, name), {}, set()
+                if number is not None:
+                    waiting.setdefault(row_id, []).append(number)
+                    continue
+                choices = waiting.get(row_id)
+                if choices is None:
+                    continue
+                if isinstance(choices, list):
+                    choices = waiting[row_id] = iter(choices)
+                free = next((n for n in choices if n not in used), None)
+                if free is not None:
+                    used.add(free)
+                    taken.append((tenant, name, int(item), free))
+            yield pd.DataFrame(taken, columns=[*STATEMENT_KEYS, "item_seq", "matched_number"])
 
     return ordered.mapInPandas(assign, "tenant_id string, statement_id string, item_seq bigint, matched_number string")
 
 
-def _settle_in_rounds(pairs: DataFrame) -> DataFrame:
+def _settle_in_rounds(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """The same assignment by rounds: open rows ask, the earliest asker holds the document.
 
-    A row asks only for documents that are free or held by a later row, so each round improves every
-    holder, and when no row can ask any more, the holders are those of the one-by-one order. In the
-    first round, rows with the same key ask for different documents: the k-th for its k-th best,
-    which it cannot miss because the rows before it take better ones.
+    In a round, the documents open to a row id are those that are free or held by a row later than
+    the id's earliest open row. The k-th open row of the id asks for the k-th best of them. It
+    misses nothing: each better one is held, after the round, by an earlier row, and holders only
+    ever give way to earlier rows. When no row can ask any more, the holders are those of the
+    one-by-one order.
     """
     number = [*STATEMENT_KEYS, "matched_number"]
     row = [*STATEMENT_KEYS, "item_seq"]
-    ranked = pairs.select(*row, "row_key", "matched_number", _preference().alias("preference")).withColumn(
-        "place", F.row_number().over(Window.partitionBy(*row).orderBy("preference"))
-    )
-    copies = pairs.select(*row, "row_key").distinct()
-    copies = copies.withColumn("copy", F.row_number().over(Window.partitionBy(*STATEMENT_KEYS, "row_key").orderBy("item_seq")))
-    ranked = ranked.drop("preference").checkpoint()
-    asks = ranked.join(copies.select(*row, "copy"), row).where(F.col("place") == F.col("copy"))
-    holders = asks.groupBy(*number).agg(F.min("item_seq").alias("holder")).checkpoint()
+    row_id = [*STATEMENT_KEYS, "row_id"]
+    rows = rows.select(*row, "row_id")
+    lists = pairs.select(*row_id, "matched_number", _preference().alias("preference"))
+    copy = F.row_number().over(Window.partitionBy(*row_id).orderBy("item_seq"))
+    place = F.row_number().over(Window.partitionBy(*row_id).orderBy("preference"))
+    holders = None
     while True:
-        settled = holders.select(*STATEMENT_KEYS, F.col("holder").alias("item_seq"))
-        open_pairs = (
-            ranked.join(settled, row, "left_anti")
-            .join(holders, number, "left")
-            .where(F.col("holder").isNull() | (F.col("holder") > F.col("item_seq")))
+        if holders is None:
+            waiting, choices = rows, lists
+        else:
+            waiting = rows.join(holders.select(*STATEMENT_KEYS, F.col("holder").alias("item_seq")), row, "left_anti")
+            earliest = waiting.groupBy(*row_id).agg(F.min("item_seq").alias("earliest"))
+            choices = lists.join(earliest, row_id).join(holders, number, "left").where(
+                F.col("holder").isNull() | (F.col("holder") > F.col("earliest"))
+            )
+        asks = waiting.withColumn("k", copy).join(
+            choices.select(*row_id, "matched_number", "preference").withColumn("k", place), [*row_id, "k"]
         )
-        asks = open_pairs.groupBy(*row).agg(F.min_by("matched_number", "place").alias("matched_number"))
         claims = asks.select(*number, F.col("item_seq").alias("holder"))
-        improved = holders.unionByName(claims).groupBy(*number).agg(F.min("holder").alias("holder")).checkpoint()
-        if improved.join(holders, [*number, "holder"], "left_anti").isEmpty():
+        known = claims if holders is None else holders.unionByName(claims)
+        improved = known.groupBy(*number).agg(F.min("holder").alias("holder")).checkpoint()
+        if holders is not None and improved.join(holders, [*number, "holder"], "left_anti").isEmpty():
             return improved.select(*STATEMENT_KEYS, F.col("holder").alias("item_seq"), "matched_number")
         holders = improved
 
@@ -278,7 +320,8 @@ def match_statements(items: DataFrame, docs: DataFrame, pairs_per_task: int = PA
     checkpoint_folder(items.sparkSession)
     keys = items.select(*STATEMENT_KEYS, "contact_id", "item_seq", "row_key").checkpoint()
     exact = exact_matches(keys, docs).checkpoint()
-    fuzzy = resolve_matches(substring_candidates(keys, docs, exact), pairs_per_task)
+    rows = open_rows(keys, exact).checkpoint()
+    fuzzy = resolve_matches(rows, id_candidates(rows, docs, exact), pairs_per_task)
     # The key's last row stands for it, also where the document came from an earlier one.
     last_rows = _keyed_items(keys).select(*STATEMENT_KEYS, "row_key", "item_seq")
     fuzzy = fuzzy.drop("item_seq").join(last_rows, [*STATEMENT_KEYS, "row_key"])
