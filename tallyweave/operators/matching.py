@@ -15,9 +15,10 @@ from tallyweave.functions.text import id_key, is_payment_reference, stripped
 from tallyweave.schemas import CONTACT_KEYS, STATEMENT_KEYS
 from tallyweave.session import checkpoint_folder
 
-# Statements with at most this many candidate pairs are settled inside one task each; larger ones
-# are settled by rounds of joins over the cluster. Both give the same result.
-PAIRS_PER_TASK = 100_000
+# Statements with at most this many candidate pairs and open rows together are settled in one pass
+# of a task, which holds short texts only; larger ones by rounds of joins over the cluster. Both give
+# the same result.
+PAIRS_PER_TASK = 1_000_000
 
 _DOC_FIELDS = ["doc_id", "doc_kind", "type", "date", "due_date", "reference", "total"]
 
