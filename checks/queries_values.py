@@ -329,3 +329,27 @@ def row_links(t):
     docs = t.derive("ledger_docs").withColumn("credit_note_id", F.when(~blank & (F.col("doc_kind") == "credit_note"), F.col("doc_id")).otherwise("  "))
     docs = docs.withColumn("invoice_id", F.when(~blank, F.concat(F.lit(" "), "doc_id")))
     return values.statement_row_link(docs, "credit/", "bill/").select("doc_id", "link")
+
+
+@query(
+    "landed_files",
+    """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'suffix' WHEN doc_id % 5 = 0 AND text NOT LIKE '\\%PDF-%' ESCAPE '\\' THEN 'content' END AS reject_reason,
+       CASE WHEN doc_id % 3 = 1 THEN 2 WHEN doc_id % 3 = 2 THEN 1 + n_chars % 40 END AS page_count FROM documents""",
+)
+def landed_files(t):
+    from tallyweave.sources import pdf_landing
+
+    # Every text becomes the content of a file, with page objects, a page-tree count, or neither.
+    start = F.when(F.col("doc_id") % 5 == 0, "").otherwise("%PDF-1.4 ")
+    end = (
+        F.when(F.col("doc_id") % 3 == 1, " /Type /Page /Type/Pages /Type\n/Page ")
+        .when(F.col("doc_id") % 3 == 2, F.concat(F.lit(" /Count 1 /Count  "), (1 + F.col("n_chars") % 40).cast("string")))
+        .otherwise("")
+    )
+    files = t.base("documents").select(
+        "doc_id",
+        F.when(F.col("doc_id") % 7 == 0, "scan.txt").otherwise("scan.PDF").alias("filename"),
+        F.encode(F.concat(start, "text", end), "UTF-8").alias("content"),
+    )
+    checked = pdf_landing.estimate_pdf_pages(pdf_landing.check_pdfs(files))
+    return checked.select("doc_id", "reject_reason", "page_count")
