@@ -265,11 +265,27 @@ def best_candidates(t):
     return matching.best_candidate(found).select("statement_id", "item_seq", "matched_number", "doc_id")
 
 
-@query("resolved_matches")
+# Short keys that many documents contain, and that rows repeat: rows compete, and what one takes the next ones miss.
+_RIVAL_KEY = "CASE WHEN k % 4 = 0 THEN CAST(k % 1000 AS STRING) ELSE CAST(k % 10 AS STRING) END"
+RESOLVED = f"""SELECT statement_id, row_key, arg_max(number, item_seq) AS matched_number, 'substring' AS match_type FROM (
+  WITH RECURSIVE asking AS (SELECT statement_id, contact_id, k AS item_seq, {_RIVAL_KEY} AS row_key FROM items_flat),
+  listed AS (SELECT a.statement_id, a.item_seq, a.row_key, list(d.number ORDER BY length(d.did) DESC, CASE WHEN doc_kind = 'credit_note' THEN 1 ELSE 0 END, load_seq) AS numbers
+    FROM asking a JOIN (SELECT *, {id_key_sql("number")} AS did FROM ledger_docs) d ON d.contact_id = a.contact_id AND contains(d.did, a.row_key) GROUP BY ALL),
+  turns AS (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY item_seq) AS n FROM listed),
+  walk AS (SELECT DISTINCT statement_id, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS BIGINT) AS item_seq, CAST(NULL AS VARCHAR) AS row_key, CAST(NULL AS VARCHAR) AS number FROM turns
+    UNION ALL SELECT statement_id, n, CASE WHEN number IS NULL THEN used ELSE list_append(used, number) END, item_seq, row_key, number FROM (
+      SELECT t.statement_id, t.n, w.used, t.item_seq, t.row_key, list_filter(t.numbers, lambda x: NOT list_contains(w.used, x))[1] AS number
+      FROM walk w JOIN turns t ON t.statement_id = w.statement_id AND t.n = w.n + 1) s)
+  SELECT * FROM walk WHERE number IS NOT NULL) taken GROUP BY statement_id, row_key"""
+
+
+@query("resolved_matches", with_tables(("items_flat", "ledger_docs"), RESOLVED))
 def resolved_matches(t):
-    keys, docs, exact = _keys_and_docs(t)
-    rows = matching.open_rows(keys, exact).checkpoint()
-    resolved = matching.resolve_matches(rows, matching.id_candidates(rows, docs, exact))
+    rows = t.derive("items_flat").select("tenant_id", "statement_id", "contact_id", F.col("k").alias("item_seq"), F.expr(_RIVAL_KEY).alias("row_key"))
+    docs = _docs(t)
+    exact = matching.exact_matches(rows, docs)
+    asking = matching.open_rows(rows, exact)
+    resolved = matching.resolve_matches(asking, matching.id_candidates(asking, docs, exact))
     return resolved.select("statement_id", "row_key", "matched_number", "match_type")
 
 

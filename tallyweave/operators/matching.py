@@ -15,11 +15,6 @@ from tallyweave.functions.text import id_key, is_payment_reference, stripped
 from tallyweave.schemas import CONTACT_KEYS, STATEMENT_KEYS
 from tallyweave.session import checkpoint_folder
 
-# Statements with at most this many candidate pairs and open rows together are settled in one pass
-# of a task, which holds short texts only; larger ones by rounds of joins over the cluster. Both give
-# the same result.
-PAIRS_PER_TASK = 1_000_000
-
 _DOC_FIELDS = ["doc_id", "doc_kind", "type", "date", "due_date", "reference", "total"]
 
 
@@ -193,32 +188,41 @@ def best_candidate(candidates: DataFrame) -> DataFrame:
     )
 
 
-def resolve_matches(rows: DataFrame, candidates: DataFrame, pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
+def resolve_matches(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     """Assign documents to rows: rows in statement order, each takes its best document still free.
 
     ``rows`` come from ``open_rows`` and ``candidates`` from ``id_candidates``. Returns one row per
-    matched key. Statements with few candidates are settled in one pass of a task. Larger ones are
-    settled by rounds of joins over the cluster; the outcome is the same, and no statement has to
-    fit into one task. Rows that repeat an id share one list of candidates in both.
+    matched key. Only row ids that want the same document of a statement depend on each other. An id
+    that shares none is settled by itself: its k-th row takes its k-th best document. Ids that
+    compete, directly or through others, form a group that is settled in row order. Rows that repeat
+    an id share one list of candidates in both.
     """
     checkpoint_folder(candidates.sparkSession)
-    pairs = candidates.checkpoint()
-    rows = rows.join(pairs.select(*STATEMENT_KEYS, "row_id").distinct(), [*STATEMENT_KEYS, "row_id"], "left_semi").checkpoint()
-    work = pairs.select(*STATEMENT_KEYS).unionByName(rows.select(*STATEMENT_KEYS))
-    large = work.groupBy(*STATEMENT_KEYS).agg(F.count("*").alias("n")).where(F.col("n") > pairs_per_task)
-    large = large.select(*STATEMENT_KEYS)
-    taken = _settle_in_tasks(rows.join(large, STATEMENT_KEYS, "left_anti"), pairs.join(large, STATEMENT_KEYS, "left_anti"))
-    if not large.isEmpty():
-        taken = taken.unionByName(
-            _settle_in_rounds(rows.join(large, STATEMENT_KEYS, "left_semi"), pairs.join(large, STATEMENT_KEYS, "left_semi"))
-        )
+    row_id, row = [*STATEMENT_KEYS, "row_id"], [*STATEMENT_KEYS, "item_seq"]
+    place = F.row_number().over(Window.partitionBy(*row_id).orderBy(_preference()))
+    pairs = candidates.withColumn("place", place).checkpoint()
+    lists = pairs.select(*row_id, "matched_number", "place")
+    groups = _competing(lists)
+    asking = rows.select(*row, "row_id").join(groups, row_id, "left")
+    alone = asking.where(F.col("rival").isNull()).withColumn("place", F.row_number().over(Window.partitionBy(*row_id).orderBy("item_seq")))
+    settled = alone.join(lists.join(groups, row_id, "left_anti"), [*row_id, "place"]).select(*row, "matched_number")
+    group = [*STATEMENT_KEYS, "rival"]
+    # Both sides come from one table; the columns of one get names of their own.
+    crowd = asking.where(F.col("rival").isNotNull()).select(*[F.col(c).alias(c) for c in asking.columns])
+    contested = (
+        lists.join(groups, row_id)
+        .groupBy(*group)
+        .cogroup(crowd.groupBy(*group))
+        .applyInPandas(_settle, "tenant_id string, statement_id string, item_seq bigint, matched_number string")
+    )
+    taken = settled.unionByName(contested)
     # A key that occurs in several rows keeps the document of its last row; all rows have used one.
-    named = rows.select(*STATEMENT_KEYS, "contact_id", "item_seq", "row_key", "row_id").join(taken, [*STATEMENT_KEYS, "item_seq"])
+    named = rows.select(*STATEMENT_KEYS, "contact_id", "item_seq", "row_key", "row_id").join(taken, row)
     last = named.groupBy(*STATEMENT_KEYS, "contact_id", "row_key", "row_id").agg(
         F.max("item_seq").alias("item_seq"), F.max_by("matched_number", "item_seq").alias("matched_number")
     )
-    details = pairs.select(*STATEMENT_KEYS, "row_id", "matched_number", *_DOC_FIELDS, "doc_ord")
-    return last.join(details, [*STATEMENT_KEYS, "row_id", "matched_number"]).select(
+    details = pairs.select(*row_id, "matched_number", *_DOC_FIELDS, "doc_ord")
+    return last.join(details, [*row_id, "matched_number"]).select(
         *STATEMENT_KEYS,
         "contact_id",
         "row_key",
@@ -231,88 +235,48 @@ def resolve_matches(rows: DataFrame, candidates: DataFrame, pairs_per_task: int
     )
 
 
-def _settle_in_tasks(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One pass over each statement: first the candidate list of every row id, then its rows.
+def _competing(lists: DataFrame) -> DataFrame:
+    """Row ids that share a document with another id of their statement, each with the group's smallest id as ``rival``.
 
-    Lines stream through in batches. A task holds the lists of the current statement, and how far
-    each list is used up: what is taken stays taken, so no list is read twice.
+    The smallest id known spreads over documents and on to the ids of that id's own group, until the
+    ids of every document agree.
     """
-    import pandas as pd
-
-    lists = pairs.select(
-        *STATEMENT_KEYS, F.lit(0).alias("turn"), F.lit(0).cast("bigint").alias("item_seq"), "row_id", "matched_number", _preference().alias("preference")
-    )
-    asking = rows.select(*STATEMENT_KEYS, F.lit(1).alias("turn"), F.col("item_seq").cast("bigint").alias("item_seq"), "row_id")
-    columns = [*STATEMENT_KEYS, "item_seq", "row_id", "matched_number"]
-    ordered = (
-        lists.unionByName(asking, allowMissingColumns=True)
-        .repartition(*STATEMENT_KEYS)
-        .sortWithinPartitions(*STATEMENT_KEYS, "turn", "item_seq", "preference")
-        .select(*columns)
-    )
-
-    def assign(batches):
-        statement, waiting, used = None, {}, set()
-        for batch in batches:
-            taken = []
-            for tenant, name, item, row_id, number in zip(*(batch[c] for c in columns)):
-                if (tenant, name) != statement:
-                    statement, waiting, used = (tenant, name), {}, set()
-                if number is not None:
-                    waiting.setdefault(row_id, []).append(number)
-                    continue
-                choices = waiting.get(row_id)
-                if choices is None:
-                    continue
-                if isinstance(choices, list):
-                    choices = waiting[row_id] = iter(choices)
-                free = next((n for n in choices if n not in used), None)
-                if free is not None:
-                    used.add(free)
-                    taken.append((tenant, name, int(item), free))
-            yield pd.DataFrame(taken, columns=[*STATEMENT_KEYS, "item_seq", "matched_number"])
-
-    return ordered.mapInPandas(assign, "tenant_id string, statement_id string, item_seq bigint, matched_number string")
-
-
-def _settle_in_rounds(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The same assignment by rounds: open rows ask, the earliest asker holds the document.
-
-    In a round, the documents open to a row id are those that are free or held by a row later than
-    the id's earliest open row. The k-th open row of the id asks for the k-th best of them. It
-    misses nothing: each better one is held, after the round, by an earlier row, and holders only
-    ever give way to earlier rows. When no row can ask any more, the holders are those of the
-    one-by-one order.
-    """
-    number = [*STATEMENT_KEYS, "matched_number"]
-    row = [*STATEMENT_KEYS, "item_seq"]
-    row_id = [*STATEMENT_KEYS, "row_id"]
-    rows = rows.select(*row, "row_id")
-    lists = pairs.select(*row_id, "matched_number", _preference().alias("preference"))
-    copy = F.row_number().over(Window.partitionBy(*row_id).orderBy("item_seq"))
-    place = F.row_number().over(Window.partitionBy(*row_id).orderBy("preference"))
-    holders = None
+    row_id, number = [*STATEMENT_KEYS, "row_id"], [*STATEMENT_KEYS, "matched_number"]
+    shared = lists.groupBy(*number).agg(F.count("*").alias("n")).where("n > 1").select(*number)
+    rivals = lists.join(shared, number, "left_semi").select(*row_id).distinct()
+    edges = lists.join(rivals, row_id, "left_semi").select(*row_id, "matched_number")
+    groups = rivals.withColumn("rival", F.col("row_id"))
     while True:
-        if holders is None:
-            waiting, choices = rows, lists
-        else:
-            waiting = rows.join(holders.select(*STATEMENT_KEYS, F.col("holder").alias("item_seq")), row, "left_anti")
-            earliest = waiting.groupBy(*row_id).agg(F.min("item_seq").alias("earliest"))
-            choices = lists.join(earliest, row_id).join(holders, number, "left").where(
-                F.col("holder").isNull() | (F.col("holder") > F.col("earliest"))
-            )
-        asks = waiting.withColumn("k", copy).join(
-            choices.select(*row_id, "matched_number", "preference").withColumn("k", place), [*row_id, "k"]
-        )
-        claims = asks.select(*number, F.col("item_seq").alias("holder"))
-        known = claims if holders is None else holders.unionByName(claims)
-        improved = known.groupBy(*number).agg(F.min("holder").alias("holder")).checkpoint()
-        if holders is not None and improved.join(holders, [*number, "holder"], "left_anti").isEmpty():
-            return improved.select(*STATEMENT_KEYS, F.col("holder").alias("item_seq"), "matched_number")
-        holders = improved
-
+        around = edges.join(groups, row_id).groupBy(*number).agg(F.min("rival").alias("least"), F.max("rival").alias("most"))
+        seen = edges.join(around, number).groupBy(*row_id).agg(F.min("least").alias("rival"), F.max(F.col("least") != F.col("most")).alias("open"))
+        leaders = seen.select(*STATEMENT_KEYS, F.col("row_id").alias("rival"), F.col("rival").alias("beyond"))
+        step = seen.join(leaders, [*STATEMENT_KEYS, "rival"], "left")
+        step = step.select(*row_id, F.least("rival", "beyond").alias("rival"), "open").checkpoint()
+        groups = step.drop("open")
+        if step.where("open").isEmpty():
+            return groups
+
+
+def _settle(lists, asking):
+    """Rows of one group in order; what is taken stays taken, so no list is read twice."""
+    import pandas as pd
 
-def match_statements(items: DataFrame, docs: DataFrame, pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
+    waiting: dict[str, list[str]] = {}
+    for row_id, number in lists.sort_values("place", ascending=False)[["row_id", "matched_number"]].itertuples(index=False):
+        waiting.setdefault(row_id, []).append(number)
+    used, taken = set(), []
+    for tenant, statement, item, row_id in asking.sort_values("item_seq")[[*STATEMENT_KEYS, "item_seq", "row_id"]].itertuples(index=False):
+        choices = waiting.get(row_id, [])
+        while choices:
+            number = choices.pop()
+            if number not in used:
+                used.add(number)
+                taken.append((tenant, statement, item, number))
+                break
+    return pd.DataFrame(taken, columns=[*STATEMENT_KEYS, "item_seq", "matched_number"])
+
+
+def match_statements(items: DataFrame, docs: DataFrame) -> DataFrame:
     """All matches: exact ones, then documents assigned by containment.
 
     The rows' keys and the exact matches are read several times on the way; both are narrow and are
@@ -322,7 +286,7 @@ def match_statements(items: DataFrame, docs: DataFrame, pairs_per_task: int = PA
     keys = items.select(*STATEMENT_KEYS, "contact_id", "item_seq", "row_key").checkpoint()
     exact = exact_matches(keys, docs).checkpoint()
     rows = open_rows(keys, exact).checkpoint()
-    fuzzy = resolve_matches(rows, id_candidates(rows, docs, exact), pairs_per_task)
+    fuzzy = resolve_matches(rows, id_candidates(rows, docs, exact))
     # The key's last row stands for it, also where the document came from an earlier one.
     last_rows = _keyed_items(keys).select(*STATEMENT_KEYS, "row_key", "item_seq")
     fuzzy = fuzzy.drop("item_seq").join(last_rows, [*STATEMENT_KEYS, "row_key"])
