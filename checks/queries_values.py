@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.derive import DATE_FORMATS, with_tables
 from checks.registry import compare_sql, decimal_sql, format_money_sql, id_key_sql, iso, money, money_sql, query, separators_sql
+from tallyweave.functions import dates
 from tallyweave.functions import text as texts
 from tallyweave.operators import values
 
@@ -91,6 +92,29 @@ def dates_by_template(t):
     return out.select("k", iso("date_text_date").alias("parsed"), F.col("date_text_ok").alias("ok"))
 
 
+_STRFTIME = """CASE date_format WHEN 'DD/MM/YYYY' THEN strftime({0}, '%d/%m/%Y') WHEN 'YYYY-MM-DD' THEN strftime({0}, '%Y-%m-%d')
+  WHEN 'D MMM YYYY' THEN strftime({0}, '%-d %b %Y') ELSE strftime({0}, '%m/%d/%Y') END"""
+
+
+@query(
+    "dates_of_many_templates",
+    with_tables(
+        ("items_flat",),
+        f"""SELECT k, parsed, {_STRFTIME.format("CAST(parsed AS DATE)")} || ' (' || k % 350 || ')' AS rendered, parsed AS loose
+            FROM (SELECT *, {strptime_sql('date_text')} AS parsed FROM items_flat) p""",
+    ),
+)
+def dates_of_many_templates(t):
+    """Each of the table's formats with 350 different endings, over all items."""
+    ending = F.concat(F.lit(" ("), (F.col("k") % 350).cast("string"), F.lit(")"))
+    flat = t.derive("items_flat").withColumns({"text": F.concat("date_text", ending), "template": F.concat("date_format", ending)})
+    templates = dates.templates_of(flat, "template")
+    out = values.normalise_dates(flat, "text", "template", templates, lenient=False)
+    out = values.render_dates(out, "text_date", "template", templates, lenient=False)
+    loose = dates.loose_by_template("text", "template", templates)
+    return out.select("k", iso("text_date").alias("parsed"), F.col("text_date_text").alias("rendered"), iso(loose).alias("loose"))
+
+
 @query(
     "dates_wrong_template",
     with_tables(

@@ -1,14 +1,17 @@
 """Date templates such as 'DD/MM/YYYY' or 'Do MMM YYYY', compiled to column expressions.
 
 A template is read once on the driver; parsing and rendering are plain JVM expressions. Where a
-table carries a template per row, ``parse_by_template`` builds one branch per distinct template.
+table carries a template per row, the distinct ones become a constant map from the template to its
+expression's parts, and one expression serves all rows, however many templates there are.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,9 +51,6 @@ PART_OF_TOKEN = {
     "DD": "day", "D": "day", "Do": "day",
 }
 
-# More distinct templates than this are not turned into branches of one expression.
-MAX_BRANCHES = 200
-
 _SCANNER = re.compile("|".join(TOKEN_PATTERNS))
 _LENIENT_SCANNER = re.compile(r"\[([^\]]*)\]|" + "|".join(TOKEN_PATTERNS))
 _ALIAS_SCANNER = re.compile("|".join(re.escape(a) for a in sorted(STRFTIME_ALIASES, key=len, reverse=True)))
@@ -106,43 +106,69 @@ def parse_date(value: Column | str, template: str, lenient: bool = True, century
     one conversion, which stay cheap inside array functions.
     """
     text = strip(value)
-    regex, tokens = template_regex(template, lenient)
-    places: dict[str, list[int]] = {"year": [], "month": [], "day": []}
-    for group, token in enumerate(tokens, start=1):
-        part = PART_OF_TOKEN.get(token)
-        if part:
-            places[part].append(group)
-    if not all(places.values()):
-        return F.lit(None).cast("date")
-    # Each reading of a part that occurs more than once must give the same date.
     readings = [
-        _read_parts(text, regex, tokens, year, month, day, century_from)
-        for year in places["year"]
-        for month in places["month"]
-        for day in places["day"]
+        _read_date(text, {k: F.lit(v) for k, v in r.items()}, century_from) for r in _readings(template, lenient, century_from < 100)
     ]
+    if not readings:
+        return F.lit(None).cast("date")
+    # Each reading of a part that occurs more than once must give the same date.
     if len(readings) == 1:
         return readings[0]
     distinct = F.array_distinct(F.filter(F.array(*readings), lambda d: d.isNotNull()))
     return F.when(F.size(distinct) == 1, F.get(distinct, 0))
 
 
-def _read_parts(
-    text: Column, regex: str, tokens: list[str], year: int, month: int, day: int, century_from: int
-) -> Column:
-    named = tokens[month - 1] in ("MMMM", "MMM")
-    if named:
-        # The first three letters decide; the month group keeps just those.
-        regex = re.sub(r"\(\[A-Za-z\](?:\+|\{3,\})\)", "([A-Za-z]{3})[A-Za-z]*", regex)
-    layout = "'#'yyyy-MMM-d" if named else "'#'yyyy-M-d"
-    if tokens[year - 1] == "YYYY":
-        return F.try_to_date(F.regexp_replace(text, regex, f"#${year}-${month}-${day}"), layout)
-    this_century = F.regexp_replace(text, regex, f"#20${year}-${month}-${day}")
-    read = F.try_to_date(this_century, layout)
+def _readings(template: str, lenient: bool = True, early: bool = False) -> list[dict]:
+    """How a text is rewritten into year, month and day, once for each choice of groups that give them."""
+    regex, tokens = template_regex(template, lenient)
+    groups = {part: [i for i, t in enumerate(tokens, start=1) if PART_OF_TOKEN.get(t) == part] for part in ("year", "month", "day")}
+    out = []
+    for year, month, day in product(groups["year"], groups["month"], groups["day"]):
+        named = tokens[month - 1] in ("MMMM", "MMM")
+        # The first three letters of a month's name decide; its group keeps just those.
+        pattern = re.sub(r"\(\[A-Za-z\](?:\+|\{3,\})\)", "([A-Za-z]{3})[A-Za-z]*", regex) if named else regex
+        rest = f"${year}-${month}-${day}"
+        brief = tokens[year - 1] == "YY"
+        out.append({"regex": pattern, "put": ("#20" if brief else "#") + rest, "early": "#19" + rest if brief and early else None, "named": named})
+    return out
+
+
+def _read_date(text: Column, reading: Column, century_from: int = 100) -> Column:
+    """DATE of a text by one reading, a struct of ``_READING``."""
+
+    def read(put: Column) -> Column:
+        parts = F.regexp_replace(text, reading["regex"], put)
+        return F.when(reading["named"], F.try_to_date(parts, "'#'yyyy-MMM-d")).otherwise(F.try_to_date(parts, "'#'yyyy-M-d"))
+
+    date = read(reading["put"])
     if century_from >= 100:
-        return read
-    earlier = F.try_to_date(F.regexp_replace(text, regex, f"#19${year}-${month}-${day}"), layout)
-    return F.when(F.year(read) % 100 >= century_from, earlier).otherwise(read)
+        return date
+    late = reading["early"].isNotNull() & (F.year(date) % 100 >= century_from)
+    return F.when(late, read(reading["early"])).otherwise(date)
+
+
+_READING = "regex: string, put: string, early: string, named: boolean"
+_PLAN = f"map<string, struct<readings: array<struct<{_READING}>>, guard: string, render: string>>"
+_ORDINAL = "\u0001"  # stands for st, nd, rd or th in a rendered text
+
+
+def _plan_of(template: Column | str, templates: Iterable[str], lenient: bool, loose: bool = False) -> tuple[Column, int]:
+    """The parts of the row's template, from a constant map, and how many readings a template has at most."""
+    plans = {}
+    for name in templates:
+        wide, guard = _loose_form(name) if loose else (name, None)
+        plans[name] = {"readings": _readings(wide, lenient, loose), "guard": guard, "render": _render_pattern(read_template(name, lenient))}
+    most = max([1, *(len(p["readings"]) for p in plans.values())])
+    return F.try_element_at(F.from_json(F.lit(json.dumps(plans)), _PLAN), _col(template)), most
+
+
+def _read_planned(text: Column, plan: Column, most: int, century_from: int = 100) -> Column:
+    """DATE of a text by the readings of a plan; those that fit must agree."""
+    readings = [_read_date(text, F.get(plan["readings"], i), century_from) for i in range(most)]
+    if most == 1:
+        return readings[0]
+    distinct = F.array_distinct(F.filter(F.array(*readings), lambda d: d.isNotNull()))
+    return F.when(F.size(distinct) == 1, F.get(distinct, 0))
 
 
 def generic_date(value: Column | str) -> Column:
@@ -153,74 +179,62 @@ def generic_date(value: Column | str) -> Column:
     return F.try_to_date(F.regexp_replace(strip(value), iso, "#$1$4$7-$2$5$8-$3$6$9"), "'#'yyyy-M-d")
 
 
-def ordinal(day: Column) -> Column:
-    suffix = (
-        F.when((day % 100).between(10, 20), "th")
-        .when(day % 10 == 1, "st")
-        .when(day % 10 == 2, "nd")
-        .when(day % 10 == 3, "rd")
-        .otherwise("th")
-    )
-    return F.concat(day.cast("string"), suffix)
-
-
-def _render_pieces(date: Column, pieces: Iterable[tuple[str, object]]) -> list[Column]:
-    by_token = {
-        "YYYY": lambda: F.lpad(F.year(date).cast("string"), 4, "0"),
-        "YY": lambda: F.lpad((F.year(date) % 100).cast("string"), 2, "0"),
-        "MMMM": lambda: F.date_format(date, "MMMM"),
-        "MMM": lambda: F.date_format(date, "MMM"),
-        "MM": lambda: F.lpad(F.month(date).cast("string"), 2, "0"),
-        "M": lambda: F.month(date).cast("string"),
-        "DD": lambda: F.lpad(F.dayofmonth(date).cast("string"), 2, "0"),
-        "D": lambda: F.dayofmonth(date).cast("string"),
-        "Do": lambda: ordinal(F.dayofmonth(date)),
-        "dddd": lambda: F.date_format(date, "EEEE"),
-    }
-    out: list[Column] = []
-    for kind, value in pieces:
-        if kind == "token":
-            out.append(by_token[str(value)]())
-        elif kind == "optional":
-            out.extend(_render_pieces(date, value))
-        else:
-            out.append(F.lit(str(value)))
-    return out
-
-
 # The template tokens in the pattern language of date_format.
 _JAVA_PATTERNS = {
     "YYYY": "yyyy", "YY": "yy", "MMMM": "MMMM", "MMM": "MMM", "MM": "MM", "M": "M",
-    "DD": "dd", "D": "d", "dddd": "EEEE",
+    "DD": "dd", "D": "d", "Do": "d", "dddd": "EEEE",
 }
 
 
-def _java_pattern(pieces: Iterable[tuple[str, object]]) -> str | None:
-    """One date_format pattern for a template; null if it has an ordinal day."""
-    out = ""
-    for kind, value in pieces:
-        if kind == "token":
-            if value not in _JAVA_PATTERNS:
-                return None
-            out += _JAVA_PATTERNS[str(value)]
-        elif kind == "optional":
-            inner = _java_pattern(value)
-            if inner is None:
-                return None
-            out += inner
+def _render_pattern(pieces: Iterable[tuple[str, object]]) -> str:
+    """The date_format pattern of a template; an ordinal's ending is a mark to be replaced."""
+    parts: list[tuple[bool, str]] = []
+
+    def add(quoted: bool, text: str) -> None:
+        if quoted and parts and parts[-1][0]:
+            parts[-1] = (True, parts[-1][1] + text)
         else:
-            out += "".join(f"'{ch}'" if ch.isalpha() else "''" if ch == "'" else ch for ch in str(value))
-    return None if re.search(r"[\[\]{}#]", out) else out
+            parts.append((quoted, text))
+
+    def walk(inner: Iterable[tuple[str, object]]) -> None:
+        for kind, value in inner:
+            if kind == "optional":
+                walk(value)
+            elif kind == "text":
+                add(True, str(value))
+            else:
+                add(False, _JAVA_PATTERNS[str(value)])
+                if value == "Do":
+                    add(True, _ORDINAL)
+
+    walk(pieces)
+    return "".join("'" + text.replace("'", "''") + "'" if quoted else text for quoted, text in parts)
+
+
+def _render(date: Column, pattern: Column) -> Column:
+    day = F.dayofmonth(date)
+    ending = (
+        F.when(day.between(10, 20), "th").when(day % 10 == 1, "st").when(day % 10 == 2, "nd").when(day % 10 == 3, "rd").otherwise("th")
+    )
+    text = F.call_function("date_format", date, pattern)
+    return F.when(F.contains(text, F.lit(_ORDINAL)), F.replace(text, F.lit(_ORDINAL), ending)).otherwise(text)
 
 
 def render_date(date: Column, template: str, lenient: bool = True) -> Column:
     """Text of a DATE under one template."""
-    pieces = read_template(template, lenient)
-    pattern = _java_pattern(pieces)
-    if pattern:
-        return F.date_format(date, pattern)
-    rendered = _render_pieces(date, pieces)
-    return F.concat(*rendered) if rendered else F.lit("")
+    return _render(date, F.lit(_render_pattern(read_template(template, lenient))))
+
+
+def _loose_form(template: str) -> tuple[str, str | None]:
+    """A template with one- or two-digit days and months, and what its text must hold where it names the month."""
+    wide = re.sub(r"MM|DD", lambda found: found.group()[0], re.sub("MMMM|MMM", "@", template.upper()))
+    names = MONTH_NAMES if "MMMM" in template.upper() else MONTHS if "MMM" in template.upper() else None
+    return wide.replace("@", "MMM"), rf"(?i)(^|[^a-z])({'|'.join(names)})($|[^a-z])" if names else None
+
+
+def _spelled_date(text: Column) -> Column:
+    spellings = "|".join((*MONTH_NAMES, *MONTHS, "sept"))
+    return F.when(text.rlike(rf"(?i)^\s*\d{{1,2}}\s+({spellings})\s+\d{{4}}\s*$"), parse_date(text, "D MMM YYYY"))
 
 
 def loose_date(value: Column | str, template: str | None) -> Column:
@@ -233,41 +247,31 @@ def loose_date(value: Column | str, template: str | None) -> Column:
     if not template:
         plain = ("YYYY-M-D", "D/M/YY", "D/M/YYYY", "YYYY/M/D", "D-M-YYYY")
         return F.coalesce(*[parse_date(text, t, century_from=69) for t in plain])
-    wide = re.sub(r"MM|DD", lambda found: found.group()[0], re.sub("MMMM|MMM", "@", template.upper()))
-    full_name, short_name = "MMMM" in template.upper(), "MMM" in template.upper()
-    main = parse_date(text, wide.replace("@", "MMM"), century_from=69)
-    if full_name:
-        main = F.when(text.rlike(rf"(?i)(^|[^a-z])({'|'.join(MONTH_NAMES)})($|[^a-z])"), main)
-    elif short_name:
-        main = F.when(text.rlike(rf"(?i)(^|[^a-z])({'|'.join(MONTHS)})($|[^a-z])"), main)
-    spellings = "|".join((*MONTH_NAMES, *MONTHS, "sept"))
-    spelled = F.when(text.rlike(rf"(?i)^\s*\d{{1,2}}\s+({spellings})\s+\d{{4}}\s*$"), parse_date(text, "D MMM YYYY"))
-    return F.coalesce(main, spelled)
+    wide, guard = _loose_form(template)
+    main = parse_date(text, wide, century_from=69)
+    return F.coalesce(F.when(text.rlike(guard), main) if guard else main, _spelled_date(text))
 
 
-def templates_of(df: DataFrame, column: str) -> list[str] | None:
-    """The distinct non-blank templates of a column, or null when there are too many for one plan.
-
-    At most ``MAX_BRANCHES + 1`` short strings reach the driver.
-    """
-    rows = (
-        df.select(F.col(column).alias("t"))
-        .where(F.coalesce(F.col("t"), F.lit("")) != "")
-        .distinct()
-        .limit(MAX_BRANCHES + 1)
-        .collect()
-    )
-    return sorted(r.t for r in rows) if len(rows) <= MAX_BRANCHES else None
+def templates_of(df: DataFrame, column: str) -> list[str]:
+    """The distinct non-blank templates of a column, short strings that number far below the rows."""
+    rows = df.select(F.col(column).alias("t")).where(F.coalesce(F.col("t"), F.lit("")) != "").distinct().collect()
+    return sorted(r.t for r in rows)
 
 
 def parse_by_template(
     value: Column | str, template: Column | str, templates: Iterable[str], lenient: bool = True
 ) -> Column:
     """DATE of a text under the template in another column."""
-    out: Column = F.lit(None).cast("date")
-    for name in templates:
-        out = F.when(_col(template) == name, parse_date(value, name, lenient)).otherwise(out)
-    return out
+    return _read_planned(strip(value), *_plan_of(template, templates, lenient))
+
+
+def loose_by_template(value: Column | str, template: Column | str, templates: Iterable[str]) -> Column:
+    """DATE of a text as ``loose_date`` reads it, under the template in another column."""
+    text = _col(value)
+    plan, most = _plan_of(template, templates, True, loose=True)
+    main = _read_planned(strip(text), plan, most, century_from=69)
+    guarded = F.when(plan["guard"].isNull() | F.rlike(text, plan["guard"]), main)
+    return F.when(plan.isNotNull(), F.coalesce(guarded, _spelled_date(text)))
 
 
 def coerce_by_template(
@@ -281,10 +285,8 @@ def render_by_template(
     date: Column, template: Column | str, templates: Iterable[str], lenient: bool = True
 ) -> Column:
     """Text of a DATE under the template in another column; ISO where the template is blank."""
-    out: Column = F.date_format(date, "yyyy-MM-dd")
-    for name in templates:
-        out = F.when(_col(template) == name, render_date(date, name, lenient)).otherwise(out)
-    return out
+    plan, _ = _plan_of(template, templates, lenient)
+    return _render(date, F.coalesce(plan["render"], F.lit("yyyy-MM-dd")))
 
 
 def epoch_timestamp(value: Column | str) -> Column:

@@ -557,5 +557,5 @@ def prepare_display(statements: DataFrame, items: DataFrame, templates: Iterable
     """Headers, cells and row keys of every item."""
     layouts = display_headers(statements)
     if templates is None:
-        templates = dates.templates_of(statements, "date_format") or []
+        templates = dates.templates_of(statements, "date_format")
     return statement_cells(items, layouts, templates)

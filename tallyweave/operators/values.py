@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Sequence
-from datetime import date
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +54,7 @@ def normalise_dates(
 
     Rules: 'template' reads the row's template only, 'coerce' falls back to ISO, 'loose' reads as
     strptime does, 'epoch' reads epoch numbers. When ``templates`` is not given, the distinct ones
-    of the table are looked up; a table with very many of them is read by a vectorised function.
+    of the table are looked up.
     """
     if rule == "epoch":
         parsed = dates.epoch_timestamp(column)
@@ -66,14 +63,8 @@ def normalise_dates(
             templates = dates.templates_of(df, template_column)
         if template_column is None:
             parsed = dates.loose_date(column, None) if rule == "loose" else dates.generic_date(column)
-        elif templates is None:
-            parsed = _many_templates(lenient)(F.col(column), F.col(template_column))
         elif rule == "loose":
-            parsed = F.lit(None).cast("date")
-            for template in templates:
-                parsed = F.when(
-                    F.col(template_column) == template, dates.loose_date(column, template)
-                ).otherwise(parsed)
+            parsed = dates.loose_by_template(column, template_column, templates)
         else:
             parsed = dates.parse_by_template(column, template_column, templates, lenient)
         if rule == "coerce" and template_column is not None:
@@ -83,46 +74,6 @@ def normalise_dates(
     )
 
 
-def _many_templates(lenient: bool):
-    """Vectorised reading for tables whose templates are too many for one expression."""
-    compiled: dict[str, tuple[re.Pattern, list[str]]] = {}
-
-    def read(text: str | None, template: str | None):
-        if not text or not template:
-            return None
-        if template not in compiled:
-            pattern, tokens = dates.template_regex(template, lenient)
-            compiled[template] = (re.compile(pattern), tokens)
-        pattern, tokens = compiled[template]
-        found = pattern.match(text.strip())
-        if not found:
-            return None
-        seen: dict[str, set[int]] = {"year": set(), "month": set(), "day": set()}
-        for token, raw in zip(tokens, found.groups()):
-            part = dates.PART_OF_TOKEN.get(token)
-            if part is None or not raw:
-                continue
-            if token in ("MMMM", "MMM"):
-                name = raw[:3].lower()
-                if name not in dates.MONTHS:
-                    return None
-                seen[part].add(dates.MONTHS.index(name) + 1)
-            else:
-                seen[part].add(int(raw) + (2000 if token == "YY" else 0))
-        if any(len(v) != 1 for v in seen.values()):
-            return None
-        try:
-            return date(*(v.pop() for v in seen.values()))
-        except ValueError:
-            return None
-
-    @F.pandas_udf("date")
-    def read_all(texts: pd.Series, templates: pd.Series) -> pd.Series:
-        return pd.Series([read(t, f) for t, f in zip(texts, templates)], dtype=object)
-
-    return read_all
-
-
 def render_dates(
     df: DataFrame, date_column: str, template_column: str, templates: Iterable[str], lenient: bool = True
 ) -> DataFrame:

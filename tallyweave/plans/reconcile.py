@@ -23,7 +23,7 @@ def reconciled_rows(
     ``docs`` carry ``doc_ord`` (see ``matching.matchable_docs``). ``templates`` are the date formats
     in use; looked up when not given.
     """
-    templates = dates.templates_of(statements, "date_format") or [] if templates is None else list(templates)
+    templates = dates.templates_of(statements, "date_format") if templates is None else list(templates)
     rows = flags.flag_items(shaping.prepare_display(statements, items, templates))
     reachable = matching.contact_rows(docs, statements)
     matches = matching.match_statements(rows, reachable)

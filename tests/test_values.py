@@ -92,12 +92,17 @@ def test_generic_loose_and_epoch_dates(one):
     assert one(given, dates.epoch_timestamp("v")) == [moment, moment, datetime(2024, 1, 5, 10), None]
 
 
-def test_many_templates_agree_with_branches(spark):
-    rows = [("15/03/2024", "DD/MM/YYYY"), ("5 Mar 2024", "D MMM YYYY"), ("31/02/2024", "DD/MM/YYYY"), ("1st May 2024", "Do MMMM YYYY"), (None, "DD"), ("x", None)]
-    df = spark.createDataFrame(rows, "v string, t string")
-    by_branch = dates.parse_by_template("v", "t", ["DD/MM/YYYY", "D MMM YYYY", "Do MMMM YYYY"])
-    out = df.select(by_branch.alias("a"), values._many_templates(True)(F.col("v"), F.col("t")).alias("b")).collect()
-    assert [r.a for r in out] == [r.b for r in out] == [date(2024, 3, 15), date(2024, 3, 5), None, date(2024, 5, 1), None, None]
+def test_hundreds_of_templates_are_read_and_written_by_one_expression(spark):
+    fixed = [("15/03/2024", "DD/MM/YYYY"), ("5 Mar 2024", "D MMM YYYY"), ("31/02/2024", "DD/MM/YYYY"), ("1st May 2024", "Do MMMM YYYY"), (None, "DD"), ("x", None)]
+    many = [(f"07/08/2023 ({i})", f"MM/DD/YYYY ({i})") for i in range(400)]
+    df = spark.createDataFrame(fixed + many, "v string, t string").coalesce(1)
+    templates = dates.templates_of(df, "t")
+    assert len(templates) == 404
+    parsed = dates.parse_by_template("v", "t", templates)
+    out = df.select(parsed.alias("d"), dates.render_by_template(parsed, "t", templates).alias("r"), dates.loose_by_template("v", "t", templates).alias("l")).collect()
+    assert [r.d for r in out] == [date(2024, 3, 15), date(2024, 3, 5), None, date(2024, 5, 1), None, None] + [date(2023, 7, 8)] * 400
+    assert [r.r for r in out] == ["15/03/2024", "5 Mar 2024", None, "1st May 2024", None, None] + [v for v, _ in many]
+    assert [r.l for r in out][:2] == [date(2024, 3, 15), date(2024, 3, 5)] and [r.l for r in out][6:] == [date(2023, 7, 8)] * 400
 
 
 def test_keys(one):
