@@ -80,7 +80,7 @@ def streamed_balances_hold(t):
 )
 def streamed_unique_events(t):
     events = _stream(t, "events").select((F.col("user_id") % 40).alias("event_id"), F.col("ts").cast("timestamp").alias("received_at"))
-    return _finished(t, flows.dedupe_event_stream(events, within="40 days")).select("event_id")
+    return _finished(t, flows.dedupe_event_stream(events)).select("event_id")
 
 
 @query(
@@ -155,7 +155,7 @@ def statement_documents(t):
     numbered = assigned_item_ids(t).select("statement_id", "k", "item_seq")
     items = t.items().drop("item_seq").join(numbered, ["statement_id", "k"])
     statement_files.write_statement_json(t.statements(), items, folder, per_document=5)
-    _, read = statement_files.read_statements(t.spark, folder, per_document=5)
+    _, read = statement_files.read_statements(t.spark, folder)
     back = read.join(numbered, ["statement_id", "item_seq"])
     return back.select("statement_id", "k", "date", "number")
 

@@ -61,23 +61,31 @@ def bundle_by_contact(docs: DataFrame, payments: DataFrame, bundle_size: int = B
     """Invoices, credit notes and payments of each contact as arrays; rows without a contact are left out.
 
     A contact is one row as long as it has at most about ``bundle_size`` records. A larger one is
-    spread over ``parts`` rows by record id, so no contact has to fit into one row or one task.
+    spread over ``parts`` rows by record id, or by ``load_seq`` where records have no id, so no
+    contact has to fit into one row or one task.
     """
+
+    def spread_by(rows: DataFrame, record_id: str) -> Column:
+        order = F.col("load_seq") if "load_seq" in rows.columns else F.lit(0)
+        return F.when(F.col(record_id).isNull(), F.xxhash64(order)).otherwise(F.xxhash64(record_id)).alias("spread")
+
     doc_rows = docs.where(has_text("contact_id")).select(
         *CONTACT_KEYS,
         F.col("doc_kind").alias("kind"),
         F.col("doc_id").alias("record_id"),
+        spread_by(docs, "doc_id"),
         F.struct(*[c for c in docs.columns if c not in CONTACT_KEYS]).alias("doc"),
     )
     payment_rows = payments.where(has_text("contact_id")).select(
         *CONTACT_KEYS,
         F.lit("payment").alias("kind"),
         F.col("payment_id").alias("record_id"),
+        spread_by(payments, "payment_id"),
         F.struct(*[c for c in payments.columns if c not in CONTACT_KEYS]).alias("payment"),
     )
     records = doc_rows.unionByName(payment_rows, allowMissingColumns=True)
     sizes = records.groupBy(*CONTACT_KEYS).agg(F.ceil(F.count("*") / bundle_size).cast("int").alias("parts"))
-    spread = records.join(sizes, CONTACT_KEYS).withColumn("part", F.pmod(F.xxhash64("record_id"), F.col("parts")).cast("int"))
+    spread = records.join(sizes, CONTACT_KEYS).withColumn("part", F.pmod("spread", F.col("parts")).cast("int")).drop("spread")
 
     def listed(kind: str, column: str) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("record_id", column))))

@@ -82,9 +82,6 @@ def statement_counts(headers: DataFrame) -> DataFrame:
 
 def longest_files(files: DataFrame, k: int = 20) -> DataFrame:
     """The k files with the most pages, next to the total and the maximum over all files."""
-    return (
-        files.orderBy(F.desc("page_count"), "filename")
-        .limit(k)
-        .withColumn("total_pages", files.agg(F.sum("page_count")).scalar())
-        .withColumn("max_pages", files.agg(F.max("page_count")).scalar())
-    )
+    totals = files.agg(F.sum("page_count").alias("total_pages"), F.max("page_count").alias("max_pages"))
+    # One row of totals beside at most k files.
+    return files.orderBy(F.desc("page_count"), "filename").limit(k).join(totals, F.lit(True))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -33,14 +34,18 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for checkpoints and stream state.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests, a temporary folder of this machine is taken.
+    A cluster names it in ``spark.checkpoint.dir``. Only a session on this machine alone, as in
+    tests, may leave that unset; it gets a temporary folder.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tallyweave-")
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tallyweave-")
     context.setCheckpointDir(folder)
     return folder
 

@@ -10,7 +10,7 @@ from tallyweave.schemas import STATEMENT_KEYS
 # A document holds at most about this many items; a longer statement is several documents.
 ITEMS_PER_DOCUMENT = 5_000
 
-_ITEM = """struct<statement_item_id:string,date:string,number:string,due_date:string,reference:string,
+_ITEM = """struct<item_seq:bigint,statement_item_id:string,date:string,number:string,due_date:string,reference:string,
   total:map<string,string>,raw:map<string,string>,item_type:string,flags:array<string>>"""
 
 _DOCUMENT = f"""tenant_id string, statement_id string, part int, date_format string, date_confidence string,
@@ -24,11 +24,11 @@ def write_statement_json(
     """One JSON document per statement with its items in order.
 
     A statement with more than ``per_document`` items continues in further documents (``part``), so
-    no statement has to fit into one row. Every document carries the statement's metadata.
+    no statement has to fit into one row. Every document carries the statement's metadata, and every
+    item its number, so documents are read the same way however they were split.
     """
-    fields = ["statement_item_id", "date", "number", "due_date", "reference", "total", "raw", "item_type", "flags"]
+    fields = ["item_seq", "statement_item_id", "date", "number", "due_date", "reference", "total", "raw", "item_type", "flags"]
     row = F.struct(*[F.col(f) if f in items.columns else F.lit(None).cast(_types()[f]).alias(f) for f in fields])
-    # Numbers are dense, so the part follows from the number without counting.
     part = F.floor((F.col("item_seq") - 1) / per_document).cast("int")
     grouped = items.withColumn("part", part).groupBy(*STATEMENT_KEYS, "part").agg(
         # Maps cannot be sorted, so the items wait as JSON text.
@@ -44,7 +44,7 @@ def write_statement_json(
 
 def _types() -> dict[str, str]:
     return {
-        "statement_item_id": "string", "date": "string", "number": "string", "due_date": "string", "reference": "string",
+        "item_seq": "bigint", "statement_item_id": "string", "date": "string", "number": "string", "due_date": "string", "reference": "string",
         "total": "map<string,string>", "raw": "map<string,string>", "item_type": "string", "flags": "array<string>",
     }
 
@@ -56,15 +56,14 @@ def _meta_columns() -> list[str]:
     ]
 
 
-def read_statements(spark: SparkSession, folder: str, per_document: int = ITEMS_PER_DOCUMENT) -> tuple[DataFrame, DataFrame]:
-    """Statements and items of a folder of documents; a folder that is not there is an error."""
+def read_statements(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Statements and items of a folder of documents; a folder that is not there is an error.
+
+    Items without a number, as in documents of other origin, are numbered by their place.
+    """
     documents = spark.read.schema(_DOCUMENT).json(folder)
     statements = documents.where(F.coalesce("part", F.lit(0)) == 0).drop("part", "statement_items")
     items = documents.select(
-        *STATEMENT_KEYS, "part", F.posexplode("statement_items").alias("pos", "item")
-    ).select(
-        *STATEMENT_KEYS,
-        (F.coalesce("part", F.lit(0)).cast("bigint") * per_document + F.col("pos") + 1).cast("bigint").alias("item_seq"),
-        "item.*",
-    )
-    return statements, items
+        *STATEMENT_KEYS, F.posexplode("statement_items").alias("pos", "item")
+    ).select(*STATEMENT_KEYS, "item.*", (F.col("pos") + 1).cast("bigint").alias("place"))
+    return statements, items.withColumn("item_seq", F.coalesce("item_seq", "place")).drop("place")

@@ -17,9 +17,14 @@ def flag_stream(items: DataFrame) -> DataFrame:
     return flags.flag_items(items)
 
 
-def dedupe_event_stream(events: DataFrame, key: str = "event_id", within: str = "1 day") -> DataFrame:
-    """First delivery of each event. ``received_at`` is a TIMESTAMP; repeats later than ``within`` pass."""
-    return events.withWatermark("received_at", within).dropDuplicatesWithinWatermark([key])
+def dedupe_event_stream(events: DataFrame, key: str = "event_id") -> DataFrame:
+    """First delivery of each event, however late it comes and however much later it is repeated.
+
+    The ids of all events are kept in state, as a processed table would keep them: there is no
+    watermark, so nothing is dropped for being late and no repeat passes. Events without an id pass.
+    """
+    keyed = events.where(F.col(key).isNotNull()).dropDuplicates([key])
+    return keyed.unionByName(events.where(F.col(key).isNull()))
 
 
 def error_alert_stream(logs: DataFrame, width: str = "1 minute", late: str = "1 minute", threshold: int = 1) -> DataFrame:

@@ -32,7 +32,7 @@ def test_statement_documents_round_trip(spark, tmp_path):
     statements = spark.createDataFrame([("T", "S", "DD/MM/YYYY", {"Date": "date"})], "tenant_id string, statement_id string, date_format string, header_mapping map<string,string>")
     items = spark.range(1, 8).select(F.lit("T").alias("tenant_id"), F.lit("S").alias("statement_id"), F.col("id").alias("item_seq"), F.concat(F.lit("n"), "id").alias("number"), F.create_map(F.lit("h"), F.col("id").cast("string")).alias("raw"))
     statement_files.write_statement_json(statements, items, str(tmp_path / "out"), per_document=3)
-    back, rows = statement_files.read_statements(spark, str(tmp_path / "out"), per_document=3)
+    back, rows = statement_files.read_statements(spark, str(tmp_path / "out"))
     assert back.count() == 1 and back.first().header_mapping == {"Date": "date"}
     assert [(r.item_seq, r.number, r.raw["h"]) for r in rows.orderBy("item_seq").collect()] == [(i, f"n{i}", str(i)) for i in range(1, 8)]
     with pytest.raises(Exception, match="PATH_NOT_FOUND|not exist"):
