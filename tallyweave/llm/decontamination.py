@@ -260,7 +260,7 @@ def _stored(benchmark: DataFrame) -> str:
 def _clean(batch: pa.RecordBatch, shard: Shard, found: list[tuple]) -> pa.RecordBatch:
     keep = np.ones(batch.num_rows, bool)
     keep[[x[0] for x in found]] = False
-    return batch.filter(pa.array(keep))
+    return batch.select(["_row"]).filter(pa.array(keep))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -269,4 +269,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     Every row is judged by its own ``text``, where it is read: nothing is shuffled, and ids, null
     or repeated, play no part. Texts that are null, empty or without words stay.
     """
-    return docs.mapInArrow(_shards(_stored(benchmark), window, shard_bytes, _clean), docs.schema)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").cast("string").alias("text"))
+    kept = rows.mapInArrow(_shards(_stored(benchmark), window, shard_bytes, _clean), rows.select("_row").schema)
+    return kept.select("_row.*")

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyweave.session import checkpoint_folder
 
@@ -18,14 +19,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """The rows as a table in the shared folder; later steps read it and lost executors cost no recomputation.
 
-    With ``by``, a condition, rows are kept apart by it (column ``kind``), so that either kind is read alone.
+    With ``by``, a condition, rows are kept apart by it (column ``apart``), so that either kind is read alone.
     """
     folder = scratch(df.sparkSession, name)
     if by is None:
         df.write.parquet(folder)
         return df.sparkSession.read.schema(df.schema).parquet(folder)
-    df.withColumn("kind", F.expr(by)).write.partitionBy("kind").parquet(folder)
-    return df.sparkSession.read.schema(df.schema.add("kind", "boolean")).parquet(folder)
+    df.withColumn("apart", F.expr(by)).write.partitionBy("apart").parquet(folder)
+    return df.sparkSession.read.schema(StructType(df.schema.fields).add("apart", "boolean")).parquet(folder)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -239,7 +239,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, w
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = parts_for(text_bytes(narrow), PART_BYTES)
     stored = written(narrow.mapInArrow(_store(least, anchor, parts), _PACKED), "blocks", by="part < 0")
-    texts, anchors = (stored.filter(F.col("kind") == k).select("block", "part", "data") for k in (True, False))
+    texts, anchors = (stored.filter(F.col("apart") == k).select("block", "part", "data") for k in (True, False))
     seeds = written(anchors.groupBy("part").applyInArrow(_seeds, _PACKED), "seeds")
     sent = texts.groupBy("block").cogroup(seeds.groupBy("block")).applyInArrow(_extend(least, anchor, parts), _PACKED)
     answers = sent.groupBy("part").applyInArrow(_seen_again, _PACKED).withColumn("part", (-1 - F.col("part")).cast("int"))
