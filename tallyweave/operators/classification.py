@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyweave.functions import amounts, dates
 from tallyweave.functions.text import document_number, header_key, has_text, id_key, label_key, stripped, upper_tokens
@@ -43,10 +43,8 @@ DESCRIPTION_KEYWORDS = {
     "invoice": ("invoice", "inv", "tax invoice", "sales order", "bill"),
 }
 
-# A task forgets the scores it keeps when there are this many.
-SCORES_KEPT = 200_000
-
-_SCORES = T.StructType([T.StructField(kind, T.DoubleType()) for kind in TYPE_SYNONYMS])
+# A task forgets the ratios it keeps when there are this many.
+RATIOS_KEPT = 200_000
 
 
 # --- amount evidence ---------------------------------------------------------------------------
@@ -94,40 +92,53 @@ def amount_hint(items: DataFrame) -> DataFrame:
 # --- words -------------------------------------------------------------------------------------
 
 
+def _ratios(tokens: Column) -> Column:
+    """The matching-blocks ratio of each token with each synonym, all types in one list; tokens repeat, so a task keeps some."""
+    words = [word.upper() for listed in TYPE_SYNONYMS.values() for word in listed]
+    kept: dict[str, list[float]] = {}
+
+    def of(token: str) -> list[float]:
+        if token not in kept:
+            if len(kept) >= RATIOS_KEPT:
+                kept.clear()
+            kept[token] = [difflib.SequenceMatcher(None, token, word).ratio() for word in words]
+        return kept[token]
+
+    @F.pandas_udf("array<array<double>>")
+    def ratios(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda row: [of(token) for token in row])
+
+    return ratios(tokens)
+
+
+def _greatest_of(rules: list) -> Callable[[Column], Column]:
+    return lambda x: F.greatest(*[rule(x) for rule in rules])
+
+
 def token_similarity(tokens: Column) -> Column:
-    """Best score of an array of tokens per type, as a struct.
+    """Best score of an array of tokens per type, as a struct; 0 for an empty or null array.
 
     A token scores 1 if it equals a synonym, 0.9 if one begins with the other, else the
-    matching-blocks ratio; a synonym of one or two letters gives 0.8 at most. Tokens repeat a lot,
-    so a task keeps the scores of those it has seen. Rows that need no scores pass an empty array.
+    matching-blocks ratio; a synonym of one or two letters gives 0.8 at most. Only the ratios
+    leave the JVM.
     """
-    synonyms = {kind: [word.upper() for word in words] for kind, words in TYPE_SYNONYMS.items()}
-    seen: dict[str, tuple[float, ...]] = {}
-
-    def score(token: str, synonym: str) -> float:
-        if token == synonym:
-            return 1.0 if len(synonym) > 2 else 0.8
-        if token.startswith(synonym) or synonym.startswith(token):
-            return 0.9 if len(synonym) > 2 else 0.8
-        ratio = difflib.SequenceMatcher(None, token, synonym).ratio()
-        return ratio if len(synonym) > 2 else min(ratio, 0.8)
-
-    def best_scores(token: str) -> tuple[float, ...]:
-        if token not in seen:
-            if len(seen) >= SCORES_KEPT:
-                seen.clear()
-            seen[token] = tuple(max(score(token, word) for word in words) for words in synonyms.values())
-        return seen[token]
-
-    @F.pandas_udf(_SCORES)
-    def score_rows(rows: pd.Series) -> pd.DataFrame:
-        nothing = (0.0,) * len(synonyms)
-        found = [
-            nothing if row is None or not len(row) else tuple(map(max, zip(*map(best_scores, row)))) for row in rows
-        ]
-        return pd.DataFrame(found, columns=list(synonyms))
-
-    return score_rows(tokens)
+    present = F.coalesce(tokens, F.array().cast("array<string>"))
+    scored = F.zip_with(present, _ratios(present), lambda token, ratio: F.struct(token.alias("token"), ratio.alias("ratio")))
+    place, best = 0, []
+    for kind, words in TYPE_SYNONYMS.items():
+        scores = []
+        for word in (w.upper() for w in words):
+            most = 1.0 if len(word) > 2 else 0.8
+
+            def score(x: Column, word: str = word, most: float = most, place: int = place) -> Column:
+                begins = x["token"].startswith(word) | F.lit(word).startswith(x["token"])
+                rule = F.when(x["token"] == word, 1.0).when(begins, 0.9).otherwise(F.get(x["ratio"], F.lit(place)))
+                return F.least(rule, F.lit(most))
+
+            scores.append(score)
+            place += 1
+        best.append(F.coalesce(F.array_max(F.transform(scored, _greatest_of(scores))), F.lit(0.0)).alias(kind))
+    return F.struct(*best)
 
 
 def _joined_values(raw: Column) -> Column:
@@ -141,11 +152,11 @@ def _contains_any(text: Column, words: tuple[str, ...]) -> Column:
     return hit
 
 
-def guess_item_type(items: DataFrame, output: str = "guessed_type") -> DataFrame:
+def guess_item_type(items: DataFrame, output: str = "guessed_type", known: Column | None = None) -> DataFrame:
     """Add the type suggested by the row's own amounts and words.
 
     A synonym inside the row's joined text settles the type without leaving the JVM. Only the rest
-    sends its tokens to ``token_similarity``.
+    sends its tokens to ``token_similarity``; rows whose type is ``known`` otherwise get no guess.
     """
     cells = F.coalesce("raw", F.create_map().cast("map<string,string>"))
     prepared = (
@@ -164,7 +175,8 @@ def guess_item_type(items: DataFrame, output: str = "guessed_type") -> DataFrame
         *[F.when(candidate[t] & _contains_any(F.col("compact"), words), t) for t, words in TYPE_SYNONYMS.items()]
     )
     no_words = F.size("tokens") == 0
-    settled = prepared.withColumn("settled", F.when(no_words, default).otherwise(contained))
+    guess = F.when(no_words, default).otherwise(contained)
+    settled = prepared.withColumn("settled", guess if known is None else F.when(known, F.lit("")).otherwise(guess))
     scored = settled.withColumn(
         "scores",
         token_similarity(
@@ -182,7 +194,7 @@ def guess_item_type(items: DataFrame, output: str = "guessed_type") -> DataFrame
     )
     needed = F.coalesce(*[F.when(F.col("best_type") == t, F.lit(low)) for t, low in MINIMUM_SCORE.items()])
     guess = F.when((F.col("best") > 0) & (F.col("best") >= needed), F.col("best_type")).otherwise(default)
-    return scored.withColumn(output, F.coalesce("settled", guess)).drop(
+    return scored.withColumn(output, F.nullif(F.coalesce("settled", guess), F.lit(""))).drop(
         "hint", "joined", "tokens", "compact", "settled", "scores", "best", "best_type"
     )
 
@@ -207,7 +219,8 @@ def classify_items(items: DataFrame, matches: DataFrame, payments: DataFrame) ->
         .where(F.col("paid") | F.col("key_type").isNotNull())
         .select(*STATEMENT_KEYS, "row_key", "paid", "key_type")
     )
-    joined = guess_item_type(items).join(evidence, [*STATEMENT_KEYS, "row_key"], "left")
+    beside = items.join(evidence, [*STATEMENT_KEYS, "row_key"], "left")
+    joined = guess_item_type(beside, known=F.col("key_type").isNotNull() | F.coalesce("paid", F.lit(False)))
     source = (
         F.when(F.col("key_type").isNotNull(), F.concat("key_type", F.lit("_match")))
         .when(F.coalesce("paid", F.lit(False)), "payment_match")
