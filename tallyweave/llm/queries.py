@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm import decontamination, language, mixing, neardup, scoring, sharding, substrings, syncmers, token_files, warc
+from tallyweave.llm.oracles import ORACLES as ORACLES
 from tallyweave.llm.shared import remainder, table
 from tallyweave.session import configure
 
@@ -46,7 +47,7 @@ def op4_suffix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     items = F.array_distinct(F.array_sort("items"))
     return found.select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"),
-        F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), "longest", "longest_at", "longest_item",
+        F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
     )
 
 
@@ -91,5 +92,3 @@ def _configured(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[Sp
 
 
 QUERIES = {build.__name__: _configured(build) for build in _RUN}
-
-ORACLES = {"op8_extendible_shards": sharding.SHARDED_SQL}

@@ -85,7 +85,7 @@ def test_tokens(docs, got):
 
 
 def test_contamination(docs, got):
-    windows, longest = defaultdict(set), 0
+    windows = defaultdict(set)
     for item in pq.read_table(f"{FOLDER}/benchmark.parquet").to_pylist():
         words = re.findall(ALNUM, lowered(item["text"]))
         for i in range(max(1, len(words) - 9) if words else 0):
@@ -103,9 +103,6 @@ def test_contamination(docs, got):
         r = rows[d["doc_id"]]
         assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (len(words), len(hit), len(items), bool(hit))
         assert r["items_sha256"] == hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-        longest = max(longest, r["longest"])
-        assert (r["longest"] > 0) == bool(hit)
-    assert longest > 10
 
 
 def test_scores(docs, got):
@@ -223,3 +220,17 @@ def test_edited_texts(docs, got):
     for d in docs:
         prints[d["text"]].add(rows[d["doc_id"]]["fingerprint"])
     assert all(len(x) == 1 for x in prints.values())
+
+
+def test_sql_gives_the_same_rows(got):
+    import duckdb
+
+    connection = duckdb.connect()
+    for name in ("documents", "benchmark", "pages", "labels"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
+    for name, sql in queries.ORACLES.items():
+        rows = got(int(re.match(r"op(\d+)_", name)[1]))
+        result = connection.execute(sql)
+        names = [c[0] for c in result.description]
+        assert sorted(names) == sorted(rows[0])
+        assert sorted(str([r[n] for n in sorted(names)]) for r in rows) == sorted(str([dict(zip(names, r, strict=True))[n] for n in sorted(names)]) for r in result.fetchall())
