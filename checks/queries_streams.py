@@ -12,7 +12,7 @@ from checks.derive import Tables, with_tables
 from checks.queries_rows import FLAGGED
 from checks.registry import money, money_sql, query
 from tallyweave.session import checkpoint_folder
-from tallyweave.sources import ledger_files
+from tallyweave.sources import ledger_files, snapshots
 from tallyweave.streaming import flows, state
 
 
@@ -56,7 +56,26 @@ def _commands(events: DataFrame) -> DataFrame:
     )
 
 
-@query("streamed_token_ledger")
+# The ledger of a tenant command by command: balance and open reservations go from row to row.
+_WALK = """WITH RECURSIVE c AS (
+    SELECT concat('T', CAST(user_id AS VARCHAR)) AS tenant_id, concat('c', CAST(event_id AS VARCHAR)) AS command_id,
+      CASE event_type WHEN 'view' THEN 'RESERVE' WHEN 'click' THEN 'CONSUME' WHEN 'error' THEN 'RELEASE' ELSE 'ADJUSTMENT' END AS kind,
+      concat('S', CAST(CASE WHEN event_type = 'view' THEN event_id ELSE event_id - event_id % 3 END AS VARCHAR)) AS statement,
+      CAST(CASE WHEN event_type = 'signup' THEN 5 ELSE 1 + event_id % 20 END AS BIGINT) AS tokens,
+      row_number() OVER (PARTITION BY user_id ORDER BY ts, concat('c', CAST(event_id AS VARCHAR))) AS n FROM events),
+  walk AS (
+    SELECT DISTINCT tenant_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS balance, CAST([] AS STRUCT(s VARCHAR, n BIGINT)[]) AS held,
+      CAST(NULL AS VARCHAR) AS entry_id, CAST(NULL AS VARCHAR) AS entry_type, CAST(0 AS BIGINT) AS token_delta, CAST(NULL AS BOOLEAN) AS accepted FROM c
+    UNION ALL
+    SELECT tenant_id, n, balance + delta, CASE WHEN kind = 'RESERVE' AND ok THEN list_append(held, {'s': statement, 'n': tokens}) WHEN kind IN ('CONSUME', 'RELEASE') THEN list_filter(held, lambda x: x.s <> statement) ELSE held END,
+      CASE WHEN kind = 'ADJUSTMENT' THEN command_id WHEN ok IS NOT NULL THEN concat(lower(kind), '#', statement) END, kind, delta, ok
+    FROM (SELECT *, CASE WHEN NOT coalesce(ok, false) THEN 0 WHEN kind = 'RESERVE' THEN -tokens WHEN kind = 'RELEASE' THEN own.n WHEN kind = 'CONSUME' THEN 0 ELSE tokens END AS delta
+      FROM (SELECT *, CASE WHEN kind = 'RESERVE' THEN balance >= tokens WHEN kind = 'ADJUSTMENT' THEN true WHEN own IS NOT NULL THEN true END AS ok
+        FROM (SELECT c.tenant_id, c.n, c.kind, c.statement, c.tokens, c.command_id, w.balance, w.held, list_filter(w.held, lambda x: x.s = c.statement)[1] AS own
+          FROM walk w JOIN c ON c.tenant_id = w.tenant_id AND c.n = w.n + 1) step) judged) moved)"""
+
+
+@query("streamed_token_ledger", f"SELECT * FROM ({_WALK} SELECT tenant_id, entry_id, entry_type, token_delta, accepted, balance FROM walk WHERE entry_id IS NOT NULL) q")
 def streamed_token_ledger(t):
     rows = _finished(t, state.token_ledger_stream(_commands(_stream(t, "events"))))
     return rows.select("tenant_id", "entry_id", "entry_type", "token_delta", "accepted", "balance")
@@ -64,14 +83,23 @@ def streamed_token_ledger(t):
 
 @query(
     "streamed_balances_hold",
-    "SELECT concat('T', CAST(user_id AS VARCHAR)) AS tenant_id, true AS never_negative, true AS adds_up FROM events GROUP BY user_id",
+    f"SELECT * FROM ({_WALK} SELECT tenant_id, min(balance) >= 0 AS never_negative, CAST(arg_max(balance, n) AS BIGINT) AS balance FROM walk WHERE entry_id IS NOT NULL GROUP BY tenant_id) q",
 )
 def streamed_balances_hold(t):
+    """The deltas of a tenant add up to the balance that its last command left."""
     rows = _finished(t, state.token_ledger_stream(_commands(_stream(t, "events"))))
-    return rows.groupBy("tenant_id").agg(
-        (F.min("balance") >= 0).alias("never_negative"),
-        (F.sum("token_delta") == F.sum(F.when(F.col("accepted"), F.col("token_delta")).otherwise(0))).alias("adds_up"),
-    )
+    return rows.groupBy("tenant_id").agg((F.min("balance") >= 0).alias("never_negative"), F.sum("token_delta").alias("balance"))
+
+
+@query(
+    "snapshot_rows",
+    with_tables(("statements_flat",), "SELECT tenant_id, statement_id, contact_id FROM statements_flat WHERE tenant_id IN ('T3', 'T4', 'T11')"),
+)
+def snapshot_rows(t):
+    folder = _scratch(t)
+    tenants = t.derive("contacts").select("tenant_id").where(F.col("tenant_id").isin("T3", "T4", "T11"))
+    snapshots.write_snapshot({"statements": t.derive("statements_flat")}, tenants, folder)
+    return snapshots.read_snapshot(t.spark, folder, "statements").select("tenant_id", "statement_id", "contact_id")
 
 
 @query(

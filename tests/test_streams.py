@@ -117,3 +117,16 @@ def test_stale_sync_stream(spark, tmp_path):
         assert seen == ["stopped"]
     finally:
         query.stop()
+
+
+def test_an_event_repeated_days_later_is_known_and_a_late_one_is_not_lost(spark, tmp_path):
+    kind, folder = "event_id string, received_at timestamp", tmp_path / "events"
+    batches = [[("a", 10), ("b", 10)], [("a", 13), ("c", 1), (None, 13)], [("c", 40), ("b", 11), ("d", 2)]]
+    for i, batch in enumerate(batches):
+        rows = [(e, datetime(2024, 1, 1) + timedelta(days=d)) for e, d in batch]
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(folder / f"b{i}"))
+        stream = spark.readStream.schema(kind).option("recursiveFileLookup", True).parquet(str(folder))
+        writer = flows.dedupe_event_stream(stream).writeStream.option("checkpointLocation", str(tmp_path / "state"))
+        writer.trigger(availableNow=True).foreachBatch(flows.append_batch(str(tmp_path / "out"))).start().awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((str(r.event_id), r.received_at.day) for r in out) == [("None", 14), ("a", 11), ("b", 11), ("c", 2), ("d", 3)]
