@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -164,3 +165,12 @@ def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 def buckets(hashes: np.ndarray, n: int) -> np.ndarray:
     """A bucket below ``n`` for each hash, by its high bits."""
     return ((hashes >> np.uint64(33)) * np.uint64(n) >> np.uint64(31)).astype(np.int64)
+
+
+def trim() -> None:
+    """Give memory that a worker no longer uses back; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library keeps what it has
+        pass
