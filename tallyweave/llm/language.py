@@ -163,16 +163,21 @@ def _trusted(model):
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from rows (text, lang) with a language; null texts and languages are left out.
 
-    At most ``sample`` rows per language, chosen by a hash of the text, are learned from: the
-    counts of their grams give each bit's log-odds between the languages on its two sides,
-    every language weighing the same. How often a bit's classifier is right for a language
-    on the sample is its trust there.
+    At most ``sample`` rows per language, the lowest by a hash of their text and, where there is one,
+    doc_id, are learned from: the counts of their grams give each bit's log-odds between the
+    languages on its two sides, every language weighing the same. How often a bit's classifier
+    is right for a language on the sample is its trust there.
     """
     spark = labelled.sparkSession
-    rows = labelled.filter("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
-    rows = written(rows.withColumn("_h", F.xxhash64("text")).withColumn("_n", nth).filter(F.col("_n") <= sample).select("lang", _seen(F.col("text")).alias("text")), "sample")
-    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())  # one row per language
+    known = labelled.filter("text is not null and lang is not null")
+    place = F.xxhash64(*[c for c in ("text", "doc_id") if c in labelled.columns])
+    rows = known.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), (place / float(1 << 64) + 0.5).alias("_h"))
+    # About twice as many rows as are wanted are looked at, so that no language is sorted as a whole.
+    share = {r["lang"]: 2.0 * sample / max(r["n"], 1) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    near = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col("lang")), F.lit(0.0)) if share else F.lit(0.0)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))
+    rows = written(rows.filter(F.col("_h") < near).withColumn("_n", nth).filter(F.col("_n") <= sample).select("lang", _seen(F.col("text")).alias("text")), "sample")
+    languages = sorted(share)
     code = codewords(len(languages))
     model = Model(languages, code, {}, np.ones(code.shape[1]), np.ones(code.shape))
     if len(languages) < 2:

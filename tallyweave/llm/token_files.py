@@ -305,6 +305,7 @@ def _write(folder: str, vocabulary: str, end_id: int, file_bytes: int):
             put(path, raw)
             row = {"part": [part], "file": [files], "path": [path], "n_docs": [len(doc_ids)], "n_tokens": [len(ids)], "n_bytes": [len(raw)]}
             rows.clear()
+            textkit.trim()
             gathered, files = 0, files + 1
             return pa.record_batch(row, schema=_MANIFEST_ARROW)
 
