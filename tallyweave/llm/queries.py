@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm import decontamination, language, mixing, neardup, scoring, sharding, substrings, syncmers, token_files, warc
 from tallyweave.llm.oracles import ORACLES as ORACLES
-from tallyweave.llm.shared import remainder, table
-from tallyweave.session import configure
+from tallyweave.llm.shared import configured, remainder, table
 
 END_ID = 2
 
@@ -88,7 +87,7 @@ _RUN = [
 
 
 def _configured(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: build(configure(spark), folder)
+    return lambda spark, folder: build(configured(spark), folder)
 
 
 QUERIES = {build.__name__: _configured(build) for build in _RUN}

@@ -8,7 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallyweave.session import checkpoint_folder
+from tallyweave.session import checkpoint_folder, configure
+
+BATCH_BYTES = 8 << 20  # of an Arrow batch; long texts would make batches of a fixed number of rows large
+
+
+def configured(spark: SparkSession) -> SparkSession:
+    """A session with the settings that tasks over texts expect."""
+    configure(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
 
 
 def scratch(spark: SparkSession, name: str) -> str:
