@@ -16,7 +16,7 @@ from tallyweave.llm.shared import parts_for, text_bytes, written
 
 LEAST = 35  # words of a repeat
 ANCHOR = 8  # words of an anchor
-BLOCK_BYTES = 4 << 20  # text of one block
+BLOCK_BYTES = 2 << 20  # text of one block
 PART_BYTES = 16 << 20  # text behind one part of the hash range, about
 
 _PACKED = "block bigint, part int, data binary"
@@ -105,6 +105,7 @@ def _repeats(table: pa.Table) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     found[order] = np.repeat((sizes > 1) | np.maximum.reduceat(twice[order], at), sizes)
     ends = np.cumsum([len(x[0]) for x in rows]).tolist()
     places = zip(table.column("block").to_pylist(), table.column("part").to_pylist(), rows, ends, strict=True)
+    textkit.trim()
     return [(block, part, row[0], found[end - len(row[0]) : end]) for block, part, row, end in places]
 
 
@@ -120,6 +121,7 @@ def _store(least: int, anchor: int, parts: int):
         prints = Block(*textkit.bytes_of(batch.column("text")), least, anchor).prints
         values, counts = np.unique(prints, return_counts=True)
         rows = list(_pack(number, parts, values, np.zeros(len(values), np.uint64), counts > 1))
+        textkit.trim()
         yield pa.RecordBatch.from_pylist(rows, schema=_PACKED_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,6 +168,7 @@ def _extend(least: int, anchor: int, parts: int):
             return _PACKED_ARROW.empty_table()
         _, _, _, first, second, (order, at, sizes) = _opened(stored, seeds, least, anchor)
         one = order[at]
+        textkit.trim()
         return pa.Table.from_pylist(list(_pack(stored.column("block")[0].as_py(), parts, first[one], second[one], sizes > 1)), schema=_PACKED_ARROW)
 
     return run
@@ -203,6 +206,7 @@ def _cut(least: int, anchor: int, parts: int, with_text: bool):
                 end = min(high, int(words.first[row + 1]))
                 spans[row].append({"start": low - int(words.first[row]), "end": end - int(words.first[row])})
                 low = end
+        textkit.trim()
         return pa.table(
             {
                 "doc_id": batch.column("doc_id"),
