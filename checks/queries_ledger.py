@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.derive import with_tables
 from checks.registry import iso, money, money_sql, query
-from tallyweave.operators import ledger, listing, tokens, values
+from tallyweave.operators import ledger, listing, tokens
 from tallyweave.sources import snapshots
 
 
