@@ -14,7 +14,7 @@ from tallyweave.llm.shared import scratch
 from tallyweave.llm.stores import record_batches
 
 WINDOW = 10  # words of a benchmark item that must recur verbatim
-SHARD_BYTES = 4 << 20  # text behind one suffix array
+SHARD_BYTES = 1 << 20  # text behind one suffix array
 ITEMS_PER_BLOCK = 20_000  # benchmark items searched at a time
 
 SCHEMA = (
@@ -193,6 +193,7 @@ def _shards(folder: str, window: int, shard_bytes: int, row_of):
                     names = np.array(items.item_ids, object)
                     found += zip(shard.row[place].tolist(), place.tolist(), length.tolist(), names[item].tolist(), match.tolist(), strict=True)
                 yield row_of(batch.slice(first, last - first), shard, found)
+            textkit.trim()
 
     return run
 

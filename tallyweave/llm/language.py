@@ -227,6 +227,7 @@ def tagged(docs: DataFrame, model: Model) -> DataFrame:
             for into, values in zip((best, score, unsure), answer, strict=True):
                 into.append(values)
         best, score, unsure = (np.concatenate(x) for x in (best, score, unsure))
+        textkit.trim()
         said = np.full(len(known), UNKNOWN, object)
         said[known] = names[best[known]] if len(names) else UNKNOWN
         columns = [pa.array(said, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(unsure & known)]
@@ -246,6 +247,6 @@ def recognised(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     without labels loses only texts without letters.
     """
     model = fit(docs, sample)
-    bad = ((F.col("lang_pred") == UNKNOWN) & (F.col("score") == 0) & F.lit(bool(model.languages))) | F.col("ambiguous") | F.coalesce(~F.col("text").rlike(r"\p{L}"), F.lit(True))
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
-    return tagged(plain, model).filter(~bad).select("_row.*")
+    return tagged(plain, model).filter(lettered & ~F.col("ambiguous")).select("_row.*")

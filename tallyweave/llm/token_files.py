@@ -30,10 +30,10 @@ from tallyweave.llm.stores import get, put
 
 BLOCK = 128  # ids, at most 256
 PERCENTILE = 97  # of a block's offsets that fit the packed width
-FILE_TEXT_BYTES = 8 << 20  # text behind one file, about
-TEXT_AT_ONCE = 2 << 20  # bytes encoded together
+FILE_TEXT_BYTES = 4 << 20  # text behind one file, about
+TEXT_AT_ONCE = 1 << 20  # bytes encoded together
 ROWS_AT_ONCE = 256
-CACHED_PIECES = 1_000_000  # per worker; only a memo, it is emptied when full
+CACHED_PIECES = 500_000  # per worker; only a memo, it is emptied when full
 
 MAGIC = b"PFOR1\0\0\0"
 HEAD = struct.Struct("<8sIIQQ")
