@@ -50,6 +50,7 @@ def _fingerprints(width: int):
         for first, last in textkit.groups(offsets):
             own = offsets[first : last + 1]
             values.append(chunk(data[own[0] : own[-1]], own - own[0]))
+        textkit.trim()
         return pa.array(np.concatenate(values).view(np.int64))
 
     return fingerprint
@@ -147,10 +148,11 @@ def deduplicated(docs: DataFrame, distance: int = DISTANCE, segments: int = SEGM
     Texts without words are near-duplicates of each other.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = docs.select(row, F.col("doc_id").cast("bigint").alias("_id"), simhash(F.col("text")).alias("_fp"), F.xxhash64("text").alias("_hash"))
-    prints = written(rows.select(F.col("_id").alias("doc_id"), F.col("_fp").alias("fp"), "_hash"), "fingerprints")
+    rows = docs.select(row, F.col("text"), F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_hash"))
+    prints = written(rows.select(F.col("_id").alias("doc_id"), simhash(F.col("text")).alias("fp"), "_hash"), "fingerprints")
     roots = _placed(prints.select("doc_id", "fp"), distance, segments).select("fp", "root")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_hash", "fp")).alias("k")
-    kept = prints.join(roots, "fp").groupBy("root").agg(first).select(F.col("k.doc_id").alias("k_id"), F.col("k.fp").alias("k_fp"), F.col("k._hash").alias("k_hash"))
-    same = rows["_id"].eqNullSafe(kept["k_id"]) & (rows["_fp"] == kept["k_fp"]) & (rows["_hash"] == kept["k_hash"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["_id", "_fp", "_hash"]).select("_row.*")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_hash")).alias("k")
+    kept = prints.join(roots, "fp").groupBy("root").agg(first).select(F.col("k.doc_id").alias("k_id"), F.col("k._hash").alias("k_hash"))
+    # Equal texts have equal fingerprints, so id and hash find the row without another fingerprint.
+    same = rows["_id"].eqNullSafe(kept["k_id"]) & (rows["_hash"] == kept["k_hash"])
+    return rows.drop("text").join(kept, same, "left_semi").dropDuplicates(["_id", "_hash"]).select("_row.*")
