@@ -12,7 +12,7 @@ WEIGHTS = (3.0, 1.0, 2.0)  # of the sources in code-point order, repeating
 SHARE = 1.5  # of all sizes
 MOST = 2.0  # times its size that a source may give
 SLICES = 4096  # of the key's range; only the slice where the budget ends is sorted
-QUALITY = {0: 1.0, 1: 2.0}  # weight of a document by its quality label; 1 without one
+PLAIN = 0.5  # quality of a text without words
 
 
 def word_count(text: Column) -> Column:
@@ -20,6 +20,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def quality(text: Column, size: Column) -> Column:
+    """A weight between 0.5 and 1.5 from a text and its words: prose has a word per six characters or more, junk in long lumps fewer.
+
+    It needs nothing but the document, so weighing moves no rows.
+    """
+    return F.lit(PLAIN) + F.least(F.lit(1.0), size.cast("double") * 6 / F.greatest(F.coalesce(F.length(text), F.lit(0)), F.lit(1)))
+
+
 def uniform(doc_id: Column, seed: str) -> Column:
     """A number between 0 and 1 that depends on the document's id and a seed alone."""
     digits = F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary")), 1, 12)
@@ -49,27 +57,28 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return table.select("source", "source_size", F.when(open_, F.col("w") * F.col("level.rate")).otherwise(F.col("cap")).alias("target"))
 
 
-def mixed(docs: DataFrame, quality: Column | None = None, seed: str = "mix", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+def mixed(docs: DataFrame, weight: Column | None = None, seed: str = "mix", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """Documents (doc_id, text, source and more) with what a mix takes of each.
 
     Adds ``size`` (words), ``source_size``, ``target``, ``taken`` (words, repeats counted) and
     ``copies`` (whole documents: complete epochs, and one more where at least half of the
     last one is taken). Every document is taken as often as its source's size fits its target
-    completely; the words still missing are taken in ascending order of -ln(u) / quality, u
+    completely; the words still missing are taken in ascending order of -ln(u) / weight, u
     depending on doc_id and ``seed``, ties by doc_id, size and text. The document at which
     the budget ends gives only the words that are missing, so each source meets its
     rounded target exactly; no document gives more than ``most`` times its size.
 
     Only sums per source and slice of the key's range are gathered; of each source just the
     slice in which its budget ends is sorted. Columns of these names in the input are
-    replaced. ``quality`` is a positive column, by default 1 (null or not positive: 1).
+    replaced. ``weight`` is a positive column (null or not positive: 1), by default ``quality``.
     Null texts have size 0; null sources form one source, null ids count as an empty id;
     repeated rows are documents of their own. An empty table gives no rows.
     """
     own = ["size", "source_size", "target", "taken", "copies", "_key", "_slice", "_tie"]
     rows = docs.drop(*[c for c in docs.columns if c in own])
-    weight = F.lit(1.0) if quality is None else F.when(quality > 0, quality.cast("double")).otherwise(1.0)
-    rows = rows.withColumn("_key", -F.log(uniform(F.col("doc_id"), seed)) / weight).withColumn("size", word_count(F.col("text")))
+    rows = rows.withColumn("size", word_count(F.col("text")))
+    weight = quality(F.col("text"), F.col("size")) if weight is None else F.when(weight > 0, weight.cast("double")).otherwise(1.0)
+    rows = rows.withColumn("_key", -F.log(uniform(F.col("doc_id"), seed)) / weight)
     rows = rows.withColumn("_slice", F.floor((1 - F.exp(-F.col("_key"))) * SLICES)).withColumn("_tie", F.xxhash64("text"))
     slices = written(rows.groupBy("source", "_slice").agg(F.sum("size").alias("words")), "slices")
     targets = source_targets(slices.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
@@ -92,10 +101,3 @@ def mixed(docs: DataFrame, quality: Column | None = None, seed: str = "mix", wei
     taken = (F.col("_epochs") * F.col("size") + F.col("_given")).cast("bigint")
     copies = (F.col("_epochs") + F.when((F.col("_given") > 0) & (F.col("_given") * 2 >= F.col("size")), 1).otherwise(0)).cast("int")
     return both.withColumn("taken", taken).withColumn("copies", copies).drop("_key", "_slice", "_tie", "_source", "_epochs", "_rest", "_end", "_before", "_given")
-
-
-def quality_of(labels: DataFrame) -> DataFrame:
-    """(doc_id, quality weight) from labels; of several labels for one document the best counts."""
-    pairs = [x for k, v in QUALITY.items() for x in (F.lit(k), F.lit(v))]
-    best = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("q"))
-    return best.select("doc_id", F.element_at(F.create_map(*pairs), F.col("q")).alias("_quality"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyweave.llm.mixing import MOST, SHARE, WEIGHTS
+from tallyweave.llm.mixing import MOST, PLAIN, SHARE, WEIGHTS
 from tallyweave.llm.sharding import SHARDED_SQL
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -41,12 +41,13 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM dw LEFT JOIN kept USING (doc_id)
 """
 
-MIXED_SQL = f"""
-WITH best AS (SELECT doc_id, max(quality) AS q FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+MIXED_SQL = rf"""
+WITH n AS (SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), {SPACED})) AS BIGINT) AS size FROM documents),
 d AS (
-    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {SPACED})) AS BIGINT) AS size,
-        -ln((CAST(CAST('0x' || substr(md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(281474976710656 AS DOUBLE)) / CASE WHEN q = 1 THEN 2 ELSE 1 END AS k
-    FROM documents LEFT JOIN best USING (doc_id)
+    SELECT doc_id, source, size,
+        -ln((CAST(CAST('0x' || substr(md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(281474976710656 AS DOUBLE))
+        / (CAST({PLAIN} AS DOUBLE) + least(1, CAST(size AS DOUBLE) * 6 / greatest(coalesce(length(text), 0), 1))) AS k
+    FROM n
 ),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST({list(WEIGHTS)}[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)}] AS DOUBLE) AS w, CAST({MOST} AS DOUBLE) * source_size AS cap FROM s),

@@ -71,8 +71,7 @@ def op8_extendible_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
-    weights = mixing.quality_of(table(spark, folder, "labels"))
-    rows = mixing.mixed(docs.join(weights, "doc_id", "left"), F.col("_quality"))
+    rows = mixing.mixed(docs)
     return rows.select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
 
 
