@@ -145,6 +145,12 @@ def runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]])
 
 
+def stretches(sorted_values: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    edges = np.r_[runs(sorted_values), len(sorted_values)].tolist()
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
 def summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes in order, with their counts added up."""
     order = np.argsort(hashes, kind="stable")
