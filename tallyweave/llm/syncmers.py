@@ -74,12 +74,16 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [batch.column(c).to_pylist() for c in ("place", "lent", "doc_id", "text")]
         for place, lent, doc_id, text in zip(*columns, strict=True):
             print_ = fingerprint(np.frombuffer(text.encode(), np.uint8))
-            if before is not None and before[0] == place:
+            if before is not None:
+                if before[0] != place:
+                    raise RuntimeError("a range of documents does not end with the first one of the next")
                 out.append(_row(*before[1:], text, print_))
             before = None if lent else (place, doc_id, text, print_)
             if len(out) >= 512:
                 yield _batch(out)
                 out.clear()
+    if before is not None:
+        raise RuntimeError("a range of documents does not end with the first one of the next")
     if out:
         yield _batch(out)
 
@@ -131,5 +135,5 @@ def compared_with_edits(docs: DataFrame) -> DataFrame:
     firsts = placed.join(lent, (placed["place"] == lent["from"]) & placed["doc_id"].eqNullSafe(lent["top"]))
     firsts = firsts.groupBy("to").agg(F.min("text").alias("text"), F.first("doc_id").alias("doc_id"))
     rows = placed.withColumn("lent", F.lit(False)).unionByName(firsts.select("doc_id", "text", F.col("to").alias("place"), F.lit(True).alias("lent")))
-    dealt = rows.repartition(len(cuts) + 1, "place").sortWithinPartitions("place", "lent", F.col("doc_id").desc_nulls_last(), "text")
+    dealt = rows.repartitionById(len(cuts) + 1, F.col("place")).sortWithinPartitions("place", "lent", F.col("doc_id").desc_nulls_last(), "text")
     return dealt.mapInArrow(_compare, SCHEMA)
