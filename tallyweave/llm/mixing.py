@@ -12,7 +12,7 @@ WEIGHTS = (3.0, 1.0, 2.0)  # of the sources in code-point order, repeating
 SHARE = 1.5  # of all sizes
 MOST = 2.0  # times its size that a source may give
 SLICES = 4096  # of the key's range; only the slice where the budget ends is sorted
-PLAIN = 0.5  # quality of a text without words
+QUALITY = {0: 1.0, 1: 2.0}  # weight of a document by its quality label; 1 without one
 
 
 def word_count(text: Column) -> Column:
@@ -20,14 +20,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def quality(text: Column, size: Column) -> Column:
-    """A weight between 0.5 and 1.5 from a text and its words: prose has a word per six characters or more, junk in long lumps fewer.
-
-    It needs nothing but the document, so weighing moves no rows.
-    """
-    return F.lit(PLAIN) + F.least(F.lit(1.0), size.cast("double") * 6 / F.greatest(F.coalesce(F.length(text), F.lit(0)), F.lit(1)))
-
-
 def uniform(doc_id: Column, seed: str) -> Column:
     """A number between 0 and 1 that depends on the document's id and a seed alone."""
     digits = F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary")), 1, 12)
@@ -57,29 +49,27 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return table.select("source", "source_size", F.when(open_, F.col("w") * F.col("level.rate")).otherwise(F.col("cap")).alias("target"))
 
 
-def mixed(docs: DataFrame, weight: Column | None = None, seed: str = "mix", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """Documents (doc_id, text, source and more) with what a mix takes of each.
+_OWN = ["size", "source_size", "target", "taken", "copies", "_base", "_weight", "_slice", "_tie"]
 
-    Adds ``size`` (words), ``source_size``, ``target``, ``taken`` (words, repeats counted) and
-    ``copies`` (whole documents: complete epochs, and one more where at least half of the
-    last one is taken). Every document is taken as often as its source's size fits its target
-    completely; the words still missing are taken in ascending order of -ln(u) / weight, u
-    depending on doc_id and ``seed``, ties by doc_id, size and text. The document at which
-    the budget ends gives only the words that are missing, so each source meets its
-    rounded target exactly; no document gives more than ``most`` times its size.
 
-    Only sums per source and slice of the key's range are gathered; of each source just the
-    slice in which its budget ends is sorted. Columns of these names in the input are
-    replaced. ``weight`` is a positive column (null or not positive: 1), by default ``quality``.
-    Null texts have size 0; null sources form one source, null ids count as an empty id;
-    repeated rows are documents of their own. An empty table gives no rows.
-    """
-    own = ["size", "source_size", "target", "taken", "copies", "_key", "_slice", "_tie"]
-    rows = docs.drop(*[c for c in docs.columns if c in own])
-    rows = rows.withColumn("size", word_count(F.col("text")))
-    weight = quality(F.col("text"), F.col("size")) if weight is None else F.when(weight > 0, weight.cast("double")).otherwise(1.0)
-    rows = rows.withColumn("_key", -F.log(uniform(F.col("doc_id"), seed)) / weight)
-    rows = rows.withColumn("_slice", F.floor((1 - F.exp(-F.col("_key"))) * SLICES)).withColumn("_tie", F.xxhash64("text"))
+def _measured(docs: DataFrame, seed: str) -> DataFrame:
+    """Documents with their words, a hash of the text and -ln(u)."""
+    rows = docs.drop(*[c for c in docs.columns if c in _OWN])
+    return rows.withColumn("size", word_count(F.col("text"))).withColumn("_tie", F.xxhash64("text")).withColumn("_base", -F.log(uniform(F.col("doc_id"), seed)))
+
+
+def _slice_of(weight: Column) -> Column:
+    """The slice of a document's key; it never rises with the weight."""
+    return F.floor((1 - F.exp(-F.col("_base") / weight)) * SLICES)
+
+
+def _weighed(rows: DataFrame, quality: Column) -> DataFrame:
+    rows = rows.withColumn("_weight", F.when(quality > 0, quality.cast("double")).otherwise(1.0))
+    return rows.withColumn("_slice", _slice_of(F.col("_weight")))
+
+
+def _planned(rows: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """A row per source: its target, complete epochs, the words missing then, the slice where they end and the words before it."""
     slices = written(rows.groupBy("source", "_slice").agg(F.sum("size").alias("words")), "slices")
     targets = source_targets(slices.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     goal = F.floor(F.col("target") + 0.5)
@@ -91,13 +81,73 @@ def mixed(docs: DataFrame, weight: Column | None = None, seed: str = "mix", weig
     last = reached.filter("after >= _rest").groupBy("s").agg(F.min(F.struct("_slice", (F.col("after") - F.col("words")).alias("_before"))).alias("last"))
     last = last.select(F.col("s").alias("s2"), F.col("last._slice").alias("_end"), F.col("last._before").alias("_before"))
     plan = goals.join(last, F.col("source").eqNullSafe(F.col("s2")), "left").select(F.col("source").alias("_source"), "source_size", "target", "_epochs", "_rest", "_end", "_before")
-    plan = written(plan, "targets")  # a row per source; Spark sees its size before it joins
-    joined = rows.join(plan, rows["source"].eqNullSafe(plan["_source"]))
-    edge = joined.filter(F.col("_slice") == F.col("_end"))
-    order = Window.partitionBy("_source", "_slice").orderBy("_key", "doc_id", "size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    return written(plan, "targets")  # a row per source; Spark sees its size before it joins
+
+
+def _given(rows: DataFrame) -> DataFrame:
+    """What the last epoch takes of rows that know their slice and their source's plan; all rows of the slice where a budget ends must be there."""
+    edge = rows.filter(F.col("_slice") == F.col("_end"))
+    order = Window.partitionBy("_source", "_slice").orderBy(F.col("_base") / F.col("_weight"), "doc_id", "size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("_given", F.least(F.col("size"), F.greatest(F.lit(0), F.col("_rest") - F.col("_before") - F.coalesce(F.sum("size").over(order), F.lit(0)))))
-    others = joined.filter(~F.col("_slice").eqNullSafe(F.col("_end"))).withColumn("_given", F.when(F.col("_slice") < F.col("_end"), F.col("size")).otherwise(0))
-    both = others.unionByName(edge)
+    others = rows.filter(~F.col("_slice").eqNullSafe(F.col("_end"))).withColumn("_given", F.when(F.col("_slice") < F.col("_end"), F.col("size")).otherwise(0))
+    return others.unionByName(edge)
+
+
+def _taken(rows: DataFrame) -> DataFrame:
     taken = (F.col("_epochs") * F.col("size") + F.col("_given")).cast("bigint")
     copies = (F.col("_epochs") + F.when((F.col("_given") > 0) & (F.col("_given") * 2 >= F.col("size")), 1).otherwise(0)).cast("int")
-    return both.withColumn("taken", taken).withColumn("copies", copies).drop("_key", "_slice", "_tie", "_source", "_epochs", "_rest", "_end", "_before", "_given")
+    rows = rows.withColumn("taken", taken).withColumn("copies", copies)
+    return rows.drop("_base", "_weight", "_slice", "_tie", "_source", "_epochs", "_rest", "_end", "_before", "_given")
+
+
+def mixed(docs: DataFrame, quality: Column | None = None, seed: str = "mix", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """Documents (doc_id, text, source and more) with what a mix takes of each.
+
+    Adds ``size`` (words), ``source_size``, ``target``, ``taken`` (words, repeats counted) and
+    ``copies`` (whole documents: complete epochs, and one more where at least half of the
+    last one is taken). Every document is taken as often as its source's size fits its target
+    completely; the words still missing are taken in ascending order of -ln(u) / quality, u
+    depending on doc_id and ``seed``, ties by doc_id, size and text. The document at which
+    the budget ends gives only the words that are missing, so each source meets its
+    rounded target exactly; no document gives more than ``most`` times its size.
+
+    Only sums per source and slice of the key's range are gathered; of each source just the
+    slice in which its budget ends is sorted. Columns of these names in the input are
+    replaced. ``quality`` is a positive column, by default 1 (null or not positive: 1).
+    Null texts have size 0; null sources form one source, null ids count as an empty id;
+    repeated rows are documents of their own. An empty table gives no rows.
+    """
+    rows = _weighed(_measured(docs, seed), F.lit(1.0) if quality is None else quality)
+    plan = _planned(rows, weights, share, most)
+    return _taken(_given(rows.join(plan, rows["source"].eqNullSafe(plan["_source"]))))
+
+
+def mixed_by_labels(
+    docs: DataFrame, qualities: DataFrame, with_rows: bool = True, seed: str = "mix", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST
+) -> DataFrame:
+    """As ``mixed``, weighing documents by ``qualities`` (doc_id, _quality; an id once), which are a table of their own.
+
+    Only ids, sources and sizes are joined to it. Without ``with_rows`` these are all that
+    is returned. With it, a text moves only where its label decides: rows that the last epoch takes
+    at the least weight of all, or leaves at the greatest, are settled where they are.
+    """
+    rows = _measured(docs.drop("_quality"), seed)
+    narrow = rows.select("doc_id", "source", "size", "_tie", "_base").join(qualities, "doc_id", "left")
+    narrow = written(_weighed(narrow, F.col("_quality")).drop("_quality"), "sizes")
+    plan = _planned(narrow, weights, share, most)
+    if not with_rows:
+        return _taken(_given(narrow.join(plan, narrow["source"].eqNullSafe(plan["_source"]))))
+    least, greatest = narrow.agg(F.min("_weight"), F.max("_weight")).first()
+    rows = rows.join(plan, rows["source"].eqNullSafe(plan["_source"]))
+    taken = F.coalesce(_slice_of(F.lit(least)) < F.col("_end"), F.lit(False))
+    left = F.coalesce(_slice_of(F.lit(greatest)) > F.col("_end"), F.lit(True))
+    settled = rows.filter(taken | left).withColumn("_given", F.when(taken, F.col("size")).otherwise(0))
+    unsettled = _weighed(rows.filter(~(taken | left)).join(qualities.hint("shuffle_hash"), "doc_id", "left"), F.col("_quality")).drop("_quality")
+    return _taken(settled).unionByName(_taken(_given(unsettled)))
+
+
+def quality_of(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality weight) from labels; of several labels for one document the best counts."""
+    pairs = [x for k, v in QUALITY.items() for x in (F.lit(k), F.lit(v))]
+    best = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("q"))
+    return best.select("doc_id", F.element_at(F.create_map(*pairs), F.col("q")).alias("_quality"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm import decontamination, language, mixing, neardup, scoring, sharding, substrings, syncmers, token_files, warc
 from tallyweave.llm.oracles import ORACLES as ORACLES
-from tallyweave.llm.shared import configured, remainder, table
+from tallyweave.llm.shared import configured, remainder, table, written
 
 END_ID = 2
 
@@ -71,7 +71,8 @@ def op8_extendible_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
-    rows = mixing.mixed(docs)
+    qualities = written(mixing.quality_of(table(spark, folder, "labels")), "qualities")
+    rows = mixing.mixed_by_labels(docs, qualities, with_rows=False)
     return rows.select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
 
 
