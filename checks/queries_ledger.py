@@ -327,16 +327,14 @@ def error_alerts(t):
     "statement_list",
     with_tables(
         ("headers",),
-        """SELECT statement_id, row_number() OVER (ORDER BY CASE WHEN trim(contact_name) = '' THEN 1 ELSE 0 END, lower(trim(contact_name)) DESC, statement_id) AS place FROM headers ORDER BY place LIMIT 40""",
+        """SELECT statement_id, row_number() OVER (ORDER BY CASE WHEN trim(contact_name) = '' THEN 1 ELSE 0 END, lower(trim(contact_name)) DESC, statement_id) AS place FROM headers""",
     ),
 )
 def statement_list(t):
-    # The place is numbered over the 40 rows of the page only.
-    from pyspark.sql import Window
-
-    page = t.headers().orderBy(*listing.list_order("contact", "desc"), "statement_id").limit(40)
-    order = Window.orderBy(*listing.list_order("contact", "desc"), "statement_id")
-    return page.withColumn("place", F.row_number().over(order)).select("statement_id", "place")
+    # Sorted in ranges and numbered by the ranges before each, so no task holds all rows.
+    ordered = t.headers().orderBy(*listing.list_order("contact", "desc"), "statement_id").select("statement_id")
+    places = ordered.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1] + 1))
+    return t.spark.createDataFrame(places, "statement_id string, place bigint")
 
 
 @query("statements_by_upload", with_tables(("headers",), "SELECT statement_id, CAST(uploaded_at AS VARCHAR)[1:10] AS uploaded FROM headers ORDER BY uploaded_at DESC NULLS LAST"))

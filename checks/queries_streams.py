@@ -93,11 +93,11 @@ def streamed_balances_hold(t):
 
 @query(
     "snapshot_rows",
-    with_tables(("statements_flat",), "SELECT tenant_id, statement_id, contact_id FROM statements_flat WHERE tenant_id IN ('T3', 'T4', 'T11')"),
+    with_tables(("statements_flat",), "SELECT tenant_id, statement_id, contact_id FROM statements_flat"),
 )
 def snapshot_rows(t):
     folder = _scratch(t)
-    tenants = t.derive("contacts").select("tenant_id").where(F.col("tenant_id").isin("T3", "T4", "T11"))
+    tenants = t.derive("statements_flat").select("tenant_id")
     snapshots.write_snapshot({"statements": t.derive("statements_flat")}, tenants, folder)
     return snapshots.read_snapshot(t.spark, folder, "statements").select("tenant_id", "statement_id", "contact_id")
 
