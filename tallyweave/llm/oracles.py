@@ -69,10 +69,62 @@ SELECT doc_id, source, size, source_size, target, CAST(epochs * size + given AS
 FROM m
 """
 
+TAKES_PART = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+NEIGHBOURS_SQL = f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings WHERE {TAKES_PART}),
+s AS (
+    SELECT q.r, q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.c, d.c) AS BIGINT) AS score
+    FROM v q JOIN v d ON q.r <> d.r WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+
+def _assigned(codebooks: str) -> str:
+    """The nearest entry of each part: its index and squared distance, packed so that the least one has the lower index."""
+    return f"""
+        SELECT p.r, p.part, min(list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - b.v[i]) * (p.v[i] - b.v[i]))) * 64 + b.entry) AS m
+        FROM p JOIN {codebooks} b ON p.part = b.part GROUP BY p.r, p.part"""
+
+
+def _moved(codebooks: str, assigned: str) -> str:
+    """Entries replaced by the floors of their parts' means; those without parts stay."""
+    return f"""
+        SELECT b.part, b.entry, coalesce(n.v, b.v) AS v FROM {codebooks} b LEFT JOIN (
+            SELECT part, entry, list(CAST(floor(total / n) AS BIGINT) ORDER BY place) AS v FROM (
+                SELECT p.part, CAST(m % 64 AS BIGINT) AS entry, place, sum(p.v[place]) AS total, count(*) AS n
+                FROM p JOIN {assigned} a ON p.r = a.r AND p.part = a.part, unnest(range(1, len(p.v) + 1)) x(place) GROUP BY ALL
+            ) GROUP BY part, entry
+        ) n ON b.part = n.part AND b.entry = n.entry"""
+
+
+GRID_SQL = f"""
+WITH e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, embedding FROM embeddings WHERE {TAKES_PART}),
+w AS (SELECT (max(len(embedding)) + 15) // 16 AS w FROM e),
+p AS MATERIALIZED (
+    SELECT r, part, list_transform(range(1, w + 1), lambda i: coalesce(CAST(floor(256 * CAST(embedding[part * w + i] AS DOUBLE)) AS BIGINT), 0)) AS v
+    FROM e, w, unnest(range(0, 16)) x(part)
+),
+b0 AS MATERIALIZED (SELECT part, CAST(r - 1 AS BIGINT) AS entry, v FROM p WHERE r <= 64),
+a0 AS MATERIALIZED ({_assigned("b0")}),
+b1 AS MATERIALIZED ({_moved("b0", "a0")}),
+a1 AS MATERIALIZED ({_assigned("b1")}),
+b2 AS MATERIALIZED ({_moved("b1", "a1")}),
+a2 AS MATERIALIZED ({_assigned("b2")}),
+books AS (SELECT sha256(string_agg(CAST(v[place] AS VARCHAR), ',' ORDER BY part, entry, place)) AS h FROM b2, unnest(range(1, len(v) + 1)) x(place)),
+coded AS (SELECT r, string_agg(printf('%02x', CAST(m % 64 AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM a2 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM e JOIN coded USING (r), books
+"""
+
 ORACLES = {
     "op1_warc_transactions": WARC_SQL,
     "op4_suffix_decontamination": CONTAMINATED_SQL,
     "op7_repeated_passages": REPEATED_SQL,
     "op8_extendible_shards": SHARDED_SQL,
     "op9_mixed_sources": MIXED_SQL,
+    "op11_voronoi_neighbours": NEIGHBOURS_SQL,
+    "op12_grid_codes": GRID_SQL,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import decontamination, language, mixing, neardup, scoring, sharding, substrings, syncmers, token_files, warc
+from tallyweave.llm import decontamination, gridcodes, language, mixing, neardup, periodic, scoring, sharding, substrings, syncmers, token_files, voronoi, warc
 from tallyweave.llm.oracles import ORACLES as ORACLES
 from tallyweave.llm.shared import configured, remainder, table, written
 
@@ -80,9 +80,30 @@ def op10_closed_syncmers(spark: SparkSession, folder: str) -> DataFrame:
     return syncmers.compared_with_edits(table(spark, folder, "documents"))
 
 
+def op11_voronoi_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return voronoi.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_grid_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return gridcodes.compressed(table(spark, folder, "embeddings")).drop("label")
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.repeated_runs(periodic.looped(table(spark, folder, "documents")))
+    # The greatest length first, then the smallest start, then the smallest period.
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    rows = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), longest.alias("best"), F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")).alias("lines"), "collapsed")
+    return rows.select(
+        "doc_id", "n_runs", "best.start", (-F.col("best.less")).alias("length"), "best.period", F.floor(-1000 * F.col("best.less") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 _RUN = [
     op1_warc_transactions, op2_language_codes, op3_token_blocks, op4_suffix_decontamination, op5_bloom_scores,
     op6_simhash_components, op7_repeated_passages, op8_extendible_shards, op9_mixed_sources, op10_closed_syncmers,
+    op11_voronoi_neighbours, op12_grid_codes, op13_periodic_runs,
 ]
 
 
