@@ -7,6 +7,8 @@ against all documents of its contact, independently of other statements.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ from tallyweave.session import checkpoint_folder
 
 _DOC_FIELDS = ["doc_id", "doc_kind", "type", "date", "due_date", "reference", "total"]
 
+# How row ids are settled, and how many entries of the lists of a statement's rivals a group may hold.
+ALONE, AT_ONCE, BY_BLOCKS = "alone", "at once", "by blocks"
+ENTRIES_AT_ONCE = 1 << 18
+_TAKEN = "tenant_id string, statement_id string, item_seq bigint, matched_number string"
+
 
 def matchable_docs(invoices: DataFrame, credit_notes: DataFrame) -> DataFrame:
     """Invoices, then credit notes, with ``doc_ord`` ordering them in that way."""
@@ -192,30 +199,31 @@ def resolve_matches(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     """Assign documents to rows: rows in statement order, each takes its best document still free.
 
     ``rows`` come from ``open_rows`` and ``candidates`` from ``id_candidates``. Returns one row per
-    matched key. Only row ids that want the same document of a statement depend on each other. An id
-    that shares none is settled by itself: its k-th row takes its k-th best document. Ids that
-    compete, directly or through others, form a group that is settled in row order. Rows that repeat
-    an id share one list of candidates in both.
+    matched key. Rows that repeat an id share one list of candidates, of which they need as many as
+    there are rows. An id that shares no document with another of its statement is settled by itself: its k-th
+    row takes its k-th best document. Where ids compete, a statement is settled in row order: in one group if its
+    lists are short, else in blocks of rows with as many entries at once.
     """
     checkpoint_folder(candidates.sparkSession)
-    row_id, row = [*STATEMENT_KEYS, "row_id"], [*STATEMENT_KEYS, "item_seq"]
+    row_id, row, number = [*STATEMENT_KEYS, "row_id"], [*STATEMENT_KEYS, "item_seq"], [*STATEMENT_KEYS, "matched_number"]
     place = F.row_number().over(Window.partitionBy(*row_id).orderBy(_preference()))
     pairs = candidates.withColumn("place", place).checkpoint()
     lists = pairs.select(*row_id, "matched_number", "place")
-    groups = _competing(lists)
-    asking = rows.select(*row, "row_id").join(groups, row_id, "left")
-    alone = asking.where(F.col("rival").isNull()).withColumn("place", F.row_number().over(Window.partitionBy(*row_id).orderBy("item_seq")))
-    settled = alone.join(lists.join(groups, row_id, "left_anti"), [*row_id, "place"]).select(*row, "matched_number")
-    group = [*STATEMENT_KEYS, "rival"]
-    # Both sides come from one table; the columns of one get names of their own.
-    crowd = asking.where(F.col("rival").isNotNull()).select(*[F.col(c).alias(c) for c in asking.columns])
-    contested = (
-        lists.join(groups, row_id)
-        .groupBy(*group)
-        .cogroup(crowd.groupBy(*group))
-        .applyInPandas(_settle, "tenant_id string, statement_id string, item_seq bigint, matched_number string")
-    )
-    taken = settled.unionByName(contested)
+    marks = _marked_ids(lists).checkpoint()
+    turn = F.row_number().over(Window.partitionBy(*row_id).orderBy("item_seq"))
+    # Rows beyond the length of their list find nothing left.
+    turns = rows.select(*row, "row_id").withColumn("place", turn).join(marks, row_id).where(F.col("place") <= F.col("length")).drop("length")
+    listed = lists.join(marks.drop("length"), row_id)
+
+    def of(df: DataFrame, kind: str) -> DataFrame:
+        # Both sides of a join come from one table here; names of their own keep them apart.
+        return df.where(F.col("kind") == kind).select(*[F.col(c).alias(c) for c in df.columns if c != "kind"])
+
+    taken = of(turns, ALONE).join(of(listed, ALONE), [*row_id, "place"]).select(*number, "item_seq")
+    at_once = of(listed, AT_ONCE).groupBy(*STATEMENT_KEYS).cogroup(of(turns, AT_ONCE).groupBy(*STATEMENT_KEYS))
+    taken = taken.unionByName(at_once.applyInPandas(_settle, _TAKEN))
+    if not marks.where(F.col("kind") == BY_BLOCKS).isEmpty():
+        taken = taken.unionByName(_by_blocks(of(listed, BY_BLOCKS), of(turns, BY_BLOCKS)))
     # A key that occurs in several rows keeps the document of its last row; all rows have used one.
     named = rows.select(*STATEMENT_KEYS, "contact_id", "item_seq", "row_key", "row_id").join(taken, row)
     last = named.groupBy(*STATEMENT_KEYS, "contact_id", "row_key", "row_id").agg(
@@ -235,30 +243,24 @@ def resolve_matches(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
-def _competing(lists: DataFrame) -> DataFrame:
-    """Row ids that share a document with another id of their statement, each with the group's smallest id as ``rival``.
-
-    The smallest id known spreads over documents and on to the ids of that id's own group, until the
-    ids of every document agree.
-    """
+def _marked_ids(lists: DataFrame) -> DataFrame:
+    """Row ids with the ``length`` of their list, how they are settled (``kind``) and, for rivals, the rows of a block."""
     row_id, number = [*STATEMENT_KEYS, "row_id"], [*STATEMENT_KEYS, "matched_number"]
-    shared = lists.groupBy(*number).agg(F.count("*").alias("n")).where("n > 1").select(*number)
-    rivals = lists.join(shared, number, "left_semi").select(*row_id).distinct()
-    edges = lists.join(rivals, row_id, "left_semi").select(*row_id, "matched_number")
-    groups = rivals.withColumn("rival", F.col("row_id"))
-    while True:
-        around = edges.join(groups, row_id).groupBy(*number).agg(F.min("rival").alias("least"), F.max("rival").alias("most"))
-        seen = edges.join(around, number).groupBy(*row_id).agg(F.min("least").alias("rival"), F.max(F.col("least") != F.col("most")).alias("open"))
-        leaders = seen.select(*STATEMENT_KEYS, F.col("row_id").alias("rival"), F.col("rival").alias("beyond"))
-        step = seen.join(leaders, [*STATEMENT_KEYS, "rival"], "left")
-        step = step.select(*row_id, F.least("rival", "beyond").alias("rival"), "open").checkpoint()
-        groups = step.drop("open")
-        if step.where("open").isEmpty():
-            return groups
+    wanted = lists.join(lists.groupBy(*number).agg(F.count("*").alias("ids")), number)
+    lengths = wanted.groupBy(*row_id).agg(F.count("*").alias("length"), (F.max("ids") > 1).alias("rivalled"))
+    # A block of n rows has n ids at most and needs no more than n entries of each list: the most rows that stay within bounds.
+    longest = F.row_number().over(Window.partitionBy(*STATEMENT_KEYS).orderBy(F.col("length").desc()))
+    ranked = lengths.where("rivalled").withColumn("nth", longest)
+    sizes = [1 << n for n in range(int(math.log2(ENTRIES_AT_ONCE)) // 2, 31)]
+    entries = [F.sum(F.when(F.col("nth") <= n, F.least("length", F.lit(n)))) for n in sizes]
+    fitting = F.array_max(F.array(*[F.when(e <= ENTRIES_AT_ONCE, n) for n, e in zip(sizes, entries, strict=True)]))
+    blocks = ranked.groupBy(*STATEMENT_KEYS).agg(F.coalesce(fitting, F.lit(sizes[0])).alias("block_rows"), F.sum("length").alias("entries"))
+    kind = F.when(~F.col("rivalled"), ALONE).when(F.col("entries") <= ENTRIES_AT_ONCE, AT_ONCE).otherwise(BY_BLOCKS)
+    return lengths.join(blocks, STATEMENT_KEYS, "left").select(*row_id, "length", kind.alias("kind"), "block_rows")
 
 
 def _settle(lists, asking):
-    """Rows of one group in order; what is taken stays taken, so no list is read twice."""
+    """Rows of one statement in order; what is taken stays taken, so no list is read twice."""
     import pandas as pd
 
     waiting: dict[str, list[str]] = {}
@@ -276,6 +278,29 @@ def _settle(lists, asking):
     return pd.DataFrame(taken, columns=[*STATEMENT_KEYS, "item_seq", "matched_number"])
 
 
+def _by_blocks(lists: DataFrame, turns: DataFrame) -> DataFrame:
+    """(statement, matched_number, item_seq) as ``_settle`` gives them, block by block of each statement's rows.
+
+    A block of n rows needs the n best documents still free of each of its ids, no more; these are settled
+    in one group of bounded size. All statements advance side by side. What a block takes is gone from the lists of the next.
+    """
+    row_id, number = [*STATEMENT_KEYS, "row_id"], [*STATEMENT_KEYS, "matched_number"]
+    nth = F.row_number().over(Window.partitionBy(*STATEMENT_KEYS).orderBy("item_seq"))
+    turns = turns.withColumn("block", F.floor((nth - 1) / F.col("block_rows"))).checkpoint()
+    lists = lists.checkpoint()
+    best = F.row_number().over(Window.partitionBy(*row_id).orderBy("place"))
+    taken = lists.limit(0).select(*number, F.lit(0).cast("bigint").alias("item_seq")).checkpoint()
+    for block in range((turns.agg(F.max("block")).first()[0] or 0) + 1):
+        now = turns.where(F.col("block") == block)
+        gone = taken.select(*[F.col(c).alias(c) for c in number])
+        free = lists.join(now.select(*row_id).distinct(), row_id, "left_semi").join(gone, number, "left_anti")
+        near = free.withColumn("place", best).where(F.col("place") <= F.col("block_rows")).select(*[F.col(c).alias(c) for c in (*row_id, "matched_number", "place")])
+        asking = now.select(*[F.col(c).alias(c) for c in (*row_id, "item_seq")])
+        got = near.groupBy(*STATEMENT_KEYS).cogroup(asking.groupBy(*STATEMENT_KEYS)).applyInPandas(_settle, _TAKEN)
+        taken = taken.unionByName(got.checkpoint())
+    return taken
+
+
 def match_statements(items: DataFrame, docs: DataFrame) -> DataFrame:
     """All matches: exact ones, then documents assigned by containment.
 

@@ -116,3 +116,33 @@ def test_contained_keys_are_joined_on_pieces(spark):
     long = spark.createDataFrame([("T", "C", k) for k in ("A12", "ABC", "11")], "tenant_id string, contact_id string, long_key string")
     got = {(r.short_key, r.long_key) for r in matching.contained_keys(short, long).collect()}
     assert got == {("1", "A12"), ("12", "A12"), ("ABC", "ABC"), ("1", "11")}
+
+
+def crowded_case(seed, copies):
+    """Statements whose short ids want the same documents over and over."""
+    rng = random.Random(seed)
+    contact_docs = {"C": [(f"d{i}", f"{rng.choice(['A', 'B', ''])}{rng.randint(1, 400)}", rng.choice(["invoice", "invoice", "credit_note"])) for i in range(150)]}
+    contact_docs["C"].sort(key=lambda d: d[2] == "credit_note")
+    keys = ["1", "2", "12", "A", "B1", "21", "3", "A 1", "b-2", "11"]
+    statements = {(f"S{s}", "C"): list(enumerate([rng.choice(keys) + " " * rng.randint(0, 2) for _ in range(copies)], start=1)) for s in range(4)}
+    return {k: [(i, key.strip()) for i, key in rows] for k, rows in statements.items()}, contact_docs
+
+
+def test_blocks_give_what_taking_turns_gives(spark, monkeypatch):
+    for seed, limit in ((5, 4), (6, 400)):  # blocks of two rows and more
+        monkeypatch.setattr(matching, "ENTRIES_AT_ONCE", limit)
+        statements, contact_docs = crowded_case(seed, 15 * seed)
+        items, docs = frames(spark, statements, contact_docs)
+        assert as_dict(matching.match_statements(items, docs)) == expected(statements, contact_docs)
+
+
+def test_groups_stay_small_whatever_the_statement(spark, monkeypatch):
+    monkeypatch.setattr(matching, "ENTRIES_AT_ONCE", 1 << 8)
+    rng = random.Random(9)
+    names = ["tenant_id", "statement_id", "row_id", "matched_number", "place"]
+    hot = [("T", "S", i, f"n{d}", d) for i in ("1", "2") for d in range(1, 301)]
+    many = [("T", "R", f"i{i}", f"n{rng.randint(1, 400)}", 1) for i in range(700)]
+    marks = matching._marked_ids(spark.createDataFrame(hot + many, names)).collect()
+    rows = {r.statement_id: r.block_rows for r in marks if r.kind == matching.BY_BLOCKS}
+    assert rows["S"] == 128 and rows["R"] == 256  # two lists of 128 entries, 256 of one
+    assert {r.length for r in marks if r.statement_id == "S"} == {300}
