@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.derive import DATE_FORMATS, with_tables
 from checks.queries_shaping import CELLS
 from checks.registry import compare_sql, decimal_sql, format_money_sql, id_key_sql, iso, money, money_sql, query
+from checks.similarity import GUESSES, token_scores_sql
 from tallyweave.operators import classification, comparison, flags, ledger, matching, shaping
 from tallyweave.plans import reconcile
 from tallyweave.session import checkpoint_folder
@@ -439,17 +440,38 @@ def reconciliation_summary(t):
     return comparison.reconciliation_summary(_reconciled(t)).drop("tenant_id")
 
 
-FULL_STATES = f"""SELECT f.k, f.tenant_id, CASE WHEN i1 IS NOT NULL OR i2 IS NOT NULL THEN 'anomaly' WHEN m.doc_id IS NOT NULL THEN 'match' ELSE 'mismatch' END AS state, coalesce(s.completed, false) AS done
-  FROM ({FLAGGED}) f LEFT JOIN ({MATCHED}) m ON m.statement_id = f.statement_id AND m.row_key = trim(f.number_text) LEFT JOIN item_status s ON s.statement_item_id = f.statement_item_id"""
+_KINDS, _SOURCES = ("payment", "credit_note", "invoice"), ("invoice_match", "credit_note_match", "payment_match", "heuristic")
+_FULL_DOCS = f"SELECT m.statement_id AS sid, m.row_key, d.* FROM ({MATCHED}) m JOIN ledger_docs d ON d.doc_id = m.doc_id"
+_FULL_CELLS = COMPARED.replace(
+    "LEFT JOIN ledger_docs d ON d.contact_id = c.contact_id AND d.number = trim(c.number_text) AND trim(c.number_text) <> ''",
+    "LEFT JOIN full_docs d ON d.sid = c.statement_id AND d.row_key = trim(c.number_text)",
+)
+FULL_ROWS = f"""SELECT f.k, f.tenant_id, CASE WHEN i1 IS NOT NULL OR i2 IS NOT NULL THEN 'anomaly' WHEN d.doc_id IS NOT NULL THEN 'match' ELSE 'mismatch' END AS state, coalesce(s.completed, false) AS done,
+  CASE WHEN d.doc_kind = 'credit_note' OR d.type LIKE '%CREDIT' THEN 'credit_note_match' WHEN d.doc_id IS NOT NULL THEN 'invoice_match' WHEN p.invoice_number IS NOT NULL THEN 'payment_match' ELSE 'heuristic' END AS type_source,
+  CASE WHEN d.doc_kind = 'credit_note' OR d.type LIKE '%CREDIT' THEN 'credit_note' WHEN d.doc_id IS NOT NULL THEN 'invoice' WHEN p.invoice_number IS NOT NULL THEN 'payment' ELSE g.guessed END AS new_type, t.digest
+  FROM ({FLAGGED}) f JOIN {GUESSES} g ON g.k = f.k LEFT JOIN full_docs d ON d.sid = f.statement_id AND d.row_key = trim(f.number_text) LEFT JOIN item_status s ON s.statement_item_id = f.statement_item_id
+  LEFT JOIN (SELECT DISTINCT contact_id, invoice_number FROM ({PAID}) y) p ON p.contact_id = f.contact_id AND p.invoice_number = trim(f.number_text) AND trim(f.number_text) <> ''
+  JOIN (SELECT k, CAST('0x' || left(md5(k || '|' || string_agg(header || '~' || value || '~' || ledger_value || '~' || matches, '|' ORDER BY header_pos)), 8) AS BIGINT) AS digest FROM ({_FULL_CELLS}) c GROUP BY k) t ON t.k = f.k"""
 
 
 @query(
     "full_reconciliation",
-    with_tables((*ITEMS, "item_status"), f"SELECT tenant_id, count(*) AS rows, {_SUMMARY} FROM ({FULL_STATES}) s GROUP BY tenant_id"),
+    with_tables(
+        (*ITEMS, "item_status", "payments"),
+        f"""SELECT tenant_id, count(*) AS rows, {_SUMMARY}, {", ".join(f"count(CASE WHEN new_type = '{x}' THEN 1 END) AS {x}_rows" for x in _KINDS)},
+            {", ".join(f"count(CASE WHEN type_source = '{x}' THEN 1 END) AS {x}_source" for x in _SOURCES)}, CAST(sum(digest) AS BIGINT) AS cells_digest FROM ({FULL_ROWS}) s GROUP BY tenant_id""",
+        {"full_docs": _FULL_DOCS},
+    ),
 )
 def full_reconciliation(t):
     rows = reconcile.reconciled_rows(t.statements(), t.items(), _docs(t), t.derive("payments"), t.derive("item_status"), DATE_FORMATS)
-    return comparison.reconciliation_summary(rows, ["tenant_id"])
+    # Every cell of both sides and whether they agree, as one number a row.
+    cells = F.transform("comparisons", lambda c: F.concat_ws("~", c["header"], c["statement_value"], c["ledger_value"], c["matches"].cast("string")))
+    text = F.concat_ws("|", F.col("k").cast("string"), F.array_join(cells, "|"))
+    rows = rows.withColumn("digest", F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint"))
+    kinds = [F.count_if(F.col("new_type") == x).alias(f"{x}_rows") for x in _KINDS]
+    sources = [F.count_if(F.col("type_source") == x).alias(f"{x}_source") for x in _SOURCES]
+    return comparison.reconciliation_summary(rows, ["tenant_id"], [*kinds, *sources, F.sum("digest").alias("cells_digest")])
 
 
 _LABELS = "upper(header[1]) || header[2:]"
@@ -483,19 +505,7 @@ def amount_hints(t):
     return classification.amount_hint(t.items()).select("k", "amount_hint")
 
 
-# Rows of the first two layouts whose words contain a synonym, so no similarity is needed.
-_CONTAINED = """SELECT k, is_credit, layout, upper(regexp_replace(date_text || CASE layout WHEN 0 THEN number || description ELSE number_text || due_text END || amount_text, '[^A-Za-z0-9]', '', 'g')) AS j FROM items_flat"""
-
-
-@query(
-    "types_by_contained_words",
-    with_tables(
-        ("items_flat",),
-        f"""SELECT k, CASE WHEN pay AND p THEN 'payment' WHEN pay AND c THEN 'credit_note' WHEN inv AND i THEN 'invoice' END AS guessed FROM (SELECT k, layout <> 0 OR is_credit = 1 AS pay, layout <> 0 OR is_credit = 0 AS inv,
-            regexp_matches(j, 'PAYMENT|PAID|RECEIPT|REMITTANCE|BANKTRANSFER|DIRECTDEBIT|CASHRECEIPT') AS p, regexp_matches(j, 'CREDIT|CRN|CR|CN') AS c, regexp_matches(j, 'INV|BILL') AS i FROM ({_CONTAINED}) a) b
-            WHERE (pay AND (p OR c)) OR (inv AND i)""",
-    ),
-)
+@query("types_by_contained_words", with_tables(("items_flat",), f"SELECT k, CASE WHEN settled THEN guessed END AS guessed FROM {GUESSES} g"))
 def types_by_contained_words(t):
     from tallyweave.functions.text import id_key
 
@@ -503,15 +513,22 @@ def types_by_contained_words(t):
     joined = id_key(F.array_join(F.map_values("raw"), ""))
     pay, inv = (F.col("layout") != 0) | (F.col("is_credit") == 1), (F.col("layout") != 0) | (F.col("is_credit") == 0)
     contained = (pay & joined.rlike("PAYMENT|PAID|RECEIPT|REMITTANCE|BANKTRANSFER|DIRECTDEBIT|CASHRECEIPT|CREDIT|CRN|CR|CN")) | (inv & joined.rlike("INV|BILL"))
-    return guessed.where(contained).select("k", "guessed")
+    return guessed.select("k", F.when(contained, F.col("guessed")).alias("guessed"))
 
 
-@query("guessed_item_types")
+@query("guessed_item_types", with_tables(("items_flat",), f"SELECT k, guessed AS guessed_type FROM {GUESSES} g"))
 def guessed_item_types(t):
     return classification.guess_item_type(t.items()).select("k", "guessed_type")
 
 
-@query("token_similarities")
+_TURN_WORDS = "SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(upper(replace(coalesce(text, ''), 'ß', 'ss')), '[A-Z0-9]+'))) AS token FROM conversations"
+
+
+@query(
+    "token_similarities",
+    f"""WITH w AS ({_TURN_WORDS}) SELECT c.conv_id, c.turn, coalesce(max(payment), 0.0) AS payment, coalesce(max(credit_note), 0.0) AS credit_note, coalesce(max(invoice), 0.0) AS invoice
+        FROM conversations c LEFT JOIN w ON w.conv_id = c.conv_id AND w.turn = c.turn LEFT JOIN {token_scores_sql("SELECT token FROM w")} s ON s.token = w.token GROUP BY c.conv_id, c.turn""",
+)
 def token_similarities(t):
     from tallyweave.functions.text import upper_tokens
 
@@ -523,10 +540,10 @@ def token_similarities(t):
     "types_with_evidence",
     with_tables(
         (*ITEMS, "payments"),
-        f"""SELECT f.k, CASE WHEN e.doc_kind = 'credit_note' THEN 'credit_note_match' WHEN e.doc_id IS NOT NULL THEN 'invoice_match' ELSE 'payment_match' END AS type_source,
-            CASE WHEN e.doc_kind = 'credit_note' THEN 'credit_note' WHEN e.doc_id IS NOT NULL THEN 'invoice' ELSE 'payment' END AS new_type
-            FROM items_flat f LEFT JOIN (SELECT * FROM ({EXACT}) x WHERE k % 2 = 0) e ON e.k = f.k LEFT JOIN (SELECT DISTINCT contact_id, invoice_number FROM ({PAID}) y) p ON p.contact_id = f.contact_id AND p.invoice_number = trim(f.number_text)
-            WHERE e.doc_id IS NOT NULL OR p.invoice_number IS NOT NULL""",
+        f"""SELECT f.k, CASE WHEN e.doc_kind = 'credit_note' THEN 'credit_note_match' WHEN e.doc_id IS NOT NULL THEN 'invoice_match' WHEN p.invoice_number IS NOT NULL THEN 'payment_match' ELSE 'heuristic' END AS type_source,
+            CASE WHEN e.doc_kind = 'credit_note' THEN 'credit_note' WHEN e.doc_id IS NOT NULL THEN 'invoice' WHEN p.invoice_number IS NOT NULL THEN 'payment' ELSE g.guessed END AS new_type
+            FROM items_flat f JOIN {GUESSES} g ON g.k = f.k LEFT JOIN (SELECT * FROM ({EXACT}) x WHERE k % 2 = 0) e ON e.k = f.k
+            LEFT JOIN (SELECT DISTINCT contact_id, invoice_number FROM ({PAID}) y) p ON p.contact_id = f.contact_id AND p.invoice_number = trim(f.number_text)""",
     ),
 )
 def types_with_evidence(t):
@@ -535,7 +552,7 @@ def types_with_evidence(t):
     matches = matching.exact_matches(rows, docs).where("item_seq % 2 = 0")
     paid = matching.payments_by_invoice_number(t.derive("ledger_docs"), t.derive("payments"))
     typed = classification.classify_items(rows, matches, paid)
-    return typed.where("type_source <> 'heuristic'").select("k", "type_source", "new_type")
+    return typed.select("k", "type_source", "new_type")
 
 
 @query(
@@ -553,13 +570,12 @@ def classification_updates(t):
     "types_by_keywords",
     with_tables(
         ("items_flat",),
-        """SELECT k, CASE WHEN description LIKE 'Payment%' THEN 'payment' WHEN description LIKE 'Credit note%' THEN 'credit_note' ELSE 'other' END AS entry_type FROM items_flat WHERE description LIKE 'Payment%' OR description LIKE 'Credit note%'""",
+        f"SELECT k, CASE WHEN description LIKE 'Payment%' THEN 'payment' WHEN description LIKE 'Credit note%' THEN 'credit_note' ELSE guessed END AS entry_type FROM items_flat JOIN {GUESSES} g USING (k)",
     ),
 )
 def types_by_keywords(t):
     items = t.items().withColumn("reference", F.col("description"))
-    typed = classification.classify_by_keywords(items)
-    return typed.where(F.col("description").startswith("Payment") | F.col("description").startswith("Credit note")).select("k", "entry_type")
+    return classification.classify_by_keywords(items).select("k", "entry_type")
 
 
 _PLAIN = "replace(replace(amount_text, ',', ''), ' ', '')"
@@ -572,11 +588,11 @@ _MARKED = f"coalesce(TRY_CAST({_PLAIN} AS DECIMAL(38,10)), TRY_CAST(CASE WHEN {_
         ("items_flat",),
         f"""SELECT k, CASE WHEN description LIKE 'No match%' THEN 'non-document' WHEN coalesce({_MARKED}, 0) = 0 THEN 'no-amount' WHEN parsed IS NULL THEN 'no-date' END AS skip_reason, {money_sql(_MARKED)} AS amount, parsed AS doc_date,
             CASE WHEN trim(number) = '' THEN NULL ELSE coalesce(nullif(replace(regexp_extract(number, '(?i)([A-Z]{{2,6}}[- ]?\\d{{2,}}(?:[-/]\\d{{1,4}})?)', 1), ' ', ''), ''), trim(number)) END AS doc_number
-            FROM (SELECT *, CAST(CAST(CASE ck % 4 WHEN 0 THEN try_strptime(date_text, '%d/%m/%Y') WHEN 3 THEN try_strptime(date_text, '%d/%m/%Y') WHEN 2 THEN day END AS DATE) AS VARCHAR) AS parsed FROM items_flat WHERE layout <> 1) q""",
+            FROM (SELECT *, CAST(CAST(CASE ck % 4 WHEN 0 THEN try_strptime(date_text, '%d/%m/%Y') WHEN 3 THEN try_strptime(date_text, '%d/%m/%Y') WHEN 2 THEN day END AS DATE) AS VARCHAR) AS parsed FROM items_flat) q""",
     ),
 )
 def derived_documents(t):
-    items = t.items().where("layout <> 1").withColumn("reference", F.col("description")).withColumn("total_text", F.col("amount_text"))
+    items = t.items().withColumn("reference", F.col("description")).withColumn("total_text", F.col("amount_text"))
     items = items.withColumn("raw", F.map_filter("raw", lambda k, _: k != "due_date"))
     derived = classification.derive_documents(items, "DD/MM/YYYY", ("debit", "credit", "amount"))
     return derived.select("k", "skip_reason", money("amount").alias("amount"), iso("doc_date").alias("doc_date"), "doc_number")

@@ -141,8 +141,8 @@ def completion_counts(rows: DataFrame) -> DataFrame:
     )
 
 
-def reconciliation_summary(rows: DataFrame, by: Sequence[str] = ("tenant_id", "contact_id")) -> DataFrame:
-    """Rows per group in each of the six states: match, mismatch, anomaly; open or completed."""
+def reconciliation_summary(rows: DataFrame, by: Sequence[str] = ("tenant_id", "contact_id"), more: Sequence[Column] = ()) -> DataFrame:
+    """Rows per group in each of the six states: match, mismatch, anomaly; open or completed. ``more`` are further aggregates."""
     done = F.col("is_completed")
     return rows.groupBy(*by).agg(
         F.count("*").alias("rows"),
@@ -151,6 +151,7 @@ def reconciliation_summary(rows: DataFrame, by: Sequence[str] = ("tenant_id", "c
             for state in ("match", "mismatch", "anomaly")
             for flag, name in ((~done, state), (done, f"{state}_completed"))
         ],
+        *more,
     )
 
 

@@ -15,7 +15,7 @@ FOLDER = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 SOME = (
     "amounts_convert", "amounts_decimal", "dates_by_template", "keys_of_documents", "merged_chunks", "monetary_cells",
     "statement_separators", "displayed_headers", "statement_cells", "flagged_items", "substring_candidates", "compared_cells",
-    "reconciliation_summary", "full_reconciliation", "types_by_contained_words", "upserted_ledger", "running_balances",
+    "reconciliation_summary", "full_reconciliation", "resolved_matches", "guessed_item_types", "token_similarities", "types_by_contained_words", "upserted_ledger", "running_balances",
     "subscription_credits", "tenant_progress", "tenant_flags", "swept_tenants", "streamed_ledger",
 )
 
