@@ -145,13 +145,14 @@ def plan_page_chunks(statements: DataFrame, size: int = 10, overlap: int = 1) ->
 
 
 def merge_chunks(chunks: DataFrame) -> DataFrame:
-    """The chunks' lines in order, without the lines that a chunk repeats from the one before.
+    """The chunks' lines in order, without the lines that a chunk repeats from the end of all before.
 
     What is merged so far always ends with the whole previous chunk, so an overlap is found by
-    comparing a chunk with its predecessor: an equi-join on the chunk number, of row digests only.
+    comparing a chunk with its predecessor: an equi-join on the chunk number, of line digests only.
     Where a chunk is longer than its predecessor and starts with a line known from an earlier one,
-    the overlap may reach further back; only those statements are folded as a whole, again as
-    digests. The lines themselves never leave their chunk.
+    the overlap may reach further back; such a chunk is compared with as many merged lines as it has,
+    fetched by their absolute numbers. No task holds more of a statement than one chunk
+    and the lines it is compared with. The lines themselves never leave their chunk.
     """
     digested = chunks.select(
         *_CHUNK_KEYS,
@@ -168,13 +169,11 @@ def merge_chunks(chunks: DataFrame) -> DataFrame:
         *STATEMENT_KEYS, (F.col("rank") + 1).alias("rank"), F.col("digests").alias("before")
     )
     pairs = positions.join(previous, [*STATEMENT_KEYS, "rank"], "left")
-    far = _reaches_further_back(pairs)
-    near = pairs.join(far, STATEMENT_KEYS, "left_anti").select(
-        *_CHUNK_KEYS, _overlap(F.col("before"), F.col("digests")).alias("repeated")
-    )
-    folded = _fold_statements(positions.join(far, STATEMENT_KEYS, "left_semi"))
-    repeated = near.unionByName(folded)
-    lines = chunks.join(repeated, _CHUNK_KEYS, "left").select(
+    repeated = pairs.select(*_CHUNK_KEYS, "rank", F.size("digests").alias("n"), _overlap(F.col("before"), F.col("digests")).alias("repeated")).checkpoint()
+    far = _reaching_further_back(pairs).checkpoint()
+    if not far.isEmpty():
+        repeated = _settled_overlaps(repeated, positions, far)
+    lines = chunks.join(repeated.select(*_CHUNK_KEYS, "repeated"), _CHUNK_KEYS, "left").select(
         *_CHUNK_KEYS, "column_order", "repeated", F.posexplode("rows").alias("row_pos", "row")
     )
     return _items_of_lines(lines.where(F.col("row_pos") >= F.coalesce("repeated", F.lit(0))))
@@ -204,37 +203,38 @@ def _overlap(existing: Column, incoming: Column) -> Column:
     return F.when((place > 0) & agrees, length).otherwise(0)
 
 
-def _reaches_further_back(pairs: DataFrame) -> DataFrame:
-    """Statements with a chunk that is longer than its predecessor and starts with an older line."""
-    longer = pairs.where(F.size("digests") > F.size("before")).select(
-        *STATEMENT_KEYS, F.get("digests", F.lit(0)).alias("digest"), F.col("rank").alias("at")
-    )
+def _reaching_further_back(pairs: DataFrame) -> DataFrame:
+    """Chunks that are longer than their predecessor and start with a line older than it."""
+    longer = pairs.where(F.size("digests") > F.size("before")).select(*_CHUNK_KEYS, "rank", "digests", F.get("digests", F.lit(0)).alias("digest"))
     lines = pairs.select(*STATEMENT_KEYS, "rank", F.explode("digests").alias("digest"))
-    seen = longer.join(lines, [*STATEMENT_KEYS, "digest"]).where(F.col("rank") < F.col("at") - 1)
-    return seen.select(*STATEMENT_KEYS).distinct()
+    oldest = lines.groupBy(*STATEMENT_KEYS, "digest").agg(F.min("rank").alias("oldest"))
+    seen = longer.join(oldest, [*STATEMENT_KEYS, "digest"]).where(F.col("oldest") < F.col("rank") - 1)
+    return seen.select(*_CHUNK_KEYS, "digests")
 
 
-def _fold_statements(positions: DataFrame) -> DataFrame:
-    ordered = positions.groupBy(*STATEMENT_KEYS).agg(
-        F.array_sort(F.collect_list(F.struct("rank", "chunk_index", "digests"))).alias("parts")
-    )
-    start = F.struct(
-        F.array().cast("array<string>").alias("merged"),
-        F.array().cast("array<struct<chunk_index:int,repeated:int>>").alias("found"),
-    )
+def _settled_overlaps(repeated: DataFrame, positions: DataFrame, far: DataFrame) -> DataFrame:
+    """The chunks' overlaps with the merged lines, from those with their predecessors alone.
 
-    def step(state: Column, part: Column) -> Column:
-        repeated = _overlap(state["merged"], part["digests"]).cast("int")
-        rest = F.slice(part["digests"], repeated + 1, F.size(part["digests"]))
-        return F.struct(
-            F.concat(state["merged"], rest).alias("merged"),
-            F.concat(
-                state["found"], F.array(F.struct(part["chunk_index"].alias("chunk_index"), repeated.alias("repeated")))
-            ).alias("found"),
-        )
-
-    folded = ordered.select(*STATEMENT_KEYS, F.aggregate("parts", start, step)["found"].alias("found"))
-    return folded.select(*STATEMENT_KEYS, F.explode("found").alias("f")).select(*STATEMENT_KEYS, "f.*")
+    Overlaps give every merged line its number, and the numbers give each chunk of ``far`` the lines
+    before it, as many as it has, to be compared with anew. An overlap depends on earlier ones only, so each round settles one
+    more chunk of a statement at least, mostly all; rounds end when nothing changes.
+    """
+    keys = far.select(*STATEMENT_KEYS).distinct()
+    lines = positions.join(keys, STATEMENT_KEYS, "left_semi").select(*_CHUNK_KEYS, F.posexplode("digests").alias("i", "digest")).checkpoint()
+    order = Window.partitionBy(*STATEMENT_KEYS).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        starts = repeated.withColumn("start", F.coalesce(F.sum(F.col("n") - F.col("repeated")).over(order), F.lit(0)))
+        placed = starts.join(keys, STATEMENT_KEYS, "left_semi")
+        merged = lines.join(placed, _CHUNK_KEYS).where(F.col("i") >= F.col("repeated"))
+        merged = merged.select(*STATEMENT_KEYS, (F.col("start") + F.col("i") - F.col("repeated")).alias("line"), "digest")
+        asked = placed.join(far.select(*_CHUNK_KEYS), _CHUNK_KEYS, "left_semi").where("start > 0")
+        wanted = asked.select(*_CHUNK_KEYS, F.explode(F.sequence(F.greatest(F.col("start") - F.col("n"), F.lit(0)), F.col("start") - 1)).alias("line"))
+        tails = wanted.join(merged, [*STATEMENT_KEYS, "line"]).groupBy(*_CHUNK_KEYS).agg(F.array_sort(F.collect_list(F.struct("line", "digest"))).alias("tail"))
+        tails = tails.join(far, _CHUNK_KEYS).select(*_CHUNK_KEYS, _overlap(F.col("tail.digest"), F.col("digests")).alias("again"))
+        settled = repeated.join(tails, _CHUNK_KEYS, "left").withColumn("new", F.coalesce("again", "repeated")).checkpoint()
+        repeated = settled.select(*_CHUNK_KEYS, "rank", "n", F.col("new").alias("repeated"))
+        if settled.where(F.col("new") != F.col("repeated")).isEmpty():
+            return repeated
 
 
 def drop_adjacent_duplicates(items: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -48,6 +48,26 @@ def test_merge_equals_brute_force(spark):
     assert got == {s: merged(c) for s, c in statements.items() if merged(c)}
 
 
+def test_overlaps_that_reach_over_many_chunks(spark):
+    rng = random.Random(8)
+    statements = {}
+    for s in range(12):
+        rows, chunks = [], []
+        for n in range(60):
+            overlap = rows[-rng.randint(1, 3 + n % 9):] if rows and rng.random() < 0.8 else []
+            chunk = overlap + [rng.choice("ab") for _ in range(rng.randint(0, 2))]
+            chunks.append(chunk)
+            rows = merged(chunks)
+        statements[f"S{s}"] = chunks
+    statements["same"] = [["x"] * (1 + n % 7) for n in range(80)]
+    data = [("T", s, i, ["number"], [[x] for x in chunk]) for s, chunks in statements.items() for i, chunk in enumerate(chunks)]
+    out = shaping.merge_chunks(spark.createDataFrame(data, CHUNK)).select("statement_id", "chunk_index", "row_pos", "number").collect()
+    got = {}
+    for r in sorted(out, key=lambda r: (r.statement_id, r.chunk_index, r.row_pos)):
+        got.setdefault(r.statement_id, []).append(r.number)
+    assert got == {s: merged(c) for s, c in statements.items()}
+
+
 def test_short_rows_are_padded_and_extra_cells_ignored(spark):
     df = spark.createDataFrame([("T", "S", 0, ["date", "Amount"], [["1/2"], ["1/3", "5", "extra"]])], CHUNK)
     out = shaping.reconstruct_items(df).orderBy("row_pos").collect()
