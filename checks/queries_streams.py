@@ -13,7 +13,7 @@ from checks.queries_rows import FLAGGED
 from checks.registry import money, money_sql, query
 from tallyweave.session import checkpoint_folder
 from tallyweave.sources import ledger_files, snapshots
-from tallyweave.streaming import flows, state
+from tallyweave.streaming import bundles, flows, state
 
 
 def _stream(t: Tables, table: str) -> DataFrame:
@@ -156,6 +156,28 @@ def streamed_ledger(t):
     return current.select("doc_id", "load_seq", money("total").alias("total"))
 
 
+@query(
+    "streamed_bundles",
+    with_tables(
+        ("ledger_docs", "payments"),
+        """SELECT CASE WHEN load_seq % 5 = 0 THEN contact_id || 'm' ELSE contact_id END AS contact_id, doc_kind AS kind, doc_id AS record_id FROM ledger_docs WHERE load_seq % 7 <> 0
+           UNION ALL SELECT contact_id, 'payment', payment_id FROM payments""",
+    ),
+)
+def streamed_bundles(t):
+    """The ledger in three batches: all of it, then some documents move to other contacts, then some leave theirs."""
+    folder, docs, paid = _scratch(t), t.derive("ledger_docs"), t.derive("payments")
+    parts = [docs, docs.where("load_seq % 5 = 0").withColumn("contact_id", F.concat("contact_id", F.lit("m"))), docs.where("load_seq % 7 = 0").withColumn("contact_id", F.lit(None).cast("string"))]
+    for n, part in enumerate(parts):
+        records = bundles.ledger_records(part, paid if n == 0 else paid.limit(0))
+        records.coalesce(1).write.parquet(f"{folder}/in/part={n}")
+    stream = t.spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in").drop("part")
+    bundles.stream_contact_bundles(stream, f"{folder}/bundles", f"{folder}/state").awaitTermination()
+    found = bundles.read_bundles(t.spark, f"{folder}/bundles")
+    kept = found.select("contact_id", F.explode(F.concat("invoices", "credit_notes")).alias("d")).select("contact_id", F.col("d.doc_kind").alias("kind"), F.col("d.doc_id").alias("record_id"))
+    return kept.unionByName(found.select("contact_id", F.explode("payments").alias("p")).select("contact_id", F.lit("payment").alias("kind"), F.col("p.payment_id").alias("record_id")))
+
+
 @query(
     "ledger_by_contact",
     with_tables(

@@ -1,5 +1,6 @@
 """Streams: state across batches, and agreement with the batch operators."""
 
+import random
 import time
 from datetime import datetime, timedelta
 
@@ -7,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.operators import tokens
-from tallyweave.operators.ledger import upsert_ledger
-from tallyweave.streaming import flows, state
+from tallyweave.operators.ledger import bundle_by_contact, upsert_ledger
+from tallyweave.streaming import bundles, flows, state
 
 COMMAND = "tenant_id string, command_id string, kind string, statement_id string, tokens bigint, at timestamp, source string"
 
@@ -130,3 +131,45 @@ def test_an_event_repeated_days_later_is_known_and_a_late_one_is_not_lost(spark,
         writer.trigger(availableNow=True).foreachBatch(flows.append_batch(str(tmp_path / "out"))).start().awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((str(r.event_id), r.received_at.day) for r in out) == [("None", 14), ("a", 11), ("b", 11), ("c", 2), ("d", 3)]
+
+
+DOC = "tenant_id string, contact_id string, doc_kind string, doc_id string, number string, load_seq bigint"
+PAYMENT = "tenant_id string, contact_id string, payment_id string, invoice_id string, load_seq bigint"
+
+
+def listed(bundles):
+    return sorted(str(r) for r in bundles.select("tenant_id", "contact_id", "part", "parts", "invoices", "credit_notes", "payments").collect())
+
+
+def test_bundles_after_every_batch_equal_those_of_the_folded_ledger(spark, tmp_path):
+    rng = random.Random(3)
+    ledger, payments = spark.createDataFrame([], DOC), spark.createDataFrame([], PAYMENT)
+    folder = str(tmp_path / "bundles")
+    for n in range(4):
+        docs = [("T", rng.choice(["A", "B", "C", None, ""]), rng.choice(["invoice", "credit_note"]), rng.choice([f"d{rng.randint(1, 12)}", None]), f"{n}-{i}", 100 * n + i) for i in range(14 if n < 3 else 1)]
+        paid = [("T", rng.choice("ABCD"), f"p{rng.randint(1, 6)}", "d1", 100 * n + i) for i in range(5 if n < 3 else 0)]
+        delta, paid = spark.createDataFrame(docs, DOC), spark.createDataFrame(paid, PAYMENT)
+        records = bundles.ledger_records(delta, paid)
+        records.coalesce(1).write.parquet(str(tmp_path / "in" / f"b{n}"))
+        stream = spark.readStream.schema(records.schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        bundles.stream_contact_bundles(stream, folder, str(tmp_path / "state"), bundle_size=4).awaitTermination()
+        ledger, payments = upsert_ledger(ledger, delta, "doc_id").checkpoint(), upsert_ledger(payments, paid, "payment_id").checkpoint()
+        want = listed(bundle_by_contact(ledger, payments, 4))
+        assert listed(bundles.read_bundles(spark, folder)) == want
+        if n == 1:  # the batch again, as after a failure: it starts from the versions before it
+            bundles.bundle_batch(folder, bundle_size=4)(records, n)
+            assert listed(bundles.read_bundles(spark, folder)) == want
+    some = spark.createDataFrame([("T", "B"), ("T", None)], "tenant_id string, contact_id string")
+    assert {r.contact_id for r in bundles.read_bundles(spark, folder, some).collect()} == {"B"}
+    # One document moved last: only the buckets of its contacts were written.
+    last = spark.read.parquet(f"{folder}/bundles").where("batch = 3").select("bucket").distinct().count()
+    assert last <= 2 < spark.read.parquet(f"{folder}/bundles").where("batch = 0").select("bucket").distinct().count() + 1
+
+
+def test_a_version_without_its_file_is_not_read(spark, tmp_path):
+    folder = str(tmp_path / "bundles")
+    rows = lambda contact: bundles.ledger_records(spark.createDataFrame([("T", contact, "invoice", "d", "1", 1)], DOC), spark.createDataFrame([], PAYMENT))
+    bundles.bundle_batch(folder)(rows("A"), 0)
+    bundles.bundle_batch(folder)(rows("B"), 1)
+    assert [r.contact_id for r in bundles.read_bundles(spark, folder).collect()] == ["B"]
+    assert bundles._versions(spark, folder, before=1)["bundles"] and [r.contact_id for r in bundles._buckets(spark, folder, "bundles", bundles._versions(spark, folder, before=1)["bundles"]).collect()] == ["A"]
