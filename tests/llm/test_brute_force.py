@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 import xxhash
 
-from tallyweave.llm import queries
+from tallyweave.llm import queries, syncmers, textkit
 
 FOLDER = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 SPACED, ALNUM = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -205,6 +205,25 @@ def test_mix(docs, got):
     assert all(r["source_size"] == sizes[r["source"]] for r in rows.values())
 
 
+def syncmer_hashes(text):
+    """The upper halves of the hashes of all closed syncmers, window by window."""
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    if len(data) < syncmers.OUTER:
+        found = [(0, len(data))] if len(data) else []
+    else:
+        inner = [int.from_bytes(data[i : i + syncmers.INNER].tobytes(), "little") for i in range(len(data) - syncmers.INNER + 1)]
+        small = textkit.mix(np.array(inner, np.uint64) * np.uint64(0x9E3779B97F4A7C15)).tolist()
+        span = syncmers.OUTER - syncmers.INNER + 1
+        found = [(i, i + syncmers.OUTER) for i in range(len(data) - syncmers.OUTER + 1) if min(small[i : i + span]) in (small[i], small[i + span - 1])]
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
+    return {int(h) >> 32 for h in textkit.spans(data, a, b, 2)}
+
+
+def kept(hashes):
+    values = sorted(hashes)
+    return values[: max(syncmers.LEAST, sum(v < (1 << 32) // syncmers.SHARE for v in values))]
+
+
 def test_edited_texts(docs, got):
     rows, order = by_doc(got(10)), sorted(docs, key=lambda d: -d["doc_id"])
     near = [0, 0]
@@ -215,6 +234,15 @@ def test_edited_texts(docs, got):
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         assert 0 <= r["near_edited"] <= 1 and (text != edited or r["fingerprint"] == r["edited_fingerprint"])
         near[0], near[1] = near[0] + r["near_edited"], near[1] + r["near_next"]
+        plain, plain_edited, plain_next = (syncmer_hashes(t) for t in (text, edited, following["text"] or ""))
+        assert r["fingerprint"] == "".join(f"{x:08x}" for x in kept(plain)) and r["edited_fingerprint"] == "".join(f"{x:08x}" for x in kept(plain_edited))
+        for name, other in (("near_edited", plain_edited), ("near_next", plain_next)):
+            whole = len(plain & other) / len(plain | other) if plain | other else 1.0
+            assert abs(r[name] - whole) <= (1e-12 if max(len(plain), len(other)) <= syncmers.LEAST else 0.1)
+        size = len(text.encode())
+        assert r["n_bytes"] == size and 0 <= r["anchored_bytes"] <= size
+        # The part that was left alone is one passage, unless it is too short for an anchor of its own.
+        assert r["anchored_bytes"] >= len(text[: len(text) - third].encode()) - 2 * syncmers.OUTER or size < 200
     assert near[0] > 0.35 * len(docs) > 0.2 * len(docs) > near[1]
     prints = defaultdict(set)
     for d in docs:
