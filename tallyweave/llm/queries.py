@@ -23,9 +23,12 @@ def vocabulary() -> str:
 
 def op1_warc_transactions(spark: SparkSession, folder: str) -> DataFrame:
     manifest = warc.write_archives(table(spark, folder, "pages"))
-    rows = warc.captures(warc.read_records(manifest, with_payload=False))
-    response = [F.col(f"response.{c}").alias(c) for c in ("payload_bytes", "payload_digest", "record_type", "refers_to")]
-    return rows.select("page_id", "url", *response)
+    rows = warc.captures(warc.read_records(manifest))
+    # A response's figures come from the payload in its capture, a revisit's from what its record says.
+    payload = F.col("response.payload")
+    size = F.coalesce(F.octet_length(payload).cast("bigint"), F.col("response.payload_bytes")).alias("payload_bytes")
+    digest = F.coalesce(F.sha2(payload, 256), F.col("response.payload_digest")).alias("payload_digest")
+    return rows.select("page_id", "url", size, digest, "response.record_type", "response.refers_to")
 
 
 def op2_language_codes(spark: SparkSession, folder: str) -> DataFrame:

@@ -271,6 +271,43 @@ def test_edited_texts_over_many_ranges(docs, spark, monkeypatch):
         assert got[doc_id] == syncmers.hashlib.sha256((text[: len(text) - third] + following[:third]).encode()).hexdigest()
 
 
+def test_edited_texts_between_cuts(docs, spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "ROWS_PER_RANGE", 3)
+    monkeypatch.setattr(syncmers, "CUTS", 4)
+    monkeypatch.setattr(syncmers, "PARTITIONS", 5)
+    ids = [*range(0, 60), *range(10**12, 10**12 + 40, 3), *[-(2**62)] * 3, 2**62, None, None]
+    texts = [(i, f"{n} " + " ".join(RANDOM.choice(VOCABULARY) for _ in range(30))) for n, i in enumerate(ids)]
+    got = [(r.doc_id, r.edited_sha256) for r in syncmers.compared_with_edits(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)).collect()]
+    order = sorted(texts, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = []
+    for (doc_id, text), (_, following) in zip(order, [*order[1:], order[0]], strict=True):
+        third = len(text) // 3
+        want.append((doc_id, syncmers.hashlib.sha256((text[: len(text) - third] + following[:third]).encode()).hexdigest()))
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_fingerprints_grow_and_see_small_edits():
+    words = [RANDOM.choice(VOCABULARY) for _ in range(20_000)]
+    changed = list(words)
+    for i in RANDOM.sample(range(20_000), 20):
+        changed[i] = "changed"
+    a, b = (syncmers.Printed(" ".join(w)) for w in (words, changed))
+    whole = len(np.intersect1d(a.anchors[1], b.anchors[1])) / len(np.union1d(a.anchors[1], b.anchors[1]))
+    assert len(a.print) > 4 * syncmers.LEAST and syncmers.likeness(a.print, b.print) < 1 and abs(syncmers.likeness(a.print, b.print) - whole) < 0.01
+
+
+def test_passages_are_as_long_as_they_can_be():
+    part = [" ".join(RANDOM.choice(VOCABULARY) for _ in range(80)).encode() for _ in range(5)]
+    a, b = part[0] + b"#" + part[1] + b"#" + part[2], part[3] + b"%" + part[1] + b"%" + part[4] + b"%" + part[0]
+    x, y = (np.frombuffer(t, np.uint8) for t in (a, b))
+    found = syncmers.passages(x, y, syncmers.closed_syncmers(x), syncmers.closed_syncmers(y))
+    want = {(a.index(p), b.index(p)) for p in (part[0], part[1])}
+    assert want <= {(i, j) for i, j, _ in found} and syncmers.covered(found) >= len(part[0]) + len(part[1])
+    for i, j, n in found:
+        assert a[i : i + n] == b[j : j + n] and (i == 0 or j == 0 or a[i - 1] != b[j - 1]) and a[i + n : i + n + 1] != b[j + n : j + n + 1] or i + n == len(a)
+    assert syncmers.passages(x, x, syncmers.closed_syncmers(x), syncmers.closed_syncmers(x)) == [(0, 0, len(a))]
+
+
 def test_syncmers_do_not_depend_on_context():
     data = np.frombuffer(LONG[:5000].encode(), np.uint8)
     place, hashes = syncmers.closed_syncmers(data)
@@ -311,6 +348,38 @@ def test_plain_archives_are_read_too():
         list(warc.parse(members[0][:-3]))
 
 
+def test_revisits_name_the_record_they_repeat(spark):
+    page = "<html>" + "x" * 200
+    rows = [(4, "http://a/4", page), (2, "http://a/2", page), (9, "u", page), (7, "twice", page + "y"), (7, "twice", page + "y"), (8, "z", page + "y"), (1, "no", "short")]
+    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string"), archive_bytes=150)
+    records = warc.read_records(manifest)
+    assert records.filter("record_type = 'warcinfo'").count() == manifest.count() > 1
+    out = {r.page_id: r.response for r in warc.captures(records).collect() if r.page_id != 7}
+    assert len(out) == 5 and {i: r.refers_to for i, r in out.items()} == {4: 2, 2: None, 9: 2, 8: 7, 1: None}
+    assert out[4].refers_to_record == out[9].refers_to_record == out[2].record_id and out[8].refers_to_record is None
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    plain = [
+        (["WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:0>"], b"software: x\r\n"),
+        (["WARC-Type: response", "WARC-Record-ID: <urn:uuid:1>", "WARC-Target-URI: http://a/"], b"HTTP/1.1 200 OK\r\n\r\nbody"),
+        (["WARC-Type: revisit", "WARC-Record-ID: <urn:uuid:2>", "WARC-Refers-To: <urn:uuid:1>", "WARC-Payload-Digest: sha1:ABC"], b"HTTP/1.1 304 Not Modified\r\n\r\n"),
+        (["WARC-Type: revisit", "WARC-Record-ID: <urn:uuid:3>"], b""),
+        (["WARC-Type: metadata", "WARC-Record-ID: <urn:uuid:4>", "WARC-Concurrent-To: <urn:uuid:1>"], b"page-id: none\r\nvia: http://b/\r\n"),
+        (["WARC-Type: request", "WARC-Record-ID: <urn:uuid:5>", "WARC-Concurrent-To: <urn:uuid:9>"], b"\xff\xfe"),
+        (["WARC-Type: resource", "WARC-Record-ID: <urn:uuid:6>"], b"abc"),
+    ]
+    raw = b"".join("\r\n".join(["WARC/1.0", *lines, f"Content-Length: {len(body)}"]).encode() + b"\r\n\r\n" + body + b"\r\n\r\n" for lines, body in plain)
+    stores.put(f"{tmp_path}/foreign.warc", raw)
+    records = warc.read_records(spark.createDataFrame([(f"{tmp_path}/foreign.warc",)], "path string"))
+    assert records.count() == 7
+    out = {r.capture_id: r for r in warc.captures(records).collect()}
+    assert set(out) == {"urn:uuid:1", "urn:uuid:2", "urn:uuid:3", "urn:uuid:9"}
+    assert bytes(out["urn:uuid:1"].response.payload) == b"body" and out["urn:uuid:1"].page_id is None and out["urn:uuid:9"].response is None
+    second = out["urn:uuid:2"].response
+    assert (second.refers_to_record, second.payload_digest, second.payload_bytes, second.refers_to) == ("urn:uuid:1", "sha1:ABC", None, None)
+
+
 def test_files_appear_whole(tmp_path):
     stores.put(f"file:{tmp_path}/a/b", b"abc")
     assert stores.get(f"file://{tmp_path}/a/b", 1, 1) == b"b" and [p.name for p in (tmp_path / "a").iterdir()] == ["b"]
