@@ -18,7 +18,9 @@ SAMPLE = 2_000  # labelled documents per language that the classifiers learn fro
 GRAMS = (2, 4)  # bytes
 SLOTS = 1 << 16  # per gram length; two bytes have their own, longer grams are hashed
 SMOOTHING = 0.5
-UNSURE = 0.02  # relative distance of the second-nearest codeword below which the answer counts as ambiguous
+# An answer is ambiguous if the second-nearest codeword is nearer, relatively, than this share of what one in a thousand of the right
+# answers on the sample stays below, or the nearest one farther than this multiple of what one in a thousand exceeds.
+RARE, GAP_SHARE, REACH = 0.001, 0.5, 1.5
 EXHAUSTIVE = 7  # languages up to which codes have all different splits as bits
 UNKNOWN = "und"
 
@@ -87,6 +89,8 @@ class Model:
     odds: dict[int, np.ndarray]
     scale: np.ndarray
     trust: np.ndarray
+    gap: float = 0.0  # least relative distance between the nearest codeword and the next of a sure answer
+    reach: float = np.inf  # greatest distance of a sure answer
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The mean log-odds of each row's grams, per bit: the binary classifiers' answers."""
@@ -113,7 +117,7 @@ class Model:
         best = away.argmin(axis=1)
         two = np.partition(away, 1, axis=1)[:, :2]
         soft = np.exp(two[:, :1] - away)
-        return best, 1 / soft.sum(axis=1), (two[:, 1] - two[:, 0]) < UNSURE * two[:, 1]
+        return best, 1 / soft.sum(axis=1), ((two[:, 1] - two[:, 0]) < self.gap * two[:, 1]) | (two[:, 0] > self.reach)
 
 
 def _count(languages: list[str]):
@@ -160,23 +164,48 @@ def _trusted(model):
     return run
 
 
+def _sure(model):
+    """The relative gap and the distance of the rows that are answered rightly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = {x: i for i, x in enumerate(model.value.languages)}
+        for batch in batches:
+            data, offsets = textkit.bytes_of(batch.column("text"))
+            which = np.array([index[x] for x in batch.column("lang").to_pylist()], np.int64)
+            for first, last in textkit.groups(offsets):
+                own = offsets[first : last + 1]
+                away = model.value.distances(model.value.margins(data[own[0] : own[-1]], own - own[0]))
+                two = np.partition(away, 1, axis=1)[:, :2]
+                right = away.argmin(axis=1) == which[first:last]
+                yield pa.record_batch({"gap": pa.array(((two[:, 1] - two[:, 0]) / np.maximum(two[:, 1], 1e-300))[right]), "away": pa.array(two[right, 0])})
+
+    return run
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from rows (text, lang) with a language; null texts and languages are left out.
 
     At most ``sample`` rows per language, the lowest by a hash of their text and, where there is one,
-    doc_id, are learned from: the counts of their grams give each bit's log-odds between the
+    doc_id, are learned from (of rows that repeat as many as stand there, up to that bound): the counts of their grams give each bit's log-odds between the
     languages on its two sides, every language weighing the same. How often a bit's classifier
-    is right for a language on the sample is its trust there.
+    is right for a language on the sample is its trust there. Right answers on the sample also say how near the second codeword
+    may come, and how far the nearest may be, for an answer to be sure.
+
+    Up to seven languages have all splits as bits and decoding tells any two apart by as many of them; more
+    languages have random codes, whose least distance differs from pair to pair.
     """
     spark = labelled.sparkSession
     known = labelled.filter("text is not null and lang is not null")
     place = F.xxhash64(*[c for c in ("text", "doc_id") if c in labelled.columns])
     rows = known.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), (place / float(1 << 64) + 0.5).alias("_h"))
-    # About twice as many rows as are wanted are looked at, so that no language is sorted as a whole.
-    share = {r["lang"]: 2.0 * sample / max(r["n"], 1) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # About twice as many different rows as are wanted are looked at, so that no language is sorted as a whole; rows that
+    # repeat share a hash and are one row with its number, before and after the shuffle.
+    share = {r["lang"]: 2.0 * sample / max(r["n"], 1) for r in rows.groupBy("lang").agg(F.approx_count_distinct("_h", 0.02).alias("n")).collect()}
     near = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col("lang")), F.lit(0.0)) if share else F.lit(0.0)
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))
-    rows = written(rows.filter(F.col("_h") < near).withColumn("_n", nth).filter(F.col("_n") <= sample).select("lang", _seen(F.col("text")).alias("text")), "sample")
+    few = rows.filter(F.col("_h") < near).groupBy("lang", "_h").agg(F.count("*").alias("n"), F.any_value("text").alias("text"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    few = few.withColumn("take", F.least("n", sample - before)).filter("take > 0").select("lang", _seen(F.col("text")).alias("text"), "take")
+    rows = written(few.select("lang", "text", F.explode(F.array_repeat(F.lit(1), F.col("take").cast("int")))).select("lang", "text"), "sample")
     languages = sorted(share)
     code = codewords(len(languages))
     model = Model(languages, code, {}, np.ones(code.shape[1]), np.ones(code.shape))
@@ -202,6 +231,12 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     model.trust = np.maximum(model.trust, 1e-6) / np.maximum(model.trust, 1e-6).sum(axis=1, keepdims=True)
     model.scale = 2 / np.maximum(sizes.mean(axis=0), 1e-9)
     shared.unpersist()
+    shared = spark.sparkContext.broadcast(model)
+    sure = rows.mapInArrow(_sure(shared), "gap double, away double")
+    gap, away = sure.agg(F.percentile_approx("gap", RARE, 10_000), F.percentile_approx("away", 1 - RARE, 10_000)).first()
+    shared.unpersist()
+    if gap is not None:
+        model.gap, model.reach = GAP_SHARE * gap, REACH * away
     return model
 
 
@@ -209,7 +244,7 @@ def tagged(docs: DataFrame, model: Model) -> DataFrame:
     """Documents with ``lang_pred``, ``score`` and ``ambiguous``, from the whole of ``text``; columns of these names are replaced.
 
     ``lang_pred`` is the language with the nearest codeword, ``score`` its share among all (0
-    to 1), ``ambiguous`` whether the second-nearest is almost as near. Texts that are null or
+    to 1), ``ambiguous`` whether the second-nearest is too near or the nearest too far for a sure answer. Texts that are null or
     without a letter are ``und`` with score 0, as all are if nothing was learned. Each row
     gives a row, in one pass without a shuffle.
     """
@@ -243,8 +278,9 @@ def recognised(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The documents (text, lang and more), with their columns, whose text is in a language the codes can tell.
 
     The codes are learned from the labelled documents themselves; out go those without a letter
-    and those as near to one codeword as to another. The label decides nothing, and a table
-    without labels loses only texts without letters.
+    and those whose answer is not sure. The label decides nothing, and a table
+    without labels loses only texts without letters. Rows that repeat are kept or left as one; null and empty texts
+    go; columns of any name stay as they are; an empty table gives none.
     """
     model = fit(docs, sample)
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
