@@ -40,42 +40,56 @@ def _finished(t: Tables, stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def _commands(events: DataFrame) -> DataFrame:
-    """Events as ledger commands: grants, reservations, and settlements of the event before."""
+    """Events as ledger commands: grants, reservations of one to three statements, and settlements of the event before.
+
+    Every seventh command is delivered twice.
+    """
     kind = (
         F.when(F.col("event_type") == "view", "reserve").when(F.col("event_type") == "click", "consume").when(F.col("event_type") == "error", "release").otherwise("adjust")
     )
-    statement = F.when(F.col("event_type") == "view", F.col("event_id")).otherwise(F.col("event_id") - F.col("event_id") % 3)
-    return events.select(
+    event = F.when(F.col("event_type") == "view", F.col("event_id")).otherwise(F.col("event_id") - F.col("event_id") % 3)
+    lines = F.when(F.col("event_type") == "view", 1 + F.col("event_id") % 3).otherwise(1 + F.col("event_id") % 2)
+    copies = F.when(F.col("event_id") % 7 == 0, 2).otherwise(1)
+    tokens = F.when(F.col("event_type") == "signup", 5).otherwise(1 + F.col("event_id") % 20)
+    own = events.withColumn("line", F.explode(F.flatten(F.array_repeat(F.sequence(F.lit(1), lines.cast("int")), copies))))
+    own = own.where((kind != "adjust") | (F.col("line") == 1))
+    return own.select(
         F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("tenant_id"),
         F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("command_id"),
         kind.alias("kind"),
-        F.concat(F.lit("S"), statement.cast("string")).alias("statement_id"),
-        F.when(F.col("event_type") == "signup", 5).otherwise(1 + F.col("event_id") % 20).cast("bigint").alias("tokens"),
+        F.concat(F.lit("S"), event.cast("string"), F.lit("/"), F.col("line").cast("string")).alias("statement_id"),
+        (tokens + F.col("line") - 1).cast("bigint").alias("tokens"),
         F.col("ts").cast("timestamp").alias("at"),
         F.lit("stream").alias("source"),
     )
 
 
-# The ledger of a tenant command by command: balance and open reservations go from row to row.
+# The ledger of a tenant command by command: balance and open reservations go from row to row. A reservation
+# holds its lines and is accepted with all of them or none; each line of a command gives an entry with the balance after it.
 _WALK = """WITH RECURSIVE c AS (
     SELECT concat('T', CAST(user_id AS VARCHAR)) AS tenant_id, concat('c', CAST(event_id AS VARCHAR)) AS command_id,
       CASE event_type WHEN 'view' THEN 'RESERVE' WHEN 'click' THEN 'CONSUME' WHEN 'error' THEN 'RELEASE' ELSE 'ADJUSTMENT' END AS kind,
-      concat('S', CAST(CASE WHEN event_type = 'view' THEN event_id ELSE event_id - event_id % 3 END AS VARCHAR)) AS statement,
-      CAST(CASE WHEN event_type = 'signup' THEN 5 ELSE 1 + event_id % 20 END AS BIGINT) AS tokens,
+      list_transform(range(1, CASE WHEN event_type = 'view' THEN 2 + event_id % 3 WHEN event_type IN ('click', 'error') THEN 2 + event_id % 2 ELSE 2 END),
+        lambda i: {'s': concat('S', CAST(CASE WHEN event_type = 'view' THEN event_id ELSE event_id - event_id % 3 END AS VARCHAR), '/', CAST(i AS VARCHAR)),
+          'n': CAST(CASE WHEN event_type = 'signup' THEN 5 ELSE 1 + event_id % 20 END + i - 1 AS BIGINT)}) AS lines,
       row_number() OVER (PARTITION BY user_id ORDER BY ts, concat('c', CAST(event_id AS VARCHAR))) AS n FROM events),
   walk AS (
     SELECT DISTINCT tenant_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS balance, CAST([] AS STRUCT(s VARCHAR, n BIGINT)[]) AS held,
-      CAST(NULL AS VARCHAR) AS entry_id, CAST(NULL AS VARCHAR) AS entry_type, CAST(0 AS BIGINT) AS token_delta, CAST(NULL AS BOOLEAN) AS accepted FROM c
+      CAST(NULL AS VARCHAR) AS command_id, CAST(NULL AS VARCHAR) AS kind, CAST([] AS STRUCT(s VARCHAR, n BIGINT)[]) AS entries, CAST(NULL AS BOOLEAN) AS accepted, CAST(0 AS BIGINT) AS before FROM c
     UNION ALL
-    SELECT tenant_id, n, balance + delta, CASE WHEN kind = 'RESERVE' AND ok THEN list_append(held, {'s': statement, 'n': tokens}) WHEN kind IN ('CONSUME', 'RELEASE') THEN list_filter(held, lambda x: x.s <> statement) ELSE held END,
-      CASE WHEN kind = 'ADJUSTMENT' THEN command_id WHEN ok IS NOT NULL THEN concat(lower(kind), '#', statement) END, kind, delta, ok
-    FROM (SELECT *, CASE WHEN NOT coalesce(ok, false) THEN 0 WHEN kind = 'RESERVE' THEN -tokens WHEN kind = 'RELEASE' THEN own.n WHEN kind = 'CONSUME' THEN 0 ELSE tokens END AS delta
-      FROM (SELECT *, CASE WHEN kind = 'RESERVE' THEN balance >= tokens WHEN kind = 'ADJUSTMENT' THEN true WHEN own IS NOT NULL THEN true END AS ok
-        FROM (SELECT c.tenant_id, c.n, c.kind, c.statement, c.tokens, c.command_id, w.balance, w.held, list_filter(w.held, lambda x: x.s = c.statement)[1] AS own
-          FROM walk w JOIN c ON c.tenant_id = w.tenant_id AND c.n = w.n + 1) step) judged) moved)"""
-
-
-@query("streamed_token_ledger", f"SELECT * FROM ({_WALK} SELECT tenant_id, entry_id, entry_type, token_delta, accepted, balance FROM walk WHERE entry_id IS NOT NULL) q")
+    SELECT tenant_id, n, balance + CAST(coalesce(list_sum(list_transform(entries, lambda x: x.n)), 0) AS BIGINT),
+      CASE WHEN kind = 'RESERVE' AND ok THEN list_concat(held, lines) WHEN kind IN ('CONSUME', 'RELEASE') THEN list_filter(held, lambda x: NOT list_contains(list_transform(lines, lambda y: y.s), x.s)) ELSE held END,
+      command_id, kind, entries, ok, balance
+    FROM (SELECT *, CASE kind WHEN 'RESERVE' THEN list_transform(lines, lambda x: {'s': x.s, 'n': CASE WHEN ok THEN -x.n ELSE 0 END})
+        WHEN 'CONSUME' THEN list_transform(own, lambda x: {'s': x.s, 'n': CAST(0 AS BIGINT)}) WHEN 'RELEASE' THEN own ELSE [{'s': CAST(NULL AS VARCHAR), 'n': lines[1].n}] END AS entries
+      FROM (SELECT c.tenant_id, c.n, c.kind, c.lines, c.command_id, w.balance, w.held, CASE WHEN c.kind = 'RESERVE' THEN w.balance >= list_sum(list_transform(c.lines, lambda x: x.n)) ELSE true END AS ok,
+          list_sort(list_filter(w.held, lambda x: list_contains(list_transform(c.lines, lambda y: y.s), x.s))) AS own
+        FROM walk w JOIN c ON c.tenant_id = w.tenant_id AND c.n = w.n + 1) judged) moved),
+  entry AS (SELECT tenant_id, n, i, CASE WHEN kind = 'ADJUSTMENT' THEN command_id ELSE concat(lower(kind), '#', entries[i].s) END AS entry_id, kind AS entry_type, entries[i].n AS token_delta, accepted,
+    CAST(before + list_sum(list_transform(entries[:i], lambda x: x.n)) AS BIGINT) AS balance FROM walk, unnest(range(1, len(entries) + 1)) r(i))"""
+
+
+@query("streamed_token_ledger", f"SELECT * FROM ({_WALK} SELECT tenant_id, entry_id, entry_type, token_delta, accepted, balance FROM entry) q")
 def streamed_token_ledger(t):
     rows = _finished(t, state.token_ledger_stream(_commands(_stream(t, "events"))))
     return rows.select("tenant_id", "entry_id", "entry_type", "token_delta", "accepted", "balance")
@@ -83,7 +97,7 @@ def streamed_token_ledger(t):
 
 @query(
     "streamed_balances_hold",
-    f"SELECT * FROM ({_WALK} SELECT tenant_id, min(balance) >= 0 AS never_negative, CAST(arg_max(balance, n) AS BIGINT) AS balance FROM walk WHERE entry_id IS NOT NULL GROUP BY tenant_id) q",
+    f"SELECT * FROM ({_WALK} SELECT tenant_id, min(balance) >= 0 AS never_negative, CAST(arg_max(balance, n * 10 + i) AS BIGINT) AS balance FROM entry GROUP BY tenant_id) q",
 )
 def streamed_balances_hold(t):
     """The deltas of a tenant add up to the balance that its last command left."""
@@ -102,13 +116,17 @@ def snapshot_rows(t):
     return snapshots.read_snapshot(t.spark, folder, "statements").select("tenant_id", "statement_id", "contact_id")
 
 
-@query(
-    "streamed_unique_events",
-    "SELECT DISTINCT user_id % 40 AS event_id FROM events",
-)
+@query("streamed_unique_events", "SELECT event_id, CAST(user_id AS BIGINT) AS user_id, epoch_us(ts) AS received_at FROM events")
 def streamed_unique_events(t):
-    events = _stream(t, "events").select((F.col("user_id") % 40).alias("event_id"), F.col("ts").cast("timestamp").alias("received_at"))
-    return _finished(t, flows.dedupe_event_stream(events)).select("event_id")
+    """All events, then a third of them again, then a fifth of them a year later."""
+    folder = _scratch(t)
+    events = t.base("events").select("event_id", F.col("user_id").cast("bigint").alias("user_id"), F.col("ts").cast("timestamp").alias("received_at"))
+    again, later = events.where("event_id % 3 = 0"), events.where("event_id % 5 = 0").withColumn("received_at", F.col("received_at") + F.expr("INTERVAL 365 DAYS"))
+    for n, part in enumerate((events.unionByName(again), again, later)):
+        part.coalesce(1).write.parquet(f"{folder}/in/part={n}")
+    stream = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in").drop("part")
+    flows.stream_unique_events(stream, f"{folder}/unique", f"{folder}/state").awaitTermination()
+    return t.spark.read.parquet(f"{folder}/unique/events").select("event_id", "user_id", F.unix_micros("received_at").alias("received_at"))
 
 
 @query(

@@ -173,3 +173,29 @@ def test_a_version_without_its_file_is_not_read(spark, tmp_path):
     bundles.bundle_batch(folder)(rows("B"), 1)
     assert [r.contact_id for r in bundles.read_bundles(spark, folder).collect()] == ["B"]
     assert bundles._versions(spark, folder, before=1)["bundles"] and [r.contact_id for r in bundles._buckets(spark, folder, "bundles", bundles._versions(spark, folder, before=1)["bundles"]).collect()] == ["A"]
+
+
+def test_unique_events_over_a_year_without_state(spark, tmp_path):
+    kind, folder, out = "event_id string, received_at timestamp", tmp_path / "in", str(tmp_path / "out")
+    rng, known, want, sizes = random.Random(4), [], {}, []
+    for n in range(6):  # two months lie between batches
+        day = datetime(2024, 1, 1) + timedelta(days=61 * n)
+        fresh = [f"e{n}-{i}" for i in range(20)]
+        rows = [(e, day + timedelta(minutes=rng.randint(0, 999))) for e in fresh * 2 + rng.sample(known, len(known) // 3)] + [(None, day)]
+        for e, at in rows:
+            if e and e not in known:
+                want[e] = min(want.get(e, at), at)
+        known += fresh
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(folder / f"b{n}"))
+        stream = spark.readStream.schema(kind).option("recursiveFileLookup", True).parquet(str(folder))
+        query = flows.stream_unique_events(stream, out, str(tmp_path / "state"))
+        query.awaitTermination()
+        sizes.append(sum(o["numRowsTotal"] for o in query.lastProgress["stateOperators"]))
+        if n == 2:  # the batch again, as after a failure
+            flows.unique_batch(out)(spark.createDataFrame(rows, kind), n)
+        if n == 3:
+            flows.fold_processed(spark, out)
+            assert sorted(p.name for p in (tmp_path / "out" / "processed").iterdir() if p.is_dir()) == ["batch=0", "batch=3"]
+    rows = spark.read.parquet(f"{out}/events").collect()
+    assert {r.event_id: r.received_at for r in rows if r.event_id} == want and len(rows) == len(want) + 6
+    assert set(sizes) == {0}
