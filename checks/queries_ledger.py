@@ -160,7 +160,7 @@ _RUNNING = "SELECT *, CAST(sum(token_delta) OVER (PARTITION BY tenant_id ORDER B
     with_tables(("token_ledger",), f"SELECT entry_id, running_balance, running_balance < 0 AND token_delta < 0 AS overdrawn FROM ({_RUNNING}) r"),
 )
 def running_balances(t):
-    return tokens.ledger_running_balance(t.token_ledger()).select("entry_id", "running_balance", "overdrawn")
+    return tokens.ledger_running_balance(t.token_ledger(), rows_per_slice=500).select("entry_id", "running_balance", "overdrawn")
 
 
 @query(
@@ -331,10 +331,7 @@ def error_alerts(t):
     ),
 )
 def statement_list(t):
-    # Sorted in ranges and numbered by the ranges before each, so no task holds all rows.
-    ordered = t.headers().orderBy(*listing.list_order("contact", "desc"), "statement_id").select("statement_id")
-    places = ordered.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1] + 1))
-    return t.spark.createDataFrame(places, "statement_id string, place bigint")
+    return listing.numbered(t.headers(), [*listing.list_order("contact", "desc"), "statement_id"]).select("statement_id", "place")
 
 
 @query("statements_by_upload", with_tables(("headers",), "SELECT statement_id, CAST(uploaded_at AS VARCHAR)[1:10] AS uploaded FROM headers ORDER BY uploaded_at DESC NULLS LAST"))
@@ -362,6 +359,18 @@ def statement_page(t):
     return listing.paginate(t.headers(), [*listing.list_order("date_range", "asc"), "k"], 2, 40, (25, 50, 100)).select("statement_id")
 
 
+@query(
+    "statement_last_page",
+    with_tables(
+        ("headers",),
+        """SELECT statement_id FROM (SELECT statement_id, row_number() OVER (ORDER BY latest_item_date ASC NULLS FIRST, k) AS place, count(*) OVER () AS n FROM headers) q WHERE place > (n - 1) // 25 * 25""",
+    ),
+)
+def statement_last_page(t):
+    index = listing.page_index(t.headers(), [*listing.list_order("date_range", "asc"), "k"], rows_per_range=40)
+    return listing.read_page(index, 10**9, 30, (25, 50, 100)).select("statement_id")
+
+
 @query(
     "statement_counts",
     with_tables(("headers",), "SELECT tenant_id, completed, count(*) AS statements FROM headers WHERE coalesce(record_type, 'statement') = 'statement' GROUP BY 1, 2"),

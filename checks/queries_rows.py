@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.derive import DATE_FORMATS, with_tables
@@ -11,6 +13,7 @@ from checks.similarity import GUESSES, token_scores_sql
 from tallyweave.operators import classification, comparison, flags, ledger, matching, shaping
 from tallyweave.plans import reconcile
 from tallyweave.session import checkpoint_folder
+from tallyweave.sources import export
 
 ITEMS = ("items_flat", "ledger_docs")
 
@@ -244,7 +247,25 @@ def unmatched_numbers(t):
 )
 def ledger_only_documents(t):
     docs = _docs(t)
-    return matching.unused_docs(docs, matching.exact_matches(_rows(t), docs)).select("doc_id")
+    return matching.ledger_only_documents(docs, matching.exact_matches(_rows(t), docs)).select("doc_id")
+
+
+@query(
+    "unused_documents",
+    with_tables(
+        (*ITEMS, "statements_flat"),
+        f"""SELECT t.sid AS statement_id, d.doc_id FROM (SELECT statement_id, contact_id, half, CASE WHEN half = 0 THEN statement_id ELSE statement_id || 'b' END AS sid FROM statements_flat, (VALUES (0), (1)) h(half)) t JOIN ledger_docs d ON d.contact_id = t.contact_id
+            WHERE NOT EXISTS (SELECT 1 FROM ({EXACT}) e WHERE e.statement_id = t.statement_id AND e.doc_id = d.doc_id AND e.k % 2 = t.half)""",
+    ),
+)
+def unused_documents(t):
+    """Every statement as two of the same contact, each with half of the rows: what one uses stays free for the other."""
+    docs, matches = _docs(t), matching.exact_matches(_rows(t), _docs(t))
+    second = F.concat("statement_id", F.lit("b"))
+    matches = matches.withColumn("statement_id", F.when(F.col("item_seq") % 2 == 1, second).otherwise(F.col("statement_id")))
+    statements = t.derive("statements_flat").select("tenant_id", "statement_id", "contact_id")
+    both = statements.unionByName(statements.withColumn("statement_id", second))
+    return matching.unused_docs(docs, matches, both).select("statement_id", "doc_id")
 
 
 @query("substring_candidates", with_tables(ITEMS, f"SELECT statement_id, item_seq, number AS matched_number, doc_id, id_length FROM ({PAIRS}) p"))
@@ -494,6 +515,30 @@ def exported_lines(t):
     return comparison.export_lines(rows).select("statement_id", F.col("item_seq").cast("bigint").alias("item_seq"), F.array_join("line", "|").alias("line"))
 
 
+def _csv_sql(text: str) -> str:
+    return f"""CASE WHEN regexp_matches({text}, '[",\r\n]') THEN '"' || replace({text}, '"', '""') || '"' ELSE {text} END"""
+
+
+@query(
+    "exported_files",
+    with_tables(
+        (*ITEMS, "item_status"),
+        f"""SELECT tenant_id, statement_id, 0 AS item_seq, 'Type,' || string_agg({_csv_sql("'Statement ' || label")}, ',' ORDER BY header_pos) || ',' || string_agg({_csv_sql("'Ledger ' || label")}, ',' ORDER BY header_pos) || ',Ledger Link,Status' AS value
+            FROM (SELECT DISTINCT tenant_id, statement_id, header_pos, upper(replace(header, '_', ' ')[1]) || replace(header, '_', ' ')[2:] AS label FROM ({CELLS}) c) h GROUP BY tenant_id, statement_id
+            UNION ALL SELECT c.tenant_id, c.statement_id, c.k, CASE WHEN c.k % 2 = 0 THEN 'INV' ELSE 'PMT' END || ',' || string_agg({_csv_sql("value")}, ',' ORDER BY header_pos) || ',' || string_agg({_csv_sql("ledger_value")}, ',' ORDER BY header_pos) || ',' ||
+            CASE WHEN bool_or(d.doc_id IS NOT NULL) THEN 'Link' ELSE '' END || ',' || CASE WHEN bool_or(s.completed) THEN 'Completed' ELSE 'Incomplete' END
+            FROM ({LEDGER_CELLS}) c LEFT JOIN ledger_docs d ON d.contact_id = c.contact_id AND d.number = trim(c.number_text) AND trim(c.number_text) <> ''
+            LEFT JOIN item_status s ON s.statement_item_id = concat(c.statement_id, '#item-', CAST(c.k AS VARCHAR)) GROUP BY c.tenant_id, c.statement_id, c.k""",
+    ),
+)
+def exported_files(t):
+    """The export, written and read back as files."""
+    folder = f"{checkpoint_folder(t.spark)}/export-{uuid.uuid4().hex}"
+    export.export_reconciliation(_reconciled(t).withColumn("item_type", F.when(F.col("k") % 2 == 0, "invoice").otherwise("payment")), folder)
+    back = t.spark.read.schema("statement_id string, item_seq bigint, value string, tenant_id string").option("header", True).option("escape", "\\").csv(folder)
+    return back.select("tenant_id", "statement_id", "item_seq", "value")
+
+
 # --- classification ----------------------------------------------------------------------------
 
 

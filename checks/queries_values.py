@@ -332,13 +332,13 @@ def raw_cells_by_header(t):
     "dates_from_raw",
     with_tables(
         ("items_flat",),
-        """SELECT k, CAST(CAST(CASE WHEN ck % 4 = 0 OR ck % 4 = 3 THEN try_strptime(date_text, '%d/%m/%Y') WHEN ck % 4 = 1 THEN try_strptime(date_text, '%Y-%m-%d') END AS DATE) AS STRING) AS day_found FROM items_flat""",
+        """SELECT k, CAST(CAST(coalesce(CASE WHEN ck % 4 = 0 OR ck % 4 = 3 THEN try_strptime(date_text, '%d/%m/%Y') WHEN ck % 4 = 1 THEN try_strptime(date_text, '%Y-%m-%d') END,
+           CASE WHEN layout <> 1 THEN NULL WHEN ck % 4 = 0 OR ck % 4 = 3 THEN try_strptime(due_text, '%d/%m/%Y') WHEN ck % 4 = 1 THEN try_strptime(due_text, '%Y-%m-%d') END) AS DATE) AS STRING) AS day_found FROM items_flat""",
     ),
 )
 def dates_from_raw(t):
-    # Only the raw 'date' cell is kept, so that due dates cannot stand in for it.
-    items = t.items().withColumn("raw", F.map_filter("raw", lambda key, _: key == "date"))
-    return values.pick_date_from_raw(items, "date", "found", None).select("k", iso("found").alias("day_found"))
+    # A due date, where a layout has one, stands in for a date that cannot be read.
+    return values.pick_date_from_raw(t.items(), "date", "found", None).select("k", iso("found").alias("day_found"))
 
 
 @query(

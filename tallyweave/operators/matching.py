@@ -79,9 +79,25 @@ def unmatched_numbers(items: DataFrame, matches: DataFrame) -> DataFrame:
     return keyed.join(matches.select(*STATEMENT_KEYS, "row_key").distinct(), [*STATEMENT_KEYS, "row_key"], "left_anti")
 
 
-def unused_docs(docs: DataFrame, matches: DataFrame) -> DataFrame:
-    """Documents of a contact used by none of its statements, by id or by number."""
-    return ledger_only_documents(docs, matches)
+def unused_docs(docs: DataFrame, matches: DataFrame, statements: DataFrame) -> DataFrame:
+    """The documents still free for each of the ``statements``: the numbered ones of its contact that its own matches use neither by id nor by number.
+
+    One row per statement and document. Another statement of the contact may have used the document; see
+    ``ledger_only_documents`` for those that none has.
+    """
+    numbered = docs.withColumn("number", stripped("number")).where((F.col("number") != "") & F.col("contact_id").isNotNull())
+    scope = statements.where(F.col("contact_id").isNotNull()).select(*STATEMENT_KEYS, "contact_id").distinct()
+    offered = scope.join(numbered, CONTACT_KEYS).withColumn("invoice_id", F.when(F.col("doc_kind") != "credit_note", F.col("doc_id")))
+    used_ids, used_numbers = _used(matches)
+    free = offered.join(used_numbers, [*STATEMENT_KEYS, "number"], "left_anti")
+    return free.join(used_ids, [*STATEMENT_KEYS, "invoice_id"], "left_anti").drop("invoice_id")
+
+
+def _used(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Invoice ids and numbers that each statement's matches use. Credit notes carry no invoice id, so they are used by number only."""
+    invoices = matches.where((F.col("doc_kind") == "invoice") & F.col("doc_id").isNotNull())
+    ids = invoices.select(*STATEMENT_KEYS, F.col("doc_id").alias("invoice_id")).distinct()
+    return ids, matches.select(*STATEMENT_KEYS, F.col("matched_number").alias("number")).distinct()
 
 
 def ledger_only_documents(docs: DataFrame, matches: DataFrame) -> DataFrame:
@@ -156,13 +172,10 @@ def id_candidates(rows: DataFrame, docs: DataFrame, exact: DataFrame) -> DataFra
 
     wanted = rows.select(*STATEMENT_KEYS, "contact_id", "row_id").distinct()
     pairs = id_pairs.join(numbered, [*CONTACT_KEYS, "number_id"]).join(wanted, [*CONTACT_KEYS, "row_id"])
-    used_ids = exact.where((F.col("doc_kind") == "invoice") & F.col("doc_id").isNotNull()).select(*STATEMENT_KEYS, "doc_id").distinct()
-    used_numbers = exact.select(*STATEMENT_KEYS, F.col("matched_number").alias("number")).distinct()
+    used_ids, used_numbers = _used(exact)
     free = pairs.join(used_numbers, [*STATEMENT_KEYS, "number"], "left_anti")
-    # Credit notes carry no invoice id, so they are used by number only.
-    free = free.withColumn("invoice_id", F.when(F.col("doc_kind") != "credit_note", F.col("doc_id"))).join(
-        used_ids.withColumnRenamed("doc_id", "invoice_id"), [*STATEMENT_KEYS, "invoice_id"], "left_anti"
-    )
+    free = free.withColumn("invoice_id", F.when(F.col("doc_kind") != "credit_note", F.col("doc_id")))
+    free = free.join(used_ids, [*STATEMENT_KEYS, "invoice_id"], "left_anti")
     return free.select(
         *STATEMENT_KEYS,
         "contact_id",

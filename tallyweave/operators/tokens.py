@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tallyweave.functions.text import stripped
 from tallyweave.operators.values import price_purchases, tier_table
 from tallyweave.schemas import STATEMENT_KEYS
+from tallyweave.session import checkpoint_folder
+
+# Entries, about, that a task orders for running balances.
+ROWS_PER_SLICE = 250_000
 
 # Entry types and sources of the ledger.
 RESERVE, RELEASE, CONSUME, ADJUSTMENT = "RESERVE", "RELEASE", "CONSUME", "ADJUSTMENT"
@@ -59,14 +63,18 @@ def tokens_credited_by_source(ledger: DataFrame) -> DataFrame:
     )
 
 
-def ledger_running_balance(ledger: DataFrame, slice_unit: str = "day") -> DataFrame:
+def ledger_running_balance(ledger: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Add ``running_balance`` after each entry and ``overdrawn`` where an entry takes it below zero.
 
-    A running total over a whole tenant would order all of its entries in one task. Instead the
-    window runs inside a time slice, and each slice starts from the sum of the slices before it:
-    one row per tenant and slice.
+    A running total over a whole tenant would order all of its entries in one task. Instead the ledger is cut in ranges of
+    (tenant, time, entry) of about ``rows_per_slice`` rows: the window runs inside a slice, which starts from the
+    sums of the tenant's slices before it, one row per tenant and slice. A tenant whose entries all
+    have one time is many slices too.
     """
-    sliced = ledger.withColumn("slice", F.date_trunc(slice_unit, "created_at"))
+    checkpoint_folder(ledger.sparkSession)
+    slices = max(1, -(-ledger.count() // rows_per_slice))
+    # Written once: the number of a slice is that of its task.
+    sliced = ledger.repartitionByRange(slices, "tenant_id", "created_at", "entry_id").withColumn("slice", F.spark_partition_id()).checkpoint()
     sums = sliced.groupBy("tenant_id", "slice").agg(F.sum("token_delta").alias("moved"))
     before = Window.partitionBy("tenant_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     opening = sums.withColumn("opening", F.coalesce(F.sum("moved").over(before), F.lit(0))).drop("moved")

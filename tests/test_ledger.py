@@ -47,6 +47,45 @@ def test_running_balance_over_slices(spark):
     assert (balance.token_balance, balance.last_entry_id) == (16, "e6")
 
 
+def test_running_balance_of_a_tenant_on_one_day(spark):
+    start = datetime(2024, 1, 1)
+    moves = [(n * 7919 % 41) - 19 for n in range(400)]
+    rows = [("H", f"e{n:04}", "ADJUSTMENT", m, start, "s") for n, m in enumerate(moves)] + [("T", f"x{n}", "ADJUSTMENT", 1, start, "s") for n in range(5)]
+    ledger = spark.createDataFrame(rows, LEDGER).repartition(5)
+    want, total = {}, 0
+    for n, m in enumerate(moves):
+        total += m
+        want[f"e{n:04}"] = (total, total < 0 and m < 0)
+    for size in (10, 10**6):
+        out = {r.entry_id: (r.running_balance, r.overdrawn) for r in tokens.ledger_running_balance(ledger, rows_per_slice=size).collect()}
+        assert {k: v for k, v in out.items() if k[0] == "e"} == want and [out[f"x{n}"][0] for n in range(5)] == [1, 2, 3, 4, 5]
+    slices = ledger.repartitionByRange(41, "tenant_id", "created_at", "entry_id").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in slices) < 100
+
+
+def test_pages_of_an_indexed_list(spark):
+    rows = [(n, (n * 37) % 11 if n % 5 else None) for n in range(237)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(4)
+    order = [F.col("v").desc_nulls_last(), F.col("k")]
+    ordered = [k for k, v in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))]
+    index = listing.page_index(df, order, rows_per_range=30)
+    assert index.total == 237 and len(index.before) > 5
+    for page in (1, 2, 4, 9, 10, 99):
+        bounds = listing.page_bounds(237, page, 25)
+        assert [r.k for r in listing.read_page(index, page, 25).collect()] == ordered[bounds.start_index : bounds.end_index]
+    places = {r.k: r.place for r in listing.numbered(df, order).collect()}
+    assert places == {k: n for n, k in enumerate(ordered, 1)}
+    empty = listing.page_index(df.limit(0), order)
+    assert empty.total == 0 and listing.read_page(empty, 3, 25).count() == 0 and listing.numbered(df.limit(0), order).count() == 0
+
+
+def test_deep_pages_go_over_the_index(spark, monkeypatch):
+    monkeypatch.setattr(listing, "TOP_ROWS", 50)
+    df = spark.range(300).withColumnRenamed("id", "k")
+    assert [r.k for r in listing.paginate(df, ["k"], 12, 25).collect()] == list(range(275, 300))
+    assert [r.k for r in listing.paginate(df, ["k"], 2, 25).collect()] == list(range(25, 50))
+
+
 def test_consuming_is_no_last_mutation(spark):
     out = tokens.token_balances(entries(spark).where("entry_id < 'e6'")).first()
     assert (out.token_balance, out.last_entry_id) == (17, "e4")
