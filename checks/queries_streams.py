@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -12,7 +13,7 @@ from checks.derive import Tables, with_tables
 from checks.queries_rows import FLAGGED
 from checks.registry import money, money_sql, query
 from tallyweave.session import checkpoint_folder
-from tallyweave.sources import ledger_files, snapshots
+from tallyweave.sources import byte_ranges, ledger_files, pdf_landing, snapshots
 from tallyweave.streaming import bundles, flows, state
 
 
@@ -196,6 +197,56 @@ def streamed_bundles(t):
     return kept.unionByName(found.select("contact_id", F.explode("payments").alias("p")).select("contact_id", F.lit("payment").alias("kind"), F.col("p.payment_id").alias("record_id")))
 
 
+def _files(rows: DataFrame) -> int:
+    """Write files (path, content) in tasks; how many there are."""
+
+    def write(batches):
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                byte_ranges.write_bytes(path, content)
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    return rows.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0]
+
+
+@query(
+    "ledger_file_records",
+    with_tables(
+        ("ledger_docs",),
+        """SELECT tenant_id, doc_id, number, reference, CAST(row_number() OVER (PARTITION BY tenant_id ORDER BY load_seq) - 1 AS BIGINT) AS load_seq FROM ledger_docs""",
+    ),
+)
+def ledger_file_records(t):
+    """Every tenant's documents in a JSON file, a list or a mapping, read back in blocks of 4 KB."""
+    folder = _scratch(t)
+    record = F.to_json(F.struct("doc_id", "number", F.concat(F.lit('"{'), "reference").alias("note"), F.struct("reference").alias("more")))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("load_seq", "doc_id", record.alias("j")))), lambda r: F.struct(r["doc_id"].alias("id"), r["j"].alias("j")))
+    files = t.derive("ledger_docs").groupBy("tenant_id").agg(lines.alias("lines"))
+    listed = F.concat(F.lit("[\n"), F.array_join(F.transform("lines", lambda r: r["j"]), ",\n"), F.lit("\n]"))
+    mapped = F.concat(F.lit("{"), F.array_join(F.transform("lines", lambda r: F.concat(F.lit('"'), r["id"], F.lit('": '), r["j"])), ", "), F.lit("}"))
+    content = F.when(F.substring("tenant_id", 2, 5).cast("int") % 2 == 0, listed).otherwise(mapped)
+    _files(files.select(F.concat(F.lit(f"{folder}/"), "tenant_id", F.lit("/data/invoices.json")).alias("path"), content.alias("content")))
+    back = ledger_files.read_ledger(t.spark, folder, "invoices", "doc_id string, number string, note string", block_bytes=4096)
+    return back.select("tenant_id", "doc_id", "number", F.substring("note", 3, 100).alias("reference"), "load_seq")
+
+
+@query(
+    "landed_folder",
+    """SELECT concat('f', page_id, CASE WHEN page_id % 7 = 0 THEN '.txt' ELSE '.pdf' END) AS filename, CAST(octet_length(encode(coalesce(html, ''))) + CASE WHEN page_id % 5 = 0 THEN 0 ELSE 9 END + CASE page_id % 3 WHEN 1 THEN 27 WHEN 2 THEN 10 ELSE 0 END AS BIGINT) AS length,
+       CASE WHEN page_id % 7 = 0 THEN 'suffix' WHEN page_id % 5 = 0 AND NOT starts_with(coalesce(html, ''), '%PDF-') THEN 'content' END AS reject_reason, CASE page_id % 3 WHEN 1 THEN 2 WHEN 2 THEN 12 END AS page_count FROM pages""",
+)
+def landed_folder(t):
+    """Every page as a file in a landing folder, of which the heads are read, then the contents in pieces."""
+    folder = _scratch(t)
+    start = F.when(F.col("page_id") % 5 == 0, "").otherwise("%PDF-1.4 ")
+    end = F.when(F.col("page_id") % 3 == 1, " /Type /Page /Type /Page \n\n").when(F.col("page_id") % 3 == 2, " /Count 12").otherwise("")
+    name = F.concat(F.lit("f"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 7 == 0, ".txt").otherwise(".pdf"))
+    content = F.concat(start, F.coalesce("html", F.lit("")), end)
+    _files(t.base("pages").select(F.concat(F.lit(f"{folder}/"), (F.col("page_id") % 16).cast("string"), F.lit("/"), name).alias("path"), content.alias("content")))
+    files = pdf_landing.count_pdf_pages(pdf_landing.check_pdfs(pdf_landing.scan_pdf_heads(t.spark, folder)), piece=4096)
+    return files.select("filename", "length", "reject_reason", "page_count")
+
+
 @query(
     "ledger_by_contact",
     with_tables(

@@ -7,26 +7,21 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators.ledger import bundle_by_contact
 from tallyweave.schemas import CONTACT_KEYS
+from tallyweave.sources.json_ranges import BLOCK_BYTES, record_texts
 
 # Contacts are spread over this many folders, whatever their number.
 CONTACT_BUCKETS = 256
 
 
-def read_ledger(spark: SparkSession, folder: str, kind: str, record: str) -> DataFrame:
+def read_ledger(spark: SparkSession, folder: str, kind: str, record: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Records of one kind from ``<folder>/<tenant>/data/<kind>.json`` of all tenants.
 
     A file holds a list of records or a mapping of records by id; ``record`` is the record's schema
-    as DDL. Files are read whole, as each is one JSON value. ``load_seq`` is the place in the file.
+    as DDL. A large file is read by several tasks, cut at record borders. ``load_seq`` is the record's place in the file.
     """
-    files = spark.read.text(f"{folder}/*/data/{kind}.json", wholetext=True).select(
-        F.regexp_extract(F.input_file_name(), r"([^/]+)/data/[^/]+$", 1).alias("tenant_id"), F.trim("value").alias("text")
-    )
-    listed = F.from_json("text", f"array<struct<{_struct(record)}>>")
-    mapped = F.map_values(F.from_json("text", f"map<string,struct<{_struct(record)}>>"))
-    records = F.when(F.col("text").startswith("["), listed).otherwise(mapped)
-    return files.select("tenant_id", F.posexplode(records).alias("load_seq", "r")).select(
-        "tenant_id", "r.*", F.col("load_seq").cast("bigint").alias("load_seq")
-    )
+    texts = record_texts(spark, f"{folder}/*/data/{kind}.json", block_bytes)
+    tenant = F.regexp_extract("path", r"([^/]+)/data/[^/]+$", 1).alias("tenant_id")
+    return texts.select(tenant, F.from_json("text", f"struct<{_struct(record)}>").alias("r"), F.col("place").alias("load_seq")).select("tenant_id", "r.*", "load_seq")
 
 
 def _struct(ddl: str) -> str:

@@ -1,12 +1,14 @@
 """Files in and out."""
 
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.operators import comparison
-from tallyweave.sources import export, ledger_files, pdf_landing, snapshots, statement_files
+from tallyweave.sources import export, json_ranges, ledger_files, pdf_landing, snapshots, statement_files
 
 
 def test_ledger_files_hold_lists_or_mappings(spark, tmp_path):
@@ -63,6 +65,19 @@ def test_pdf_landing(spark, tmp_path):
     assert out == {"a.PDF": (None, 2), "b.pdf": (None, 12), "c.pdf": (None, None), "d.pdf": ("content", None), "e.txt": ("suffix", None)}
 
 
+def test_landing_is_read_in_pieces(spark, tmp_path):
+    rng = random.Random(2)
+    for n in range(40):
+        parts = [rng.choice([b"/Type /Page ", b"/Type\n/Pages ", b"/Type/Page\n", b"/Count  7 ", b"/Count 31 ", b"x" * rng.randint(0, 60), b"/Count 99999999999 "]) for _ in range(rng.randint(0, 12))]
+        (tmp_path / f"{n}.pdf").write_bytes(rng.choice([b"%PDF-1.4 ", b"%PDF-1.4 ", b"no"]) + b"".join(parts))
+    whole = pdf_landing.estimate_pdf_pages(pdf_landing.check_pdfs(pdf_landing.scan_pdf_landing(spark, str(tmp_path))))
+    want = [(r.filename, r.length, r.reject_reason, r.page_count, r.file_error) for r in whole.collect()]
+    heads = pdf_landing.check_pdfs(pdf_landing.scan_pdf_heads(spark, str(tmp_path)))
+    for piece in (64, 1 << 20):
+        out = pdf_landing.count_pdf_pages(heads.drop("content"), piece).collect()
+        assert sorted(((r.filename, r.length, r.reject_reason, r.page_count, r.file_error) for r in out), key=str) == sorted(want, key=str)
+
+
 def test_snapshot_and_restore(spark, tmp_path):
     headers = spark.createDataFrame([("T", "S1", "C", "Name", None, "statement"), ("T", "S2", " ", "Name", None, None), ("U", "S3", "C", "Name", None, None)], "tenant_id string, statement_id string, contact_id string, contact_name string, uploaded_at timestamp, record_type string")
     wanted = spark.createDataFrame([("T",)], "tenant_id string")
@@ -73,3 +88,47 @@ def test_snapshot_and_restore(spark, tmp_path):
     out = {r.old_statement_id: (r.restored, r.skip_reason) for r in plan.collect()}
     assert out == {"S1": (True, None), "S2": (False, "missing-file-or-contact")}
     assert snapshots.restored_headers(plan, "2024-01-01").count() == 1
+
+
+NASTY = ['"', "\\", "\\\\", "{", "}", "[", "]", ",", "é", "日本", " ", "\n", "a", '\\"', "}{"]
+
+
+def nasty_record(rng, depth=0):
+    text = lambda: "".join(rng.choice(NASTY) for _ in range(rng.randint(0, 6)))
+    out = {"id": text(), "n": rng.randint(0, 9)}
+    if depth < 2 and rng.random() < 0.4:
+        out[text()] = [nasty_record(rng, depth + 1) for _ in range(rng.randint(0, 2))]
+    if depth < 2 and rng.random() < 0.3:
+        out["in"] = nasty_record(rng, depth + 1)
+    return out
+
+
+def test_json_files_are_cut_at_record_borders(spark, tmp_path):
+    rng, want = random.Random(6), {}
+    for n in range(14):
+        records = [nasty_record(rng) for _ in range(rng.randint(0, 12))]
+        value = records if n % 2 else {f"k{i}" + rng.choice(NASTY): r for i, r in enumerate(records)}
+        (tmp_path / f"f{n}.json").write_text(json.dumps(value, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1])), encoding="utf-8")
+        want |= {(f"f{n}", i): r for i, r in enumerate(records)}
+    (tmp_path / "empty.json").write_text("")
+    (tmp_path / "mixed.json").write_text(' [1, null, {"id": "x"}, "a{", [{"id": "no"}], {"id": "y"}] ')
+    want |= {("mixed", 0): {"id": "x"}, ("mixed", 1): {"id": "y"}}
+    for size in (1, 2, 7, 64, 1 << 20):
+        rows = json_ranges.record_texts(spark, str(tmp_path / "*.json"), size).collect()
+        assert {(r.path.rsplit("/", 1)[-1][:-5], r.place): json.loads(r.text) for r in rows} == want and len(rows) == len(want)
+    (tmp_path / "broken.json").write_text('[{"id": 1')
+    with pytest.raises(Exception, match="ends within a record"):
+        json_ranges.record_texts(spark, str(tmp_path / "broken.json"), 4).collect()
+
+
+def test_states_of_blocks():
+    rng = random.Random(7)
+    for _ in range(300):
+        text = json.dumps([nasty_record(rng) for _ in range(3)]).encode()
+        data = np.frombuffer(text, np.uint8)
+        place, depth, ends = json_ranges.structure(data, json_ranges.OUTSIDE)
+        cut = rng.randint(0, len(data))
+        a, b = json_ranges.structure(data[:cut], json_ranges.OUTSIDE), None
+        b = json_ranges.structure(data[cut:], a[2])
+        assert ends == b[2] == json_ranges.OUTSIDE and np.r_[a[0], b[0] + cut].tolist() == place.tolist()
+        assert np.r_[a[1], b[1] + (a[1][-1] if len(a[1]) else 0)].tolist() == depth.tolist()
