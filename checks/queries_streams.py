@@ -140,6 +140,18 @@ def streamed_error_alerts(t):
     return _finished(t, flows.error_alert_stream(logs)).select(F.unix_seconds("window_start").alias("window_start"), "errors")
 
 
+@query(
+    "streamed_silent_syncs",
+    """SELECT tenant_id, heartbeat_ms FROM (SELECT concat('T', CAST(user_id AS VARCHAR)) AS tenant_id, epoch_us(ts) // 1000 AS heartbeat_ms, bool_or(event_type <> 'signup') AS running,
+         lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000) AS following FROM events GROUP BY user_id, epoch_us(ts) // 1000) q
+       WHERE running AND (following - heartbeat_ms > 7200000 OR following IS NULL AND heartbeat_ms + 7200000 <= (SELECT epoch_us(max(ts)) // 1000 - 60000 FROM events))""",
+)
+def streamed_silent_syncs(t):
+    """Events as heartbeats; a tenant is silent after two hours without one."""
+    beats = _stream(t, "events").select(F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("tenant_id"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") != "signup").alias("running"))
+    return _finished(t, state.silent_sync_stream(beats, 7_200_000))
+
+
 @query(
     "streamed_progress",
     "SELECT user_id AS tenant_id, event_type AS resource, arg_max(CAST(floor(value) AS BIGINT), ts) AS records_fetched FROM events GROUP BY user_id, event_type",

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -129,3 +130,54 @@ def stale_sync_stream(heartbeats: DataFrame, stale_after_ms: int) -> DataFrame:
         outputMode="Update",
         timeMode="ProcessingTime",
     )
+
+
+def silence_processor(stale_after_ms: int) -> StatefulProcessor:
+    """Reports every heartbeat of a running sync after which none came for the given time, by the heartbeats' own clock."""
+
+    class Silence(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.last = handle.getValueState("last", "at_ms long, running boolean")
+
+        def _row(self, key, at_ms: int) -> pd.DataFrame:
+            return pd.DataFrame({"tenant_id": [key[0]], "heartbeat_ms": [at_ms]})
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            for piece in rows:
+                for at_ms, running in sorted(zip(piece["at_ms"].tolist(), piece["running"].tolist(), strict=True)):
+                    before = self.last.get() if self.last.exists() else None
+                    if before is not None and at_ms <= before[0]:
+                        continue  # older than what is known
+                    if before is not None and before[1]:
+                        if at_ms - before[0] > stale_after_ms:
+                            yield self._row(key, before[0])
+                        self.handle.deleteTimer(before[0] + stale_after_ms)
+                    self.last.update((int(at_ms), bool(running)))
+                    if running:
+                        self.handle.registerTimer(int(at_ms) + stale_after_ms)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            at_ms, running = self.last.get()
+            if running:
+                yield self._row(key, at_ms)
+                self.last.update((at_ms, False))  # said once
+
+        def close(self) -> None:
+            pass
+
+    return Silence()
+
+
+def silent_sync_stream(heartbeats: DataFrame, stale_after_ms: int, late: str = "1 minute") -> DataFrame:
+    """Heartbeats (tenant_id, at, running) of running syncs after which none came for ``stale_after_ms``, by event time.
+
+    The clock is the watermark, ``late`` behind the latest heartbeat, so a recorded stream gives the same rows whenever it
+    is replayed. A heartbeat further behind is lost to it. Rows of one tenant in one batch are expected in
+    pieces that follow each other in time.
+    """
+    heartbeats.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    timed = heartbeats.withWatermark("at", late).withColumn("at_ms", F.unix_millis("at"))
+    return timed.groupBy("tenant_id").transformWithStateInPandas(
+        statefulProcessor=silence_processor(stale_after_ms), outputStructType="tenant_id string, heartbeat_ms long", outputMode="Append", timeMode="EventTime"
+    )

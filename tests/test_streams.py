@@ -2,7 +2,7 @@
 
 import random
 import time
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,3 +199,21 @@ def test_unique_events_over_a_year_without_state(spark, tmp_path):
     rows = spark.read.parquet(f"{out}/events").collect()
     assert {r.event_id: r.received_at for r in rows if r.event_id} == want and len(rows) == len(want) + 6
     assert set(sizes) == {0}
+
+
+def test_silence_by_event_time_across_batches(spark, tmp_path):
+    kind, start = "tenant_id string, at timestamp, running boolean", datetime(2024, 1, 1)
+    minute = lambda n: start + timedelta(minutes=n)
+    batches = [
+        [("a", minute(0), True), ("b", minute(1), True), ("c", minute(2), True), ("a", minute(5), True)],
+        [("b", minute(4), False), ("a", minute(40), True), ("d", minute(41), True)],  # a was silent for 35 minutes; b had ended
+        [("d", minute(55), True), ("e", minute(90), False)],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
+        stream = spark.readStream.schema(kind).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        writer = state.silent_sync_stream(stream, 20 * 60_000, late="10 minutes").writeStream.option("checkpointLocation", str(tmp_path / "s"))
+        writer.trigger(availableNow=True).foreachBatch(flows.append_batch(str(tmp_path / "out"))).start().awaitTermination()
+    out = spark.read.schema("tenant_id string, heartbeat_ms bigint, batch int").parquet(str(tmp_path / "out")).collect()
+    found = sorted((r.tenant_id, (r.heartbeat_ms - int(datetime(2024, 1, 1, tzinfo=timezone.utc).timestamp() * 1000)) // 60_000) for r in out)
+    assert found == [("a", 5), ("a", 40), ("c", 2), ("d", 55)]
