@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.derive import with_tables
@@ -79,9 +80,30 @@ def id_summary(t):
     return ledger.id_summary(docs)
 
 
-@query("ordered_ledger", with_tables(("ledger_docs",), "SELECT doc_id, number FROM ledger_docs ORDER BY tenant_id, lower(number)"))
+def _ordered_sql(kind: str, table: str, key: str, order: str) -> str:
+    return f"SELECT '{kind}' AS kind, {key} AS id, CAST(row_number() OVER (PARTITION BY tenant_id ORDER BY {order}) AS BIGINT) AS place FROM {table}"
+
+
+@query(
+    "ordered_ledger",
+    with_tables(
+        ("ledger_docs", "payments", "contacts"),
+        " UNION ALL ".join([
+            _ordered_sql("invoices", "ledger_docs", "doc_id", "lower(number)"), _ordered_sql("credit_notes", "ledger_docs", "doc_id", "doc_id"),
+            _ordered_sql("payments", "payments", "payment_id", "payment_id"), _ordered_sql("contacts", "contacts", "contact_id", "lower(name || contact_id)"),
+        ]),
+    ),
+)
 def ordered_ledger(t):
-    return ledger.order_ledger(t.derive("ledger_docs"), "invoices").select("doc_id", "number")
+    """Every kind in its order, as places within the tenant."""
+    docs, contacts = t.derive("ledger_docs"), t.derive("contacts").withColumn("name", F.concat("name", "contact_id"))
+    out = None
+    for kind, rows, key in (("invoices", docs, "doc_id"), ("credit_notes", docs, "doc_id"), ("payments", t.derive("payments"), "payment_id"), ("contacts", contacts, "contact_id")):
+        ordered = ledger.order_ledger(rows, kind).select("tenant_id", F.col(key).alias("id"), F.monotonically_increasing_id().alias("at"))
+        place = F.row_number().over(Window.partitionBy("tenant_id").orderBy("at")).cast("bigint")
+        ordered = ordered.select(F.lit(kind).alias("kind"), "id", place.alias("place"))
+        out = ordered if out is None else out.unionByName(ordered)
+    return out
 
 
 @query(

@@ -186,14 +186,17 @@ def dates_loose_template(t):
 
 @query(
     "dates_epoch",
-    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN CAST(floor(epoch(ts)) AS BIGINT) WHEN 1 THEN CAST(floor(epoch(ts)) AS BIGINT) ELSE NULL END AS seconds FROM events""",
+    """SELECT event_id, CASE WHEN event_id % 5 <> 2 THEN CAST(floor(epoch(ts)) AS BIGINT) END AS seconds FROM events""",
 )
 def dates_epoch(t):
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    # Seconds, milliseconds, no time at all, ISO text in UTC, and text without a zone.
     raw = (
-        F.when(F.col("event_id") % 3 == 0, F.floor(micros / 1_000_000).cast("string"))
-        .when(F.col("event_id") % 3 == 1, F.floor(micros / 1000).cast("string"))
-        .otherwise("not a time")
+        F.when(F.col("event_id") % 5 == 0, F.floor(micros / 1_000_000).cast("string"))
+        .when(F.col("event_id") % 5 == 1, F.floor(micros / 1000).cast("string"))
+        .when(F.col("event_id") % 5 == 2, "not a time")
+        .when(F.col("event_id") % 5 == 3, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .otherwise(F.date_format("ts", " yyyy-MM-dd HH:mm:ss "))
     )
     out = values.normalise_dates(t.base("events").withColumn("raw", raw), "raw", rule="epoch")
     return out.select("event_id", F.unix_seconds("raw_date").alias("seconds"))

@@ -16,7 +16,8 @@ SOME = (
     "amounts_convert", "amounts_decimal", "dates_by_template", "keys_of_documents", "merged_chunks", "monetary_cells",
     "statement_separators", "displayed_headers", "statement_cells", "flagged_items", "substring_candidates", "compared_cells",
     "reconciliation_summary", "full_reconciliation", "resolved_matches", "guessed_item_types", "token_similarities", "types_by_contained_words", "upserted_ledger", "running_balances",
-    "subscription_credits", "tenant_progress", "tenant_flags", "swept_tenants", "streamed_ledger",
+    "subscription_credits", "tenant_progress", "tenant_flags", "swept_tenants", "streamed_ledger", "exported_files", "unused_documents",
+    "landed_folder", "ledger_file_records", "statement_last_page", "ordered_ledger", "dates_epoch", "streamed_token_ledger",
 )
 
 
