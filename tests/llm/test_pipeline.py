@@ -6,7 +6,8 @@ from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
-from test_brute_force import ALNUM, FOLDER, SPACED, lowered, simhash
+from test_brute_force import ALNUM, FOLDER, SPACED, lowered
+from test_resemblance import smallest
 
 import corpus_pipeline
 from tallyweave.llm import queries
@@ -23,14 +24,7 @@ def test_stages(spark, tmp_path):
     told, unique, clean, mixed, tokens = results
     assert len(told) >= 0.99 * sum(bool(re.search(r"[^\W\d_]", r.text)) for r in given) and set(told) <= set(given)
 
-    prints = {r.doc_id: simhash(r.text) for r in told}
-    root = {i: i for i in prints}
-    for a in sorted(prints):
-        for b in sorted(prints):
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= 2 and root[a] != root[b]:
-                low, high = sorted((root[a], root[b]))
-                root = {k: low if v == high else v for k, v in root.items()}
-    assert {r.doc_id for r in unique} == set(root.values()) and set(unique) <= set(told)
+    assert {r.doc_id for r in unique} == smallest({r.doc_id: r.text for r in told}) and set(unique) <= set(told)
 
     windows = set()
     for item in pq.read_table(f"{FOLDER}/benchmark.parquet").to_pylist():
