@@ -171,28 +171,78 @@ class Items:
         return place, length, self.row[head], match
 
 
+class Found:
+    """What the hits in a shard come to: the words covered and, per row, the items and the longest match. No hit is kept by itself."""
+
+    def __init__(self, shard: Shard, rows: int):
+        self.shard, self.edges = shard, np.zeros(len(shard.ids) + 1, np.int64)
+        self.items: list[set[str]] = [set() for _ in range(rows)]
+        self.longest: list[tuple[int, int | None, str | None]] = [(0, None, None)] * rows
+
+    def add(self, items: Items) -> None:
+        place, length, item, match = items.hits(self.shard)
+        if not len(place):
+            return
+        self.edges += np.bincount(place, minlength=len(self.edges)) - np.bincount(place + length, minlength=len(self.edges))
+        row = self.shard.row[place]
+        for r, i in np.unique(np.c_[row, item], axis=0).tolist():
+            if items.item_ids[i] is not None:
+                self.items[r].add(items.item_ids[i])
+        # Of each row the longest match, of equally long ones the first.
+        order = np.lexsort((place, -match, row))
+        for n in order[textkit.runs(row[order])].tolist():
+            r = int(row[n])
+            size, at = int(match[n]), int(place[n] - self.shard.begin[r])
+            known = self.longest[r]
+            if size > known[0] or size == known[0] and at < known[1]:
+                self.longest[r] = (size, at, items.item_ids[item[n]])
+
+    def spans(self) -> list[list[dict[str, int]]]:
+        """Per row the stretches of covered words, from its own first word on."""
+        out: list[list[dict[str, int]]] = [[] for _ in self.items]
+        inside = np.r_[False, np.cumsum(self.edges) > 0]
+        starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+        rows = self.shard.row[starts]
+        for r, start, end in zip(rows.tolist(), (starts - self.shard.begin[rows]).tolist(), (ends - self.shard.begin[rows]).tolist(), strict=True):
+            out[r].append({"start": start, "end": end})
+        return out
+
+    def hit(self) -> np.ndarray:
+        """Whether each row has a hit."""
+        out = np.zeros(len(self.items), bool)
+        out[self.shard.row[np.flatnonzero(self.edges[:-1] > 0)]] = True
+        return out
+
+
 def _shards(folder: str, window: int, shard_bytes: int, row_of):
-    """Search the shards of each batch; ``row_of`` makes what is returned of a shard's rows and the hits in them."""
+    """Search the shards of each batch; ``row_of`` makes what is returned of a shard's rows and what was found in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: list[Items] | None = None
         for batch in batches:
             data, offsets = textkit.bytes_of(batch.column("text"))
             data = textkit.LOWER[data]
-            for first, last in textkit.groups(offsets, shard_bytes):
+            if blocks is None:
+                source = _blocks(folder, window)
+                blocks = [b for _, b in zip(range(2), source, strict=False)]
+                source.close()
+            # One block of items is kept. A larger benchmark is read anew for each batch, whose shards then are all held.
+            ranges, held = list(textkit.groups(offsets, shard_bytes)), []
+            for first, last in ranges:
                 own = offsets[first : last + 1]
-                shard = Shard(data[own[0] : own[-1]], own - own[0])
-                if blocks is None:
-                    source = _blocks(folder, window)
-                    blocks = [b for _, b in zip(range(2), source, strict=False)]
-                    source.close()
-                # One block is kept; a larger benchmark is read anew, block by block, for each shard.
-                found: list[tuple] = []
-                for items in blocks if len(blocks) < 2 else _blocks(folder, window):
-                    place, length, item, match = items.hits(shard)
-                    names = np.array(items.item_ids, object)
-                    found += zip(shard.row[place].tolist(), place.tolist(), length.tolist(), names[item].tolist(), match.tolist(), strict=True)
-                yield row_of(batch.slice(first, last - first), shard, found)
+                found = Found(Shard(data[own[0] : own[-1]], own - own[0]), last - first)
+                if len(blocks) > 1:
+                    held.append(found)
+                    continue
+                for items in blocks:
+                    found.add(items)
+                yield row_of(batch.slice(first, last - first), found)
+            if held:
+                for items in _blocks(folder, window):
+                    for found in held:
+                        found.add(items)
+                for (first, last), found in zip(ranges, held, strict=True):
+                    yield row_of(batch.slice(first, last - first), found)
             textkit.trim()
 
     return run
@@ -203,29 +253,16 @@ def _blocks(folder: str, window: int) -> Iterator[Items]:
         yield Items(batch.column("item_id").to_pylist(), batch.column("text"), window)
 
 
-def _rows(batch: pa.RecordBatch, shard: Shard, found: list[tuple]) -> pa.RecordBatch:
-    n = batch.num_rows
-    spans, items, longest = [[] for _ in range(n)], [set() for _ in range(n)], [(0, 0, None)] * n
-    for row, place, length, item, match in sorted(found, key=lambda x: x[:2]):
-        at = place - int(shard.begin[row])
-        own = spans[row]
-        if own and own[-1]["end"] >= at:
-            own[-1]["end"] = max(own[-1]["end"], at + length)
-        else:
-            own.append({"start": at, "end": at + length})
-        if item is not None:
-            items[row].add(item)
-        if match > longest[row][0]:
-            longest[row] = (match, at, item)
+def _rows(batch: pa.RecordBatch, found: Found) -> pa.RecordBatch:
     return pa.record_batch(
         {
             "doc_id": batch.column("doc_id"),
-            "n_words": pa.array(shard.words.counts, pa.int64()),
-            "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-            "items": pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-            "longest": pa.array([x[0] for x in longest], pa.int64()),
-            "longest_at": pa.array([x[1] if x[0] else None for x in longest], pa.int64()),
-            "longest_item": pa.array([x[2] for x in longest], pa.string()),
+            "n_words": pa.array(found.shard.words.counts, pa.int64()),
+            "spans": pa.array(found.spans(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+            "items": pa.array([sorted(x) for x in found.items], pa.list_(pa.string())),
+            "longest": pa.array([x[0] for x in found.longest], pa.int64()),
+            "longest_at": pa.array([x[1] for x in found.longest], pa.int64()),
+            "longest_item": pa.array([x[2] for x in found.longest], pa.string()),
         }
     )
 
@@ -258,10 +295,8 @@ def _stored(benchmark: DataFrame) -> str:
     return folder
 
 
-def _clean(batch: pa.RecordBatch, shard: Shard, found: list[tuple]) -> pa.RecordBatch:
-    keep = np.ones(batch.num_rows, bool)
-    keep[[x[0] for x in found]] = False
-    return batch.select(["_row"]).filter(pa.array(keep))
+def _clean(batch: pa.RecordBatch, found: Found) -> pa.RecordBatch:
+    return batch.select(["_row"]).filter(pa.array(~found.hit()))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
