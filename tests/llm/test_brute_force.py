@@ -254,7 +254,7 @@ def test_sql_gives_the_same_rows(got):
     import duckdb
 
     connection = duckdb.connect()
-    for name in ("documents", "benchmark", "pages", "labels"):
+    for name in ("documents", "benchmark", "pages", "labels", "embeddings"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
     for name, sql in queries.ORACLES.items():
         rows = got(int(re.match(r"op(\d+)_", name)[1]))
