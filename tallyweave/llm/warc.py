@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm.shared import scratch, written
@@ -19,6 +19,7 @@ from tallyweave.llm.stores import get, put
 LEAST_SHARED = 100  # bytes of a payload that revisits may refer to
 ARCHIVE_BYTES = 16 << 20  # payload behind one archive, about
 LEVEL = 4  # of compression; every record is a gzip member of its own
+PACKED_LEVEL = 1  # of payloads between tasks
 DATE = "2024-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the fixed name space of addresses in RFC 4122
 # Fixed value: the profile of WARC 1.1 for records whose payload equals an earlier one.
@@ -177,11 +178,11 @@ def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 RECORDS = (
     "record_id string, concurrent_to string, record_type string, target_uri string, path string, nth bigint, "
-    "payload_bytes bigint, payload_digest string, refers_to_record string, refers_to bigint, page_id bigint, url_missing boolean, html_missing boolean, request_line string, payload binary"
+    "payload_bytes bigint, payload_digest string, refers_to_record string, refers_to bigint, page_id bigint, url_missing boolean, html_missing boolean, request_line string, packed binary"
 )
 _RECORDS_ARROW = pa.schema(
     [("record_id", pa.string()), ("concurrent_to", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("path", pa.string()), ("nth", pa.int64())]
-    + [("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to_record", pa.string()), ("refers_to", pa.int64()), ("page_id", pa.int64()), ("url_missing", pa.bool_()), ("html_missing", pa.bool_()), ("request_line", pa.string()), ("payload", pa.binary())]
+    + [("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to_record", pa.string()), ("refers_to", pa.int64()), ("page_id", pa.int64()), ("url_missing", pa.bool_()), ("html_missing", pa.bool_()), ("request_line", pa.string()), ("packed", pa.binary())]
 )
 
 
@@ -197,7 +198,7 @@ def _record_row(path: str, nth: int, headers: dict[str, str], content: bytes, wi
         said = headers.get("warc-payload-digest")
         row["payload_bytes"] = len(body) if whole else int(lengths[0]) if lengths and lengths[0].isdigit() else None
         row["payload_digest"] = hashlib.sha256(body).hexdigest() if whole else said.removeprefix("sha256:") if said else None
-        row["payload"] = body if whole and with_payload else None
+        row["packed"] = zlib.compress(body, PACKED_LEVEL) if whole and with_payload else None
         row["refers_to_record"] = headers.get("warc-refers-to", "").strip("<>") or None
     elif kind == "metadata":
         fields = dict(x.split(": ", 1) for x in content.decode(errors="replace").split("\r\n") if ": " in x)
@@ -226,7 +227,7 @@ def _read(with_payload: bool):
 
 
 def read_records(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
-    """All records of the archives of a manifest (path), in columns; payloads only if asked for. A task opens whole archives.
+    """All records of the archives of a manifest (path), in columns; payloads, ``packed``, only if asked for. A task opens whole archives.
 
     Archives of other writers are read alike, record kinds of all sorts included; a revisit that does not say the length or digest of
     its payload has null there, digests other than SHA-256 keep their algorithm's name. An empty manifest gives no rows.
@@ -235,6 +236,16 @@ def read_records(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
     return manifest.select("path").repartition(parts, "path").mapInArrow(_read(with_payload), RECORDS)
 
 
+def unpacked(packed: Column) -> Column:
+    """The payloads of ``read_records``, which are packed on their way between tasks."""
+
+    @F.arrow_udf("binary")
+    def unpack(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else zlib.decompress(x) for x in column.to_pylist()], pa.binary())
+
+    return unpack(packed)
+
+
 def captures(records: DataFrame) -> DataFrame:
     """One nested row per capture: the records that are concurrent to one response or revisit, and that one itself.
 
@@ -249,13 +260,16 @@ def captures(records: DataFrame) -> DataFrame:
     keyed = records.withColumn("capture_id", F.coalesce("concurrent_to", "record_id"))
     fields = {
         "request": F.struct("record_id", "target_uri", "request_line"),
-        "response": F.struct("record_id", "record_type", "target_uri", "payload_bytes", "payload_digest", "refers_to_record", "payload"),
+        "response": F.struct("record_id", "record_type", "target_uri", "payload_bytes", "payload_digest", "refers_to_record", "packed"),
         "metadata": F.struct("record_id", "page_id", "url_missing", "html_missing", "refers_to"),
     }
     order = F.struct("path", "nth")
     firsts = [F.min_by(fields[k], F.when(F.col("record_type").isin(*kinds[k]), order)).alias(k) for k in fields]
     rows = keyed.groupBy("capture_id").agg(*firsts)
     url = F.when(~F.col("metadata.url_missing"), F.coalesce("response.target_uri", "request.target_uri", F.lit("")))
-    response = F.when(F.col("response").isNotNull(), F.struct("response.*", F.when(F.col("response.record_type") == "revisit", F.col("metadata.refers_to")).alias("refers_to")))
+    rows = rows.withColumn("payload", unpacked(F.col("response.packed")))
+    known = [F.col(f"response.{c}") for c in ("record_id", "record_type", "target_uri", "payload_bytes", "payload_digest", "refers_to_record")]
+    refers_to = F.when(F.col("response.record_type") == "revisit", F.col("metadata.refers_to")).alias("refers_to")
+    response = F.when(F.col("response").isNotNull(), F.struct(*known, refers_to, "payload"))
     metadata = F.col("metadata").dropFields("refers_to").alias("metadata")
     return rows.select("capture_id", F.col("metadata.page_id").alias("page_id"), url.alias("url"), "request", response.alias("response"), metadata)
