@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions.text import has_text, stripped
-from tallyweave.session import checkpoint_folder
+from tallyweave.session import checkpoint_folder, ranges_of
 
 # Rows of a range of an indexed list, about, and of the pages that need no index.
 ROWS_PER_RANGE = 100_000
@@ -87,9 +87,9 @@ def page_index(df: DataFrame, order: Sequence[Column | str], rows_per_range: int
     """Write a list to the shared folder in ranges of ``order``, of about ``rows_per_range`` rows, and count each of them.
 
     Rows are ordered within their range alone; any page, however deep, then reads the ranges it touches. ``order`` should
-    tell any two rows apart, as rows that tie stand in no fixed order.
+    tell any two rows apart, as rows that tie stand in no fixed order. A long list has larger ranges than asked for, not thousands of them.
     """
-    ranges = max(1, -(-df.count() // rows_per_range))
+    ranges = ranges_of(df.count(), rows_per_range, ROWS_PER_RANGE)
     ordered = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
     # The id holds the partition above its 33rd bit and the row's place in it below.
     placed = ordered.withColumn("_range", F.shiftright("_place", 33).cast("int")).withColumn("_place", F.col("_place").bitwiseAND((1 << 33) - 1))

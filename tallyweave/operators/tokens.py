@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions.text import stripped
 from tallyweave.operators.values import price_purchases, tier_table
 from tallyweave.schemas import STATEMENT_KEYS
-from tallyweave.session import checkpoint_folder
+from tallyweave.session import checkpoint_folder, ranges_of
 
 # Entries, about, that a task orders for running balances.
 ROWS_PER_SLICE = 250_000
@@ -69,10 +69,10 @@ def ledger_running_balance(ledger: DataFrame, rows_per_slice: int = ROWS_PER_SLI
     A running total over a whole tenant would order all of its entries in one task. Instead the ledger is cut in ranges of
     (tenant, time, entry) of about ``rows_per_slice`` rows: the window runs inside a slice, which starts from the
     sums of the tenant's slices before it, one row per tenant and slice. A tenant whose entries all
-    have one time is many slices too.
+    have one time is many slices too. A long ledger has larger slices than asked for, not tens of thousands of them.
     """
     checkpoint_folder(ledger.sparkSession)
-    slices = max(1, -(-ledger.count() // rows_per_slice))
+    slices = ranges_of(ledger.count(), rows_per_slice, ROWS_PER_SLICE)
     # Written once: the number of a slice is that of its task.
     sliced = ledger.repartitionByRange(slices, "tenant_id", "created_at", "entry_id").withColumn("slice", F.spark_partition_id()).checkpoint()
     sums = sliced.groupBy("tenant_id", "slice").agg(F.sum("token_delta").alias("moved"))
