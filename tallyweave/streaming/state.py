@@ -33,16 +33,32 @@ def token_processor() -> StatefulProcessor:
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             (tenant,) = key
-            balance = self.balance.get()[0] if self.balance.exists() else 0
+            known = self.balance.get()
+            balance = 0 if known is None else known[0]
             batch = pd.concat(list(rows)).sort_values(["at", "command_id", "statement_id"], na_position="first")
+            # Every call of the state is a message to the JVM: a new tenant has none to read, and what opens and settles within the batch needs none.
+            held: dict[str, int | None] = {}
+            stored: set[str] = set()
+
+            def open_pages(statement: str) -> int | None:
+                if statement not in held:
+                    found = None if known is None else self.open.getValue((statement,))
+                    if found is not None:
+                        stored.add(statement)
+                    held[statement] = None if found is None else found[0]
+                return held[statement]
+
+            commands: dict[str, tuple[str, str, dict]] = {}
+            for command_id, kind, source, statement, n in zip(*[batch[c].tolist() for c in ("command_id", "kind", "source", "statement_id", "tokens")]):
+                if command_id is not None and command_id == command_id:
+                    # A line delivered twice in one batch counts once.
+                    lines = commands.setdefault(command_id, (kind, source, {}))[2]
+                    lines.setdefault(None if statement != statement else statement, (statement, n))
             out = []
-            for command_id, lines in batch.groupby("command_id", sort=False):
-                if self.seen.containsKey((command_id,)):
+            for command_id, (kind, source, lines) in commands.items():
+                if known is not None and self.seen.containsKey((command_id,)):
                     continue
-                kind, source = lines["kind"].iloc[0], lines["source"].iloc[0]
-                # A line delivered twice in one batch counts once.
-                lines = lines.drop_duplicates("statement_id")
-                pages = [(s, int(n)) for s, n in zip(lines["statement_id"], lines["tokens"])]
+                pages = [(s, int(n)) for s, n in lines.values()]
                 accepted = True
                 if kind == "reserve":
                     total = sum(n for _, n in pages)
@@ -50,14 +66,15 @@ def token_processor() -> StatefulProcessor:
                     for statement, n in pages:
                         if accepted:
                             balance -= n
-                            self.open.updateValue((statement,), (n,))
+                            open_pages(statement)
+                            held[statement] = n
                         out.append((tenant, f"reserve#{statement}", "RESERVE", -n if accepted else 0, statement, accepted, balance, source, None))
                 elif kind in ("consume", "release"):
                     for statement, _ in pages:
-                        if not self.open.containsKey((statement,)):
+                        n = open_pages(statement)
+                        if n is None:
                             continue
-                        n = self.open.getValue((statement,))[0]
-                        self.open.removeKey((statement,))
+                        held[statement] = None
                         delta = n if kind == "release" else 0
                         balance += delta
                         out.append((tenant, f"{kind}#{statement}", kind.upper(), delta, statement, True, balance, source, f"reserve#{statement}"))
@@ -68,6 +85,11 @@ def token_processor() -> StatefulProcessor:
                         balance += delta
                     out.append((tenant, command_id, "ADJUSTMENT", delta if accepted else 0, None, accepted, balance, source, None))
                 self.seen.updateValue((command_id,), (accepted,))
+            for statement, n in held.items():
+                if n is not None:
+                    self.open.updateValue((statement,), (n,))
+                elif statement in stored:
+                    self.open.removeKey((statement,))
             self.balance.update((balance,))
             if out:
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(",")])
@@ -140,27 +162,34 @@ def silence_processor(stale_after_ms: int) -> StatefulProcessor:
             self.handle = handle
             self.last = handle.getValueState("last", "at_ms long, running boolean")
 
-        def _row(self, key, at_ms: int) -> pd.DataFrame:
-            return pd.DataFrame({"tenant_id": [key[0]], "heartbeat_ms": [at_ms]})
+        def _rows(self, key, at_ms: list[int]) -> pd.DataFrame:
+            return pd.DataFrame({"tenant_id": [key[0]] * len(at_ms), "heartbeat_ms": at_ms})
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            # Every call of the state is a message to the JVM: it is read before the batch's heartbeats and written after them.
+            known = self.last.get()
+            last = known
             for piece in rows:
+                silent = []
                 for at_ms, running in sorted(zip(piece["at_ms"].tolist(), piece["running"].tolist(), strict=True)):
-                    before = self.last.get() if self.last.exists() else None
-                    if before is not None and at_ms <= before[0]:
+                    if last is not None and at_ms <= last[0]:
                         continue  # older than what is known
-                    if before is not None and before[1]:
-                        if at_ms - before[0] > stale_after_ms:
-                            yield self._row(key, before[0])
-                        self.handle.deleteTimer(before[0] + stale_after_ms)
-                    self.last.update((int(at_ms), bool(running)))
-                    if running:
-                        self.handle.registerTimer(int(at_ms) + stale_after_ms)
+                    if last is not None and last[1] and at_ms - last[0] > stale_after_ms:
+                        silent.append(last[0])
+                    last = (int(at_ms), bool(running))
+                if silent:
+                    yield self._rows(key, silent)
+            if last is not known:
+                if known is not None and known[1]:
+                    self.handle.deleteTimer(known[0] + stale_after_ms)
+                self.last.update(last)
+                if last[1]:
+                    self.handle.registerTimer(last[0] + stale_after_ms)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             at_ms, running = self.last.get()
             if running:
-                yield self._row(key, at_ms)
+                yield self._rows(key, [at_ms])
                 self.last.update((at_ms, False))  # said once
 
         def close(self) -> None:
