@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyweave.functions.arrays import bound
 from tallyweave.functions.text import _col, strip
 
 AMOUNT_TYPE = "decimal(38,10)"
@@ -18,7 +19,8 @@ CURRENCY_PREFIX = r"^[A-Za-z€$£¥₹]{1,3}\s*"
 
 
 def _parse(text: Column) -> Column:
-    return text.try_cast(AMOUNT_TYPE)
+    # A text without a digit is no number; to try it would end in an exception, which costs more than all replacements.
+    return bound(text, lambda t: F.when(t.rlike(r"\p{Nd}"), t.try_cast(AMOUNT_TYPE)))
 
 
 # Each rule is one chain of replacements in which every step reads its input once. Inside array

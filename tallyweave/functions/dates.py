@@ -16,6 +16,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.functions.arrays import bound
 from tallyweave.functions.text import _col, strip
 
 # The template tokens, with the text each of them accepts.
@@ -133,18 +134,24 @@ def _readings(template: str, lenient: bool = True, early: bool = False) -> list[
     return out
 
 
+def _try_date(parts: Column, date: Column) -> Column:
+    """``date`` of a text that was rewritten. One that does not fit keeps its form; to try it would end in two costly exceptions."""
+    return F.when(parts.startswith("#"), date)
+
+
 def _read_date(text: Column, reading: Column, century_from: int = 100) -> Column:
     """DATE of a text by one reading, a struct of ``_READING``."""
 
     def read(put: Column) -> Column:
-        parts = F.regexp_replace(text, reading["regex"], put)
-        return F.when(reading["named"], F.try_to_date(parts, "'#'yyyy-MMM-d")).otherwise(F.try_to_date(parts, "'#'yyyy-M-d"))
+        return bound(
+            F.regexp_replace(text, reading["regex"], put),
+            lambda parts: _try_date(parts, F.when(reading["named"], F.try_to_date(parts, "'#'yyyy-MMM-d")).otherwise(F.try_to_date(parts, "'#'yyyy-M-d"))),
+        )
 
-    date = read(reading["put"])
     if century_from >= 100:
-        return date
-    late = reading["early"].isNotNull() & (F.year(date) % 100 >= century_from)
-    return F.when(late, read(reading["early"])).otherwise(date)
+        return read(reading["put"])
+    late = lambda date: reading["early"].isNotNull() & (F.year(date) % 100 >= century_from)
+    return bound(read(reading["put"]), lambda date: F.when(late(date), read(reading["early"])).otherwise(date))
 
 
 _READING = "regex: string, put: string, early: string, named: boolean"
@@ -176,7 +183,8 @@ def generic_date(value: Column | str) -> Column:
     iso = (
         r"^(?:(\d{4})-(\d{1,2})-(\d{1,2})|(\d{4})-(\d{2})-(\d{2}).*|(\d{4})(\d{2})(\d{2})(?:[T ].*)?)$"
     )
-    return F.try_to_date(F.regexp_replace(strip(value), iso, "#$1$4$7-$2$5$8-$3$6$9"), "'#'yyyy-M-d")
+    rewritten = F.regexp_replace(strip(value), iso, "#$1$4$7-$2$5$8-$3$6$9")
+    return bound(rewritten, lambda parts: _try_date(parts, F.try_to_date(parts, "'#'yyyy-M-d")))
 
 
 # The template tokens in the pattern language of date_format.
@@ -262,16 +270,22 @@ def parse_by_template(
     value: Column | str, template: Column | str, templates: Iterable[str], lenient: bool = True
 ) -> Column:
     """DATE of a text under the template in another column."""
-    return _read_planned(strip(value), *_plan_of(template, templates, lenient))
+    plan, most = _plan_of(template, templates, lenient)
+    # A template is searched for among all of them: once a row.
+    return bound(plan, lambda plan: _read_planned(strip(value), plan, most))
 
 
 def loose_by_template(value: Column | str, template: Column | str, templates: Iterable[str]) -> Column:
     """DATE of a text as ``loose_date`` reads it, under the template in another column."""
     text = _col(value)
     plan, most = _plan_of(template, templates, True, loose=True)
-    main = _read_planned(strip(text), plan, most, century_from=69)
-    guarded = F.when(plan["guard"].isNull() | F.rlike(text, plan["guard"]), main)
-    return F.when(plan.isNotNull(), F.coalesce(guarded, _spelled_date(text)))
+
+    def read(plan: Column) -> Column:
+        main = _read_planned(strip(text), plan, most, century_from=69)
+        guarded = F.when(plan["guard"].isNull() | F.rlike(text, plan["guard"]), main)
+        return F.when(plan.isNotNull(), F.coalesce(guarded, _spelled_date(text)))
+
+    return bound(plan, read)
 
 
 def coerce_by_template(

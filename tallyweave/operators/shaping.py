@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions import amounts, dates
-from tallyweave.functions.arrays import unfold
+from tallyweave.functions.arrays import bound, unfold
 from tallyweave.functions.text import has_text, header_key, strip, stripped
 from tallyweave.schemas import STANDARD_FIELDS, STATEMENT_KEYS
 from tallyweave.session import checkpoint_folder
@@ -339,17 +339,27 @@ def monetary_values(cells: DataFrame, total_columns: DataFrame, excluded_columns
     name = F.lower(F.trim("header")).alias("name")
     placed = [*STATEMENT_KEYS, "name", "header_pos"]
     named_cells = cells.select("*", name)
-    first_places = named_cells.groupBy(*STATEMENT_KEYS, "name").agg(F.min("header_pos").alias("header_pos"))
+    # The first place of every header of a statement, and whether it holds a text anywhere; two passes over the cells in all.
+    first_places = (
+        named_cells.groupBy(*placed)
+        .agg(F.bool_or(stripped("value") != "").alias("filled"))
+        .groupBy(*STATEMENT_KEYS, "name")
+        .agg(F.min("header_pos").alias("header_pos"), F.min_by("filled", "header_pos").alias("filled"))
+    )
 
-    def places(columns: DataFrame) -> DataFrame:
-        return columns.select(*STATEMENT_KEYS, name).distinct().join(first_places, [*STATEMENT_KEYS, "name"])
+    def places(columns: DataFrame, mark: str) -> DataFrame:
+        return columns.select(*STATEMENT_KEYS, name, F.lit(mark).alias("mark")).distinct().join(first_places, [*STATEMENT_KEYS, "name"])
 
-    filled = named_cells.withColumn("value", stripped("value")).where(F.col("value") != "")
-    in_total = filled.join(places(total_columns), placed, "left_semi")
-    rest = filled.join(in_total.select(*STATEMENT_KEYS).distinct(), STATEMENT_KEYS, "left_anti")
-    if excluded_columns is not None:
-        rest = rest.join(places(excluded_columns), placed, "left_anti")
-    return in_total.unionByName(rest.where(looks_monetary(F.col("value")))).drop("name")
+    in_total = places(total_columns, "total")
+    marks = in_total if excluded_columns is None else in_total.unionByName(places(excluded_columns, "excluded"))
+    marks = marks.groupBy(*placed).agg(F.bool_or(F.col("mark") == "total").alias("in_total"), F.first("filled").alias("filled"))
+    settled = F.bool_or(F.col("in_total") & F.col("filled")).alias("settled")
+    by_statement = marks.groupBy(*STATEMENT_KEYS).agg(settled, F.collect_list(F.struct("name", "header_pos", "in_total")).alias("marks"))
+    texts = named_cells.withColumn("value", stripped("value")).where(F.col("value") != "").join(by_statement, STATEMENT_KEYS, "left")
+    own = F.filter("marks", lambda m: (m["name"] == F.col("name")) & (m["header_pos"] == F.col("header_pos")))
+    total = F.coalesce(F.exists(own, lambda m: m["in_total"]), F.lit(False))
+    free = ~F.coalesce("settled", F.lit(False)) & (F.coalesce(F.size(own), F.lit(0)) <= 0)
+    return texts.where(total | (free & looks_monetary(F.col("value")))).drop("name", "settled", "marks")
 
 
 def separator_roles(value: Column) -> Column:
@@ -449,9 +459,13 @@ def display_headers(statements: DataFrame) -> DataFrame:
         )
     )
 
-    def listed(header: Column, pos: Column) -> Column:
-        name = header_key(header)
-        return F.struct(pos.alias("pos"), header.alias("header"), name.alias("name"), F.try_element_at("mapping", name).alias("listed"))
+    def named(header: Column, pos: Column) -> Column:
+        return F.struct(pos.alias("pos"), header.alias("header"), header_key(header).alias("name"))
+
+    def listed(mapping: Column) -> Callable[[Column], Column]:
+        return lambda h: F.struct(
+            h["pos"].alias("pos"), h["header"].alias("header"), h["name"].alias("name"), F.try_element_at(mapping, h["name"]).alias("listed")
+        )
 
     def with_field(h: Column) -> Column:
         own = F.lower(h["header"])
@@ -475,13 +489,14 @@ def display_headers(statements: DataFrame) -> DataFrame:
             F.when(is_total, tier).otherwise(0).alias("tier"),
         )
 
-    with_fields = F.filter(F.transform(F.transform("column_order", listed), with_field), lambda h: h["field"].isNotNull())
-    mapped = (
-        statements.withColumn("mapping", normalised)
-        .withColumn("described", F.transform(with_fields, ranked))
-        .withColumn("best", F.array_min(F.transform(F.filter("described", lambda h: h["tier"] > 0), lambda h: h["tier"])))
+    # The mapping and the best tier are needed for each header: bound, they are made once a statement.
+    found = bound(normalised, lambda mapping: F.transform(F.transform("column_order", named), listed(mapping)))
+    with_fields = F.filter(F.transform(found, with_field), lambda h: h["field"].isNotNull())
+    mapped = statements.withColumn("described", F.transform(with_fields, ranked))
+    tiers = F.transform(F.filter("described", lambda h: h["tier"] > 0), lambda h: h["tier"])
+    kept = bound(
+        F.array_min(tiers), lambda best: F.filter("described", lambda h: (h["tier"] == 0) | ((h["tier"] == best) & (h["tier"] < 9)))
     )
-    kept = F.filter("described", lambda h: (h["tier"] == 0) | ((h["tier"] == F.col("best")) & (h["tier"] < 9)))
     shown = mapped.withColumn("shown", F.array_sort(kept))
 
     def first_of(field: str) -> Column:
@@ -493,7 +508,7 @@ def display_headers(statements: DataFrame) -> DataFrame:
             F.transform("shown", lambda h: F.struct(h["pos"].alias("pos"), h["header"].alias("header"), h["field"].alias("field"))),
         )
         .withColumn("number_header", F.coalesce(first_of("number"), first_of("reference")))
-        .drop("mapping", "described", "best", "shown")
+        .drop("described", "shown")
     )
 
 
@@ -554,8 +569,12 @@ def explode_cells(rows: DataFrame, column: str = "cells") -> DataFrame:
 
 
 def prepare_display(statements: DataFrame, items: DataFrame, templates: Iterable[str] | None = None) -> DataFrame:
-    """Headers, cells and row keys of every item."""
-    layouts = display_headers(statements)
+    """Headers, cells and row keys of every item.
+
+    Statements are dealt out as the join needs them before their headers are worked out: they are few and small on disk, so
+    a scan would do that in a task or two.
+    """
+    layouts = display_headers(statements.repartition(*STATEMENT_KEYS))
     if templates is None:
         templates = dates.templates_of(statements, "date_format")
     return statement_cells(items, layouts, templates)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions import amounts, dates
+from tallyweave.functions.arrays import bound
 from tallyweave.functions.text import KEY_RULES, _col, has_text, label_key, strip, stripped
 
 # Pay-as-you-go price bands (tokens in the band, pence per token); the last is open.
@@ -139,10 +140,12 @@ def price_subscriptions(subscriptions: DataFrame) -> DataFrame:
 
 def from_raw(raw: Column | str, header: Column | str) -> Column:
     """Non-blank cell of a header: exact name, then ignoring case, then ignoring punctuation."""
-    cells, name = _col(raw), _col(header)
+    return _from_entries(F.map_entries(_col(raw)), _col(header))
 
+
+def _from_entries(entries: Column, name: Column) -> Column:
     def first(matches) -> Column:
-        hits = F.filter(F.map_entries(cells), lambda e: matches(e["key"]) & has_text(e["value"]))
+        hits = F.filter(entries, lambda e: matches(e["key"]) & has_text(e["value"]))
         return strip(F.get(hits, 0)["value"])
 
     return F.when(
@@ -165,12 +168,15 @@ def pick_amount_expr(total: Column, raw: Column, tokens: Column) -> Column:
 
     A token is an amount itself or the name of a raw header.
     """
-    own = amounts.marked_amount(total)
-    resolved = F.transform(
-        tokens, lambda t: F.coalesce(amounts.marked_amount(t), amounts.marked_amount(from_raw(raw, t)))
+    # Bound, the raw cells are made once a row, not once for each token.
+    resolved = bound(
+        F.map_entries(raw),
+        lambda entries: F.transform(
+            tokens, lambda t: F.coalesce(amounts.marked_amount(t), bound(_from_entries(entries, t), amounts.marked_amount))
+        ),
     )
     named = F.get(F.filter(resolved, lambda a: a.isNotNull() & (a != 0)), 0)
-    return F.coalesce(F.when(own != 0, own), named, own)
+    return bound(amounts.marked_amount(total), lambda own: F.coalesce(F.when(own != 0, own), named, own))
 
 
 def pick_amount(items: DataFrame, total: str, tokens: str, raw: str = "raw") -> DataFrame:
