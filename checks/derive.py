@@ -235,10 +235,12 @@ class Tables:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def derive(self, name: str) -> DataFrame:
+    def derive(self, name: str, dealt: bool = False) -> DataFrame:
+        """A derived table; ``dealt`` over tasks first where a row costs much, as a file may be one row group and so one task."""
         sources = {n for d in _closure((name,)) for n in DERIVED[d][0] if n in BASE}
         for source in sources:
-            self.base(source).createOrReplaceTempView(source)
+            rows = self.base(source)
+            (rows.repartition(F.xxhash64(*rows.columns)) if dealt else rows).createOrReplaceTempView(source)
         return self.spark.sql(with_tables((name,), f"SELECT * FROM {name}"))
 
     def docs(self) -> DataFrame:
@@ -247,7 +249,7 @@ class Tables:
 
     def items(self) -> DataFrame:
         """Statement items with their ``raw`` and ``total`` maps, and ``cells`` in column order."""
-        flat = self.derive("items_flat")
+        flat = self.derive("items_flat", dealt=True)
         value = {
             "date": "date_text",
             "due_date": "due_text",

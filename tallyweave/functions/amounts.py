@@ -18,9 +18,13 @@ AMOUNT_TYPE = "decimal(38,10)"
 CURRENCY_PREFIX = r"^[A-Za-z€$£¥₹]{1,3}\s*"
 
 
+# What a cast to a decimal may be able to read; it drops control characters and blanks at both ends.
+_NUMBER = r"^[\x00-\x20]*+[+-]?(?:\p{Nd}++(?:\.\p{Nd}*+)?|\.\p{Nd}++)(?:[eE][+-]?\p{Nd}++)?[\x00-\x20]*+$"
+
+
 def _parse(text: Column) -> Column:
-    # A text without a digit is no number; to try it would end in an exception, which costs more than all replacements.
-    return bound(text, lambda t: F.when(t.rlike(r"\p{Nd}"), t.try_cast(AMOUNT_TYPE)))
+    # To try a text that is no number would end in an exception, which costs more than all replacements.
+    return bound(text, lambda t: F.when(t.rlike(_NUMBER), t.try_cast(AMOUNT_TYPE)))
 
 
 # Each rule is one chain of replacements in which every step reads its input once. Inside array
@@ -86,7 +90,8 @@ def marked_amount(value: Column | str) -> Column:
     no_letters = strip(F.regexp_replace(plain, r"[A-Za-z]", ""))
     kept = F.regexp_replace(F.regexp_replace(no_letters, r"^(\(.*\))$", "~$1"), r"[^0-9.+\-~]", "")
     minus = F.regexp_replace(kept, r"^(?:~[-+]?|-)", "~")
-    return F.coalesce(_parse(plain), _parse(F.translate(minus, "~+-", "-")))
+    # Of a text without digits, such as the name of a header, no replacement makes a number.
+    return F.when(_col(value).rlike(r"\p{Nd}"), F.coalesce(_parse(plain), _parse(F.translate(minus, "~+-", "-"))))
 
 
 def format_amount(number: Column) -> Column:

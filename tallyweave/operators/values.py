@@ -140,24 +140,27 @@ def price_subscriptions(subscriptions: DataFrame) -> DataFrame:
 
 def from_raw(raw: Column | str, header: Column | str) -> Column:
     """Non-blank cell of a header: exact name, then ignoring case, then ignoring punctuation."""
-    return _from_entries(F.map_entries(_col(raw)), _col(header))
+    return bound(_known_entries(F.map_entries(_col(raw))), lambda known: _from_known(known, _col(header)))
 
 
-def _from_entries(entries: Column, name: Column) -> Column:
-    def first(matches) -> Column:
-        hits = F.filter(entries, lambda e: matches(e["key"]) & has_text(e["value"]))
-        return strip(F.get(hits, 0)["value"])
-
-    return F.when(
-        has_text(name),
-        F.coalesce(
-            first(lambda k: k == name),
-            first(lambda k: F.lower(stripped(k)) == F.lower(stripped(name))),
-            first(lambda k: label_key(k) == label_key(name)),
-        ),
+def _known_entries(entries: Column) -> Column:
+    """The non-blank cells, with the forms of their headers that names are compared with."""
+    filled = F.filter(entries, lambda e: has_text(e["value"]))
+    return F.transform(
+        filled,
+        lambda e: F.struct(e["key"].alias("key"), F.lower(stripped(e["key"])).alias("lower"), label_key(e["key"]).alias("label"), e["value"].alias("value")),
     )
 
 
+def _from_known(known: Column, name: Column) -> Column:
+    def first(form: str, wanted: Column) -> Column:
+        # The wanted form is made once, not once for each cell.
+        return bound(wanted, lambda w: strip(F.get(F.filter(known, lambda e: e[form] == w), 0)["value"]))
+
+    forms = (first("key", name), first("lower", F.lower(stripped(name))), first("label", label_key(name)))
+    return F.when(has_text(name), F.coalesce(*forms))
+
+
 def pick_from_raw(items: DataFrame, header: str, output: str) -> DataFrame:
     """Add the cell of a header (a column holding its name) as ``output``."""
     return items.withColumn(output, from_raw("raw", header))
@@ -168,14 +171,16 @@ def pick_amount_expr(total: Column, raw: Column, tokens: Column) -> Column:
 
     A token is an amount itself or the name of a raw header.
     """
-    # Bound, the raw cells are made once a row, not once for each token.
-    resolved = bound(
-        F.map_entries(raw),
-        lambda entries: F.transform(
-            tokens, lambda t: F.coalesce(amounts.marked_amount(t), bound(_from_entries(entries, t), amounts.marked_amount))
-        ),
+
+    def amount(known: Column, token: Column) -> Column:
+        found = F.coalesce(amounts.marked_amount(token), bound(_from_known(known, token), amounts.marked_amount))
+        return bound(found, lambda a: F.when(a != 0, a))
+
+    # Bound, the raw cells are made once a row, not once for each token; tokens after the first amount are not looked up.
+    named = bound(
+        _known_entries(F.map_entries(raw)),
+        lambda known: F.aggregate(tokens, F.lit(None).cast(amounts.AMOUNT_TYPE), lambda found, t: F.coalesce(found, amount(known, t))),
     )
-    named = F.get(F.filter(resolved, lambda a: a.isNotNull() & (a != 0)), 0)
     return bound(amounts.marked_amount(total), lambda own: F.coalesce(F.when(own != 0, own), named, own))
 
 
