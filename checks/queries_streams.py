@@ -201,9 +201,10 @@ def streamed_bundles(t):
     parts = [docs, docs.where("load_seq % 5 = 0").withColumn("contact_id", F.concat("contact_id", F.lit("m"))), docs.where("load_seq % 7 = 0").withColumn("contact_id", F.lit(None).cast("string"))]
     for n, part in enumerate(parts):
         records = bundles.ledger_records(part, paid if n == 0 else paid.limit(0))
-        records.coalesce(1).write.parquet(f"{folder}/in/part={n}")
-    stream = t.spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in").drop("part")
-    bundles.stream_contact_bundles(stream, f"{folder}/bundles", f"{folder}/state").awaitTermination()
+        # All files that a part has come to are one batch of the stream, which goes on from its checkpoint.
+        records.write.parquet(f"{folder}/in/part={n}")
+        stream = t.spark.readStream.schema(records.schema).parquet(f"{folder}/in").drop("part")
+        bundles.stream_contact_bundles(stream, f"{folder}/bundles", f"{folder}/state").awaitTermination()
     found = bundles.read_bundles(t.spark, f"{folder}/bundles")
     kept = found.select("contact_id", F.explode(F.concat("invoices", "credit_notes")).alias("d")).select("contact_id", F.col("d.doc_kind").alias("kind"), F.col("d.doc_id").alias("record_id"))
     return kept.unionByName(found.select("contact_id", F.explode("payments").alias("p")).select("contact_id", F.lit("payment").alias("kind"), F.col("p.payment_id").alias("record_id")))

@@ -103,7 +103,8 @@ def bundle_batch(folder: str, **options) -> Callable[[DataFrame, int], None]:
             moved = known.join(ids.select(*_ID), _ID, "left_semi")
             touched = touched.unionByName(moved.where(has_text("contact_id")).select(*CONTACT_KEYS))
             index = known.join(ids.select(*_ID), _ID, "left_anti").unionByName(ids)
-        now = {"contacts": _written(index.withColumn("bucket", _id_bucket()), folder, "contacts", batch_id)}
+        # A bucket is in one task, so that each is a file and not one per task.
+        now = {"contacts": _written(index.withColumn("bucket", _id_bucket()).repartition("bucket"), folder, "contacts", batch_id)}
 
         wanted = _distinct_buckets(touched, contact_bucket())
         records = changes.drop("load_seq")
@@ -112,6 +113,9 @@ def bundle_batch(folder: str, **options) -> Callable[[DataFrame, int], None]:
             gone = ids.select(*_ID)
             kept = _unbundled(before)
             records = kept.join(gone, _ID, "left_anti").unionByName(records, allowMissingColumns=True)
+            # Bundling reads them several times.
+            records.write.mode("overwrite").parquet(f"{folder}/records/batch={batch_id}")
+            records = spark.read.schema(records.schema).parquet(f"{folder}/records/batch={batch_id}")
         docs = records.where(~F.col("is_payment")).select(*CONTACT_KEYS, "doc.*")
         payments = records.where("is_payment").select(*CONTACT_KEYS, "payment.*")
         bundles = bundle_by_contact(docs, payments, **options).withColumn("bucket", contact_bucket())
