@@ -23,6 +23,7 @@ SMOOTHING = 0.5
 RARE, GAP_SHARE, REACH = 0.001, 0.5, 1.5
 EXHAUSTIVE = 7  # languages up to which codes have all different splits as bits
 UNKNOWN = "und"
+TEXT_AT_ONCE = 1 << 18  # bytes whose grams are looked at together; they take some forty times as much
 
 
 def codewords(languages: int, seed: int = 7) -> np.ndarray:
@@ -99,8 +100,8 @@ class Model:
         for length, odds in self.odds.items():
             slot = slots(data, offsets, length)
             full = np.flatnonzero(np.diff(offsets))
-            if len(full):
-                total[full] += np.add.reduceat(odds[slot], offsets[:-1][full], axis=0, dtype=np.float64)
+            for bit in range(odds.shape[1] if len(full) else 0):  # in turn, so that memory does not grow with the bits
+                total[full, bit] += np.add.reduceat(odds[:, bit][slot], offsets[:-1][full], dtype=np.float64)
             seen += textkit.row_sums((slot < SLOTS).astype(np.int64), offsets)
         return total / np.maximum(seen, 1)[:, None]
 
@@ -128,7 +129,7 @@ def _count(languages: list[str]):
         for batch in batches:
             data, offsets = textkit.bytes_of(batch.column("text"))
             which = np.array([index[x] for x in batch.column("lang").to_pylist()], np.int64)
-            for first, last in textkit.groups(offsets):
+            for first, last in textkit.groups(offsets, TEXT_AT_ONCE):
                 own = offsets[first : last + 1]
                 seen = SEEN[data[own[0] : own[-1]]]
                 row = np.repeat(which[first:last], np.diff(own))
@@ -136,6 +137,7 @@ def _count(languages: list[str]):
                     slot = slots(seen, own - own[0], g)
                     fine = slot < SLOTS
                     counts[g] += np.bincount(row[fine] * SLOTS + slot[fine], minlength=len(languages) * SLOTS).reshape(-1, SLOTS)
+            textkit.trim()
         for g, table in counts.items():
             which, slot = np.nonzero(table)
             yield pa.record_batch({"gram": pa.array(np.full(len(slot), g), pa.int32()), "lang": pa.array(which, pa.int32()), "slot": pa.array(slot, pa.int32()), "n": pa.array(table[which, slot], pa.int64())})
@@ -154,12 +156,13 @@ def _trusted(model):
         for batch in batches:
             data, offsets = textkit.bytes_of(batch.column("text"))
             which = np.array([index[x] for x in batch.column("lang").to_pylist()], np.int64)
-            for first, last in textkit.groups(offsets):
+            for first, last in textkit.groups(offsets, TEXT_AT_ONCE):
                 own = offsets[first : last + 1]
                 margins = model.value.margins(data[own[0] : own[-1]], own - own[0])
                 right = margins * model.value.code[which[first:last]] > 0
                 row, bit = np.indices(right.shape)
                 yield pa.record_batch({"lang": pa.array(which[first:last][row.ravel()], pa.int32()), "bit": pa.array(bit.ravel(), pa.int32()), "right": pa.array(right.ravel().astype(np.int64)), "size": pa.array(np.abs(margins).ravel())})
+            textkit.trim()
 
     return run
 
@@ -172,12 +175,13 @@ def _sure(model):
         for batch in batches:
             data, offsets = textkit.bytes_of(batch.column("text"))
             which = np.array([index[x] for x in batch.column("lang").to_pylist()], np.int64)
-            for first, last in textkit.groups(offsets):
+            for first, last in textkit.groups(offsets, TEXT_AT_ONCE):
                 own = offsets[first : last + 1]
                 away = model.value.distances(model.value.margins(data[own[0] : own[-1]], own - own[0]))
                 two = np.partition(away, 1, axis=1)[:, :2]
                 right = away.argmin(axis=1) == which[first:last]
                 yield pa.record_batch({"gap": pa.array(((two[:, 1] - two[:, 0]) / np.maximum(two[:, 1], 1e-300))[right]), "away": pa.array(two[right, 0])})
+            textkit.trim()
 
     return run
 
@@ -219,7 +223,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         seen = np.zeros((len(languages), SLOTS))
         seen[columns[1][own], columns[2][own]] = columns[3][own]
         share = (seen + SMOOTHING) / (seen + SMOOTHING).sum(axis=1, keepdims=True)
-        odds = np.zeros((SLOTS + 1, code.shape[1]), np.float32)
+        odds = np.zeros((SLOTS + 1, code.shape[1]), np.float32, order="F")  # a bit's values side by side
         for b in range(code.shape[1]):
             odds[:-1, b] = np.log(share[code[:, b] > 0].mean(axis=0) / share[code[:, b] < 0].mean(axis=0))
         model.odds[g] = odds
@@ -256,7 +260,7 @@ def tagged(docs: DataFrame, model: Model) -> DataFrame:
         data, offsets = textkit.bytes_of(text)
         known = lettered.to_numpy(zero_copy_only=False).astype(bool) & (len(names) > 0)
         best, score, unsure = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, bool)]
-        for first, last in textkit.groups(offsets):
+        for first, last in textkit.groups(offsets, TEXT_AT_ONCE):
             own = offsets[first : last + 1]
             answer = shared.value.decide(shared.value.margins(data[own[0] : own[-1]], own - own[0]))
             for into, values in zip((best, score, unsure), answer, strict=True):

@@ -16,7 +16,6 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -99,12 +98,21 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes in order, and where each piece stands
         self.size, self.filled = 0, 0
         self.check = np.zeros(1 << 16, np.uint64)
         self.at = np.zeros((1 << 16) + 1, np.int64)
         self.pool = np.zeros(1 << 18, np.uint32)
 
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where the pieces of these hashes stand, -1 for those not met yet."""
+        out = np.full(len(hashes), -1, np.int64)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+            met = self.known[at] == hashes
+            out[met] = self.place[at[met]]
+        return out
+
     def _learn(self, hashes: np.ndarray, checks: np.ndarray, pieces: list[bytes]) -> None:
         """Encode new pieces with the library's merges and keep their ids."""
         tokenize, letters = self.library.model.tokenize, self.letters
@@ -118,7 +126,8 @@ class Encoder:
         self.check[self.size : self.size + len(ids)] = checks
         self.at[self.size + 1 : self.size + len(ids) + 1] = self.filled + np.cumsum(lengths)
         self.pool[self.filled : self.filled + len(flat)] = flat
-        self.known.update(zip(hashes.tolist(), range(self.size, self.size + len(ids)), strict=True))
+        into = np.searchsorted(self.known, hashes)
+        self.known, self.place = np.insert(self.known, into, hashes), np.insert(self.place, into, np.arange(self.size, self.size + len(ids)))
         self.size, self.filled = self.size + len(ids), self.filled + len(flat)
 
     def whole(self, text: bytes) -> np.ndarray:
@@ -165,7 +174,7 @@ class Encoder:
         hashes, place, which = np.unique(textkit.spans(data, starts, ends), return_index=True, return_inverse=True)
         if self.size + len(hashes) > CACHED_PIECES:
             self.clear()
-        known = np.fromiter(map(self.known.get, hashes.tolist(), repeat(-1)), np.int64, len(hashes))
+        known = self._places(hashes)
         new = np.flatnonzero(known < 0)
         if len(new):
             raw = data.tobytes()
@@ -371,6 +380,7 @@ def _read(with_ids: bool):
                     if with_ids:
                         columns["ids"] = pa.array([bytes(raw[a:b]) for a, b in own], pa.binary())
                     yield pa.record_batch(columns)
+                textkit.trim()
 
     return run
 
