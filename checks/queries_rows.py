@@ -12,7 +12,7 @@ from checks.registry import compare_sql, decimal_sql, format_money_sql, id_key_s
 from checks.similarity import GUESSES, token_scores_sql
 from tallyweave.operators import classification, comparison, flags, ledger, matching, shaping
 from tallyweave.plans import reconcile
-from tallyweave.session import checkpoint_folder
+from tallyweave.session import checkpoint_folder, stored
 from tallyweave.sources import export
 
 ITEMS = ("items_flat", "ledger_docs")
@@ -305,9 +305,9 @@ RESOLVED = f"""SELECT statement_id, row_key, arg_max(number, item_seq) AS matche
 def resolved_matches(t):
     rows = t.derive("items_flat").select("tenant_id", "statement_id", "contact_id", F.col("k").alias("item_seq"), F.expr(_RIVAL_KEY).alias("row_key"))
     docs = _docs(t)
-    exact = matching.exact_matches(rows, docs)
-    asking = matching.open_rows(rows, exact)
-    resolved = matching.resolve_matches(asking, matching.id_candidates(asking, docs, exact))
+    exact = stored(matching.exact_matches(rows, docs))
+    asking = stored(matching.open_rows(rows, exact))
+    resolved = matching.resolve_matches(asking, matching.id_candidates(asking, docs, exact, ()), docs)
     return resolved.select("statement_id", "row_key", "matched_number", "match_type")
 
 

@@ -8,21 +8,27 @@ against all documents of its contact, independently of other statements.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.arrays import unfold
 from tallyweave.functions.text import id_key, is_payment_reference, stripped
 from tallyweave.schemas import CONTACT_KEYS, STATEMENT_KEYS
-from tallyweave.session import checkpoint_folder
+from tallyweave.session import checkpoint_folder, stored
 
 _DOC_FIELDS = ["doc_id", "doc_kind", "type", "date", "due_date", "reference", "total"]
 
 # How row ids are settled, and how many entries of the lists of a statement's rivals a group may hold.
 ALONE, AT_ONCE, BY_BLOCKS = "alone", "at once", "by blocks"
 ENTRIES_AT_ONCE = 1 << 18
-_TAKEN = "tenant_id string, statement_id string, item_seq bigint, matched_number string"
+# A contact whose statements ask for no more ids than this has each of its numbers compared with all of them.
+IDS_COMPARED = 256
+# Rows that have taken a number of ``doc_contact``; a statement that is too large for one group has one row without a number.
+_TAKEN = "tenant_id string, statement_id string, contact_id string, item_seq bigint, row_key string, row_id string, doc_contact string, matched_number string"
+_TAKEN_ARROW = pa.schema([(x.split(" ")[0], pa.int64() if x.endswith("bigint") else pa.string()) for x in _TAKEN.split(", ")])
 
 
 def matchable_docs(invoices: DataFrame, credit_notes: DataFrame) -> DataFrame:
@@ -146,32 +152,23 @@ def open_rows(items: DataFrame, exact: DataFrame) -> DataFrame:
     )
 
 
-def id_candidates(rows: DataFrame, docs: DataFrame, exact: DataFrame) -> DataFrame:
+def id_candidates(rows: DataFrame, docs: DataFrame, exact: DataFrame, fields: Sequence[str] = _DOC_FIELDS) -> DataFrame:
     """Free documents whose normalised number contains a row id of the statement, or lies inside it.
 
     A document is free for a statement unless an exact match of that statement used its id or its
     number. There is one pair per statement, row id and document number, however many rows repeat
-    the id.
+    the id. ``fields`` are the columns of the document that pairs carry.
     """
-    row_ids = rows.select(*CONTACT_KEYS, "row_id").distinct()
-    numbered = (
-        _numbered_docs(docs)
-        .join(row_ids.select(*CONTACT_KEYS).distinct(), CONTACT_KEYS, "left_semi")
-        .withColumn("number_id", id_key("number"))
-        .where(F.col("number_id") != "")
-    )
-    number_ids = numbered.select(*CONTACT_KEYS, "number_id").distinct()
-    inside_row = contained_keys(
-        number_ids.withColumnRenamed("number_id", "short_key"), row_ids.withColumnRenamed("row_id", "long_key")
-    ).select(*CONTACT_KEYS, F.col("long_key").alias("row_id"), F.col("short_key").alias("number_id"))
-    around_row = contained_keys(
-        row_ids.withColumnRenamed("row_id", "short_key"), number_ids.withColumnRenamed("number_id", "long_key")
-    ).select(*CONTACT_KEYS, F.col("short_key").alias("row_id"), F.col("long_key").alias("number_id"))
-    # Equal ids are found from both sides.
-    id_pairs = inside_row.unionByName(around_row.where(F.col("row_id") != F.col("number_id")))
-
     wanted = rows.select(*STATEMENT_KEYS, "contact_id", "row_id").distinct()
-    pairs = id_pairs.join(numbered, [*CONTACT_KEYS, "number_id"]).join(wanted, [*CONTACT_KEYS, "row_id"])
+    asked = wanted.groupBy(*CONTACT_KEYS).agg(F.count("*").alias("asked"))
+    columns = [*CONTACT_KEYS, "number", *dict.fromkeys(["doc_id", "doc_kind", *fields]), "doc_ord"]
+    numbered = _numbered_docs(docs).select(*columns).withColumn("number_id", id_key("number")).where(F.col("number_id") != "")
+    many = asked.where(F.col("asked") > IDS_COMPARED)
+    few = wanted.join(asked.where(F.col("asked") <= IDS_COMPARED), CONTACT_KEYS, "left_semi")
+    either = F.col("number_id").contains(F.col("row_id")) | F.col("row_id").contains(F.col("number_id"))
+    pairs = numbered.join(few, CONTACT_KEYS).where(either)
+    if not many.isEmpty():
+        pairs = pairs.unionByName(_pairs_by_pieces(wanted.join(many, CONTACT_KEYS, "left_semi"), numbered))
     used_ids, used_numbers = _used(exact)
     free = pairs.join(used_numbers, [*STATEMENT_KEYS, "number"], "left_anti")
     free = free.withColumn("invoice_id", F.when(F.col("doc_kind") != "credit_note", F.col("doc_id")))
@@ -182,11 +179,27 @@ def id_candidates(rows: DataFrame, docs: DataFrame, exact: DataFrame) -> DataFra
         "row_id",
         F.col("number").alias("matched_number"),
         F.length("number_id").alias("id_length"),
-        *_DOC_FIELDS,
+        *fields,
         "doc_ord",
     )
 
 
+def _pairs_by_pieces(wanted: DataFrame, numbered: DataFrame) -> DataFrame:
+    """The ids a statement asks for beside the numbers that contain them or lie inside them, found piece by piece."""
+    row_ids = wanted.select(*CONTACT_KEYS, "row_id").distinct()
+    numbered = numbered.join(row_ids.select(*CONTACT_KEYS).distinct(), CONTACT_KEYS, "left_semi")
+    number_ids = numbered.select(*CONTACT_KEYS, "number_id").distinct()
+    inside_row = contained_keys(
+        number_ids.withColumnRenamed("number_id", "short_key"), row_ids.withColumnRenamed("row_id", "long_key")
+    ).select(*CONTACT_KEYS, F.col("long_key").alias("row_id"), F.col("short_key").alias("number_id"))
+    around_row = contained_keys(
+        row_ids.withColumnRenamed("row_id", "short_key"), number_ids.withColumnRenamed("number_id", "long_key")
+    ).select(*CONTACT_KEYS, F.col("short_key").alias("row_id"), F.col("long_key").alias("number_id"))
+    # Equal ids are found from both sides.
+    id_pairs = inside_row.unionByName(around_row.where(F.col("row_id") != F.col("number_id")))
+    return id_pairs.join(numbered, [*CONTACT_KEYS, "number_id"]).join(wanted, [*CONTACT_KEYS, "row_id"])
+
+
 def substring_candidates(items: DataFrame, docs: DataFrame, exact: DataFrame) -> DataFrame:
     """The candidate documents of every open row, one pair per row and document number."""
     rows = open_rows(items, exact)
@@ -208,42 +221,37 @@ def best_candidate(candidates: DataFrame) -> DataFrame:
     )
 
 
-def resolve_matches(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+def resolve_matches(rows: DataFrame, candidates: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """Assign documents to rows: rows in statement order, each takes its best document still free.
 
-    ``rows`` come from ``open_rows`` and ``candidates`` from ``id_candidates``. Returns one row per
+    ``rows`` come from ``open_rows`` and ``candidates`` from ``id_candidates``; these need no fields of the document where the
+    ``docs`` are given as well. Returns one row per
     matched key. Rows that repeat an id share one list of candidates, of which they need as many as
-    there are rows. An id that shares no document with another of its statement is settled by itself: its k-th
-    row takes its k-th best document. Where ids compete, a statement is settled in row order: in one group if its
-    lists are short, else in blocks of rows with as many entries at once.
+    there are rows. A statement is settled in row order, in one group if its lists are short. Of others, an id that shares no
+    document with another of its statement is settled by itself: its k-th row takes its k-th best document. Where ids
+    compete, the rivals are settled in one group if their lists are short, else in blocks of rows with as many entries at once.
     """
     checkpoint_folder(candidates.sparkSession)
-    row_id, row, number = [*STATEMENT_KEYS, "row_id"], [*STATEMENT_KEYS, "item_seq"], [*STATEMENT_KEYS, "matched_number"]
-    place = F.row_number().over(Window.partitionBy(*row_id).orderBy(_preference()))
-    pairs = candidates.withColumn("place", place).checkpoint()
-    lists = pairs.select(*row_id, "matched_number", "place")
-    marks = _marked_ids(lists).checkpoint()
-    turn = F.row_number().over(Window.partitionBy(*row_id).orderBy("item_seq"))
-    # Rows beyond the length of their list find nothing left.
-    turns = rows.select(*row, "row_id").withColumn("place", turn).join(marks, row_id).where(F.col("place") <= F.col("length")).drop("length")
-    listed = lists.join(marks.drop("length"), row_id)
-
-    def of(df: DataFrame, kind: str) -> DataFrame:
-        # Both sides of a join come from one table here; names of their own keep them apart.
-        return df.where(F.col("kind") == kind).select(*[F.col(c).alias(c) for c in df.columns if c != "kind"])
-
-    taken = of(turns, ALONE).join(of(listed, ALONE), [*row_id, "place"]).select(*number, "item_seq")
-    at_once = of(listed, AT_ONCE).groupBy(*STATEMENT_KEYS).cogroup(of(turns, AT_ONCE).groupBy(*STATEMENT_KEYS))
-    taken = taken.unionByName(at_once.applyInPandas(_settle, _TAKEN))
-    if not marks.where(F.col("kind") == BY_BLOCKS).isEmpty():
-        taken = taken.unionByName(_by_blocks(of(listed, BY_BLOCKS), of(turns, BY_BLOCKS)))
+    if docs is None:
+        candidates = stored(candidates)
+    pairs = candidates.select(*STATEMENT_KEYS, "contact_id", "row_id", "matched_number", _preference().alias("place"))
+    settled = stored(_settled(pairs, rows, ENTRIES_AT_ONCE))
+    taken = settled.where(F.col("matched_number").isNotNull())
+    large = settled.where(F.col("matched_number").isNull()).select(*STATEMENT_KEYS)
+    if not large.isEmpty():
+        taken = taken.unionByName(_large(rows.join(large, STATEMENT_KEYS, "left_semi"), pairs.join(large, STATEMENT_KEYS, "left_semi")))
     # A key that occurs in several rows keeps the document of its last row; all rows have used one.
-    named = rows.select(*STATEMENT_KEYS, "contact_id", "item_seq", "row_key", "row_id").join(taken, row)
-    last = named.groupBy(*STATEMENT_KEYS, "contact_id", "row_key", "row_id").agg(
-        F.max("item_seq").alias("item_seq"), F.max_by("matched_number", "item_seq").alias("matched_number")
+    last = taken.groupBy(*STATEMENT_KEYS, "contact_id", "row_key", "row_id").agg(
+        F.max("item_seq").alias("item_seq"), F.max_by(F.struct("doc_contact", "matched_number"), "item_seq").alias("best")
     )
-    details = pairs.select(*row_id, "matched_number", *_DOC_FIELDS, "doc_ord")
-    return last.join(details, [*row_id, "matched_number"]).select(
+    last = last.select("*", "best.*").drop("best")
+    if docs is None:
+        details = candidates.select(*STATEMENT_KEYS, "row_id", F.col("contact_id").alias("doc_contact"), "matched_number", *_DOC_FIELDS, "doc_ord")
+        last = last.join(details, [*STATEMENT_KEYS, "row_id", "doc_contact", "matched_number"])
+    else:
+        details = _numbered_docs(docs).withColumnsRenamed({"contact_id": "doc_contact", "number": "matched_number"})
+        last = last.join(details, ["tenant_id", "doc_contact", "matched_number"])
+    return last.select(
         *STATEMENT_KEYS,
         "contact_id",
         "row_key",
@@ -256,6 +264,29 @@ def resolve_matches(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
+def _large(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """What the rows of statements whose lists are too long for one group take, as ``_TAKEN``."""
+    row_id = [*STATEMENT_KEYS, "row_id"]
+    place = F.row_number().over(Window.partitionBy(*row_id).orderBy("place"))
+    lists = pairs.withColumn("place", place).checkpoint()
+    marks = _marked_ids(lists.select(*row_id, "matched_number", "place")).checkpoint()
+    turn = F.row_number().over(Window.partitionBy(*row_id).orderBy("item_seq"))
+    # Rows beyond the length of their list find nothing left.
+    turns = rows.withColumn("place", turn).join(marks, row_id).where(F.col("place") <= F.col("length")).drop("length")
+    listed = lists.join(marks.drop("length"), row_id)
+
+    def of(df: DataFrame, kind: str) -> DataFrame:
+        # Both sides of a join come from one table here; names of their own keep them apart.
+        return df.where(F.col("kind") == kind).select(*[F.col(c).alias(c) for c in df.columns if c != "kind"])
+
+    alone = of(listed, ALONE).select(*row_id, "place", F.col("contact_id").alias("doc_contact"), "matched_number")
+    taken = of(turns, ALONE).join(alone, [*row_id, "place"]).select(*_TAKEN_ARROW.names)
+    taken = taken.unionByName(_settled(of(listed, AT_ONCE), of(turns, AT_ONCE)))
+    if not marks.where(F.col("kind") == BY_BLOCKS).isEmpty():
+        taken = taken.unionByName(_by_blocks(of(listed, BY_BLOCKS), of(turns, BY_BLOCKS)))
+    return taken
+
+
 def _marked_ids(lists: DataFrame) -> DataFrame:
     """Row ids with the ``length`` of their list, how they are settled (``kind``) and, for rivals, the rows of a block."""
     row_id, number = [*STATEMENT_KEYS, "row_id"], [*STATEMENT_KEYS, "matched_number"]
@@ -272,27 +303,50 @@ def _marked_ids(lists: DataFrame) -> DataFrame:
     return lengths.join(blocks, STATEMENT_KEYS, "left").select(*row_id, "length", kind.alias("kind"), "block_rows")
 
 
-def _settle(lists, asking):
-    """Rows of one statement in order; what is taken stays taken, so no list is read twice."""
-    import pandas as pd
+def _settled(lists: DataFrame, asking: DataFrame, limit: int | None = None) -> DataFrame:
+    """What the rows of each statement take, in order, as ``_TAKEN``; what is taken stays taken, so no list is read twice.
 
-    waiting: dict[str, list[str]] = {}
-    for row_id, number in lists.sort_values("place", ascending=False)[["row_id", "matched_number"]].itertuples(index=False):
-        waiting.setdefault(row_id, []).append(number)
-    used, taken = set(), []
-    for tenant, statement, item, row_id in asking.sort_values("item_seq")[[*STATEMENT_KEYS, "item_seq", "row_id"]].itertuples(index=False):
-        choices = waiting.get(row_id, [])
-        while choices:
-            number = choices.pop()
-            if number not in used:
-                used.add(number)
-                taken.append((tenant, statement, item, number))
-                break
-    return pd.DataFrame(taken, columns=[*STATEMENT_KEYS, "item_seq", "matched_number"])
+    ``lists`` are in the order of their ``place``. Rows come to a task sorted, so that it holds one statement's lists at a time; of a
+    statement whose lists have more than ``limit`` entries it keeps none and says so.
+    """
+    entry = lists.select(*STATEMENT_KEYS, "contact_id", F.lit(None).cast("bigint").alias("item_seq"), F.lit(None).cast("string").alias("row_key"), "row_id", "matched_number", "place", F.lit(False).alias("asks"))
+    nothing = {"matched_number": F.lit(None).cast("string"), "place": F.lit(None).cast(lists.schema["place"].dataType), "asks": F.lit(True)}
+    turn = asking.select(*STATEMENT_KEYS, "contact_id", F.col("item_seq").cast("bigint").alias("item_seq"), "row_key", "row_id").withColumns(nothing)
+    dealt = entry.unionByName(turn).repartition(*STATEMENT_KEYS).sortWithinPartitions(*STATEMENT_KEYS, "asks", "place", "item_seq", "row_key")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting, used, entries = None, {}, set(), 0
+        for batch in batches:
+            taken = []
+            for tenant, statement, contact, item, key, row_id, number, asks in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if now != (tenant, statement):
+                    now, waiting, used, entries = (tenant, statement), {}, set(), 0
+                if not asks:
+                    entries += 1
+                    if limit is None or entries <= limit:
+                        waiting.setdefault(row_id, []).append((contact, number))
+                    elif entries == limit + 1:
+                        waiting = {}
+                        taken.append((tenant, statement, None, None, None, None, None, None))
+                    continue
+                choices = waiting.get(row_id)
+                if choices is None:
+                    continue
+                if type(choices) is list:
+                    choices = waiting[row_id] = iter(choices)
+                for best in choices:
+                    if best[1] not in used:
+                        used.add(best[1])
+                        taken.append((tenant, statement, contact, item, key, row_id, *best))
+                        break
+            if taken:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*taken, strict=True), _TAKEN_ARROW, strict=True)], schema=_TAKEN_ARROW)
+
+    return dealt.drop("place").mapInArrow(settle, _TAKEN)
 
 
 def _by_blocks(lists: DataFrame, turns: DataFrame) -> DataFrame:
-    """(statement, matched_number, item_seq) as ``_settle`` gives them, block by block of each statement's rows.
+    """What ``_settled`` gives, block by block of each statement's rows.
 
     A block of n rows needs the n best documents still free of each of its ids, no more; these are settled
     in one group of bounded size. All statements advance side by side. What a block takes is gone from the lists of the next.
@@ -302,15 +356,13 @@ def _by_blocks(lists: DataFrame, turns: DataFrame) -> DataFrame:
     turns = turns.withColumn("block", F.floor((nth - 1) / F.col("block_rows"))).checkpoint()
     lists = lists.checkpoint()
     best = F.row_number().over(Window.partitionBy(*row_id).orderBy("place"))
-    taken = lists.limit(0).select(*number, F.lit(0).cast("bigint").alias("item_seq")).checkpoint()
+    taken = lists.sparkSession.createDataFrame([], _TAKEN)
     for block in range((turns.agg(F.max("block")).first()[0] or 0) + 1):
         now = turns.where(F.col("block") == block)
         gone = taken.select(*[F.col(c).alias(c) for c in number])
         free = lists.join(now.select(*row_id).distinct(), row_id, "left_semi").join(gone, number, "left_anti")
-        near = free.withColumn("place", best).where(F.col("place") <= F.col("block_rows")).select(*[F.col(c).alias(c) for c in (*row_id, "matched_number", "place")])
-        asking = now.select(*[F.col(c).alias(c) for c in (*row_id, "item_seq")])
-        got = near.groupBy(*STATEMENT_KEYS).cogroup(asking.groupBy(*STATEMENT_KEYS)).applyInPandas(_settle, _TAKEN)
-        taken = taken.unionByName(got.checkpoint())
+        near = free.withColumn("place", best).where(F.col("place") <= F.col("block_rows"))
+        taken = taken.unionByName(_settled(near, now).checkpoint())
     return taken
 
 
@@ -320,11 +372,10 @@ def match_statements(items: DataFrame, docs: DataFrame) -> DataFrame:
     The rows' keys and the exact matches are read several times on the way; both are narrow and are
     written to the checkpoint folder once.
     """
-    checkpoint_folder(items.sparkSession)
-    keys = items.select(*STATEMENT_KEYS, "contact_id", "item_seq", "row_key").checkpoint()
-    exact = exact_matches(keys, docs).checkpoint()
-    rows = open_rows(keys, exact).checkpoint()
-    fuzzy = resolve_matches(rows, id_candidates(rows, docs, exact))
+    keys = stored(items.select(*STATEMENT_KEYS, "contact_id", "item_seq", "row_key"))
+    exact = stored(exact_matches(keys, docs))
+    rows = stored(open_rows(keys, exact))
+    fuzzy = resolve_matches(rows, id_candidates(rows, docs, exact, ()), docs)
     # The key's last row stands for it, also where the document came from an earlier one.
     last_rows = _keyed_items(keys).select(*STATEMENT_KEYS, "row_key", "item_seq")
     fuzzy = fuzzy.drop("item_seq").join(last_rows, [*STATEMENT_KEYS, "row_key"])
