@@ -366,13 +366,18 @@ def _by_blocks(lists: DataFrame, turns: DataFrame) -> DataFrame:
     return taken
 
 
-def match_statements(items: DataFrame, docs: DataFrame) -> DataFrame:
+def row_keys(items: DataFrame) -> DataFrame:
+    """What matching and evidence read of the items, narrow and written to the checkpoint folder once."""
+    return stored(items.select(*STATEMENT_KEYS, "contact_id", "item_seq", "row_key"))
+
+
+def match_statements(items: DataFrame, docs: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """All matches: exact ones, then documents assigned by containment.
 
     The rows' keys and the exact matches are read several times on the way; both are narrow and are
-    written to the checkpoint folder once.
+    written to the checkpoint folder once. ``keys`` are the ``row_keys`` of the items, where they are at hand.
     """
-    keys = stored(items.select(*STATEMENT_KEYS, "contact_id", "item_seq", "row_key"))
+    keys = row_keys(items) if keys is None else keys
     exact = stored(exact_matches(keys, docs))
     rows = stored(open_rows(keys, exact))
     fuzzy = resolve_matches(rows, id_candidates(rows, docs, exact, ()), docs)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from tallyweave.functions import dates
 from tallyweave.operators import classification, comparison, flags, matching, shaping
+from tallyweave.session import stored
 
 
 def reconciled_rows(
@@ -26,12 +27,14 @@ def reconciled_rows(
     templates = dates.templates_of(statements, "date_format") if templates is None else list(templates)
     rows = flags.flag_items(shaping.prepare_display(statements, items, templates))
     reachable = matching.contact_rows(docs, statements)
-    matches = matching.match_statements(rows, reachable)
+    keys = matching.row_keys(rows)
+    matches = stored(matching.match_statements(rows, reachable, keys))
     paid = matching.payments_by_invoice_number(docs, payments)
-    typed = classification.classify_items(rows, matches, paid)
-    beside = comparison.ledger_cells(comparison.attach_matches(typed, matches), templates)
-    compared = comparison.row_matches(comparison.compare_cells(beside))
-    return flags.row_state(comparison.attach_item_status(compared, item_status))
+    # Items are shuffled once, by statement. Joins come before the scores of words: Spark does not know how rows are dealt that come from Python.
+    beside = comparison.attach_matches(comparison.attach_item_status(rows, item_status), matches)
+    typed = classification.classify_items(beside, matches, paid, keys)
+    compared = comparison.row_matches(comparison.compare_cells(comparison.ledger_cells(typed, templates)))
+    return flags.row_state(compared)
 
 
 def exact_reconciliation(
