@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 import pyarrow as pa
@@ -222,6 +223,26 @@ def _files(rows: DataFrame) -> int:
     return rows.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0]
 
 
+def _files_of_records(rows: DataFrame) -> int:
+    """Write files of rows (path, listed, load_seq, doc_id, text), each a list or a mapping, piece by piece in tasks; how many there are."""
+
+    def write(batches):
+        records = (r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        n = 0
+        for (path, listed), own in itertools.groupby(records, lambda r: r[:2]):
+            begin, between, end = (b"[\n", b",\n", b"\n]") if listed else (b"{", b", ", b"}")
+            with byte_ranges.written(path) as out:
+                out.write(begin)
+                for i, (_, _, text) in enumerate(r for r in own if r[2] is not None):
+                    out.write(between + text if i else text)
+                out.write(end)
+            n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    dealt = rows.repartition("path").sortWithinPartitions("path", "load_seq", "doc_id", "text")
+    return dealt.select("path", "listed", F.col("text").cast("binary").alias("text")).mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0]
+
+
 @query(
     "ledger_file_records",
     with_tables(
@@ -233,12 +254,10 @@ def ledger_file_records(t):
     """Every tenant's documents in a JSON file, a list or a mapping, read back in blocks of 4 KB."""
     folder = _scratch(t)
     record = F.to_json(F.struct("doc_id", "number", F.concat(F.lit('"{'), "reference").alias("note"), F.struct("reference").alias("more")))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("load_seq", "doc_id", record.alias("j")))), lambda r: F.struct(r["doc_id"].alias("id"), r["j"].alias("j")))
-    files = t.derive("ledger_docs").groupBy("tenant_id").agg(lines.alias("lines"))
-    listed = F.concat(F.lit("[\n"), F.array_join(F.transform("lines", lambda r: r["j"]), ",\n"), F.lit("\n]"))
-    mapped = F.concat(F.lit("{"), F.array_join(F.transform("lines", lambda r: F.concat(F.lit('"'), r["id"], F.lit('": '), r["j"])), ", "), F.lit("}"))
-    content = F.when(F.substring("tenant_id", 2, 5).cast("int") % 2 == 0, listed).otherwise(mapped)
-    _files(files.select(F.concat(F.lit(f"{folder}/"), "tenant_id", F.lit("/data/invoices.json")).alias("path"), content.alias("content")))
+    listed = F.coalesce(F.substring("tenant_id", 2, 5).cast("int") % 2 == 0, F.lit(False))
+    text = F.when(listed, record).otherwise(F.concat(F.lit('"'), "doc_id", F.lit('": '), record))
+    path = F.concat(F.lit(f"{folder}/"), "tenant_id", F.lit("/data/invoices.json"))
+    _files_of_records(t.derive("ledger_docs").select(path.alias("path"), listed.alias("listed"), "load_seq", "doc_id", text.alias("text")))
     back = ledger_files.read_ledger(t.spark, folder, "invoices", "doc_id string, number string, note string", block_bytes=4096)
     return back.select("tenant_id", "doc_id", "number", F.substring("note", 3, 100).alias("reference"), "load_seq")
 

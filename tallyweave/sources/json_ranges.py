@@ -13,6 +13,9 @@ from tallyweave.sources.byte_ranges import read_bytes
 
 BLOCK_BYTES = 16 << 20
 
+# How many rows, or bytes of records, a task hands on at a time.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 4096, 4 << 20
+
 # Where a block may begin: outside strings, inside one, or inside one behind a backslash.
 OUTSIDE, INSIDE, ESCAPED = 0, 1, 2
 
@@ -56,32 +59,48 @@ def structure(data: np.ndarray, state: int) -> tuple[np.ndarray, np.ndarray, int
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What each block comes to, whichever way it begins."""
     for batch in batches:
+        rows = []
         for row in batch.to_pylist():
-            data, rows = np.frombuffer(read_bytes(row["path"], row["start"], row["length"]), np.uint8), []
+            data = np.frombuffer(read_bytes(row["path"], row["start"], row["length"]), np.uint8)
             for state in (OUTSIDE, INSIDE, ESCAPED):
                 place, depth, ends = structure(data, state)
                 opens, n = np.unique(depth[data[place] == 0x7B] - 1, return_counts=True)
                 rows.append(row | {"state": state, "ends": ends, "depth": int(depth[-1]) if len(depth) else 0, "opens": [{"depth": d, "n": c} for d, c in zip(opens.tolist(), n.tolist(), strict=True)]})
+            if len(rows) >= ROWS_AT_ONCE:
+                yield pa.RecordBatch.from_pylist(rows, _SCAN_ARROW)
+                rows = []
+        if rows:
             yield pa.RecordBatch.from_pylist(rows, _SCAN_ARROW)
 
 
-def _starts(scans: pa.Table) -> pa.Table:
-    """How each block of a file really begins: state, depth, and the number of records before it."""
-    by: dict[int, dict[int, dict]] = {}
-    for row in scans.to_pylist():
-        by.setdefault(row["start"], {})[row["state"]] = row
-    state, depth, place, out = OUTSIDE, 0, 0, []
-    for start in sorted(by):
-        row = by[start][state]
-        out.append({"path": row["path"], "start": start, "length": row["length"], "state": state, "depth": depth, "place": place})
-        place += sum(x["n"] for x in row["opens"] if x["depth"] + depth == 1)
-        state, depth = row["ends"], depth + row["depth"]
-    return pa.Table.from_pylist(out, _START_ARROW)
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How each block of a file really begins: state, depth, and the number of records before it.
+
+    Scans come sorted by file, start and state; nothing but what the next block begins with is kept of those before it.
+    """
+    file = block = None
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            if row["path"] != file:
+                file, block, following = row["path"], None, (OUTSIDE, 0, 0)
+            if row["start"] != block:
+                block, (state, depth, place) = row["start"], following
+            if row["state"] == state:
+                out.append({"path": file, "start": block, "length": row["length"], "state": state, "depth": depth, "place": place})
+                following = (row["ends"], depth + row["depth"], place + sum(x["n"] for x in row["opens"] if x["depth"] + depth == 1))
+        if out:
+            yield pa.RecordBatch.from_pylist(out, _START_ARROW)
+
+
+def _records(found: list[tuple[str, int, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), _RECORD_ARROW, strict=True)], schema=_RECORD_ARROW)
 
 
 def _cut(block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The records that begin in a block; the last one is read to its end in the blocks after it."""
+        found, size = [], 0
         for batch in batches:
             for row in batch.to_pylist():
                 data = np.frombuffer(read_bytes(row["path"], row["start"], row["length"]), np.uint8)
@@ -105,9 +124,14 @@ def _cut(block_bytes: int):
                         pieces.append(more)
                         at, deep = at + len(more), deep + (int(depth[-1]) if len(depth) else 0)
                     texts.append(b"".join(x.tobytes() for x in pieces))
-                for a in range(0, len(texts), 4096):
-                    own = texts[a : a + 4096]
-                    yield pa.RecordBatch.from_arrays([pa.array([row["path"]] * len(own)), pa.array(range(row["place"] + a, row["place"] + a + len(own)), pa.int64()), pa.array([t.decode() for t in own], pa.string())], schema=_RECORD_ARROW)
+                for place, text in enumerate(texts, row["place"]):
+                    found.append((row["path"], place, text.decode()))
+                    size += len(text)
+                    if len(found) >= ROWS_AT_ONCE or size >= BYTES_AT_ONCE:
+                        yield _records(found)
+                        found, size = [], 0
+        if found:
+            yield _records(found)
 
     return run
 
@@ -125,5 +149,6 @@ def record_texts(spark: SparkSession, pattern: str, block_bytes: int = BLOCK_BYT
     blocks = blocks.select("path", "start", F.least(F.lit(block_bytes), F.col("all") - F.col("start")).cast("bigint").alias("length"))
     n = max(1, blocks.count())
     dealt = min(n, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    starts = blocks.repartition(dealt, "path", "start").mapInArrow(_scan, _SCANS).groupBy("path").applyInArrow(_starts, _STARTS)
+    scans = blocks.repartition(dealt, "path", "start").mapInArrow(_scan, _SCANS)
+    starts = scans.repartition("path").sortWithinPartitions("path", "start", "state").mapInArrow(_starts, _STARTS)
     return starts.repartition(dealt, "path", "start").mapInArrow(_cut(block_bytes), _RECORDS)
